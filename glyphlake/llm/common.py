@@ -48,10 +48,16 @@ def _clean() -> None:
 
 
 class Fence:
-    """A written and reread table: lineage ends here, and a lost executor costs a reread, not a recomputation."""
+    """A written and reread table: lineage ends here, and a lost executor costs a reread, not a recomputation.
 
-    def __init__(self, df: DataFrame):
+    ``small`` tables, those with a few numbers for a document or less, are
+    written by a sixteenth of the shuffle partitions' tasks: fewer, larger files.
+    """
+
+    def __init__(self, df: DataFrame, small: bool = False):
         self.spark, self.path = df.sparkSession, scratch(df.sparkSession)
+        if small:
+            df = df.coalesce(max(2, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16))
         df.write.parquet(self.path)
         self.df = self.spark.read.parquet(self.path)
 
@@ -59,8 +65,24 @@ class Fence:
         delete(self.spark, self.path)
 
 
-def fence(df: DataFrame) -> DataFrame:
-    return Fence(df).df
+def fence(df: DataFrame, small: bool = False) -> DataFrame:
+    return Fence(df, small).df
+
+
+class Kept:
+    """Tables that are used a few times between two fences: cached, recomputed from the last fence if an executor is lost."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.tables.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        for df in self.tables:
+            df.unpersist()
+        self.tables = []
 
 
 def crc_mod(column: str, n: int) -> Column:

@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphlake.llm import exact_dedup, sharding, simhash, url_filter
+from glyphlake.llm import bpe, chat, decontaminate, exact_dedup, langid, sharding, simhash, toxicity, url_filter, warc
 from glyphlake.llm.common import load
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_texts(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(load(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(load(spark, sf_dir, "documents"))
 
@@ -22,18 +30,41 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(load(spark, sf_dir, "pages"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(load(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(load(spark, sf_dir, "documents"))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(chat.with_probe(load(spark, sf_dir, "conversations")))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_simhash": op2_simhash,
-        "op4_exact_dedup": op4_exact_dedup,
-        "op5_url_filter": op5_url_filter,
-        "op7_sharding": op7_sharding,
-    }
+    found = (
+        op1_toxicity,
+        op2_simhash,
+        op3_warc,
+        op4_exact_dedup,
+        op5_url_filter,
+        op6_decontamination,
+        op7_sharding,
+        op8_byte_bpe,
+        op9_chat,
+        op10_language,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.ORACLE, "op5_url_filter": url_filter.oracle()}
+    return {"op3_warc": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_url_filter": url_filter.oracle()}
