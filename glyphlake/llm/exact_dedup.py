@@ -42,7 +42,7 @@ def recipes(docs: DataFrame, hashed=F.xxhash64) -> DataFrame:
         "doc_id", "text_sha256", F.transform("chunks", lambda c: F.struct(hashed(c).alias("h"), F.lit(0).alias("k"))).alias("recipe")
     ).withColumn("row_uid", F.monotonically_increasing_id())
     known = chunk_dictionary(pieces, hashed)
-    shared = fence(known.groupBy("h").agg(F.count(F.lit(1)).alias("different")).filter("different > 1").select("h"))
+    shared = fence(known.groupBy("h").agg(F.count(F.lit(1)).alias("different")).filter("different > 1").select("h"), small=True)
     if shared.isEmpty():
         return fence(plain)
     # Different chunks under one hash: rank them by content, and put the rank into the lists that hold them.
@@ -70,12 +70,13 @@ def exact_dedup(docs: DataFrame, hashed=F.xxhash64) -> DataFrame:
     other columns are ignored, whatever their names.
     """
     rows = recipes(docs, hashed)
-    groups = (
+    groups = fence(
         rows.groupBy("recipe")
         .agg(F.max(F.struct("doc_id", "row_uid")).alias("top"), F.count(F.lit(1)).alias("group_size"))
-        .filter("group_size > 1")
+        .filter("group_size > 1"),
+        small=True,
     )
-    # A hot recipe's rows are split by AQE's skew join; single texts match nothing and stay as they are.
+    # With groups read anew, a hot recipe's rows are split by AQE's skew join; single texts match nothing and stay as they are.
     joined = rows.join(groups, "recipe", "left")
     return joined.select(
         "doc_id",
@@ -99,7 +100,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     on = marked["doc_id"].eqNullSafe(key["__id"]) & (marked["__key"] == key["__sha"])
     gone = key.filter("not __stays")
     left = marked.join(gone, on, "left_anti")
-    twice = fence(key.filter("__stays"))
+    twice = fence(key.filter("__stays"), small=True)
     if not twice.isEmpty():
         same = left["doc_id"].eqNullSafe(twice["__id"]) & (left["__key"] == twice["__sha"])
         again = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__key"])
