@@ -14,6 +14,7 @@ import base64
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -22,7 +23,20 @@ from pyspark.sql import functions as F
 from glyphlake.llm.common import slices
 
 #: Pieces whose ids a process remembers; then it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
+
+class Seen(dict):
+    """Strings seen so far, each with its ids as packed 32-bit numbers; a new one is encoded when asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, text: str) -> bytes:
+        packed = self.encode(text)
+        if len(text) < 64:
+            self[text] = packed
+        return packed
 
 
 class Encoder:
@@ -37,7 +51,7 @@ class Encoder:
         for token in self.ranks:
             self.automaton.add_word(token.decode("latin-1"), len(token))
         self.automaton.make_automaton()
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces = Seen(lambda piece: np.array(self.encode_bytes(piece.encode()), np.int32).tobytes())
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.prefixes: dict[bytes, bytes] = {}
 
@@ -54,7 +68,7 @@ class Encoder:
     def fits(self, left: bytes, right: bytes) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 4 * REMEMBERED:
+            if len(self.pairs) > REMEMBERED:
                 self.pairs.clear()
             known = self.pairs[left, right] = self.merge(left + right) == [left, right]
         return known
@@ -97,23 +111,32 @@ class Encoder:
                 at -= len(token)
                 token = self.shorter(token)
 
+    def pack(self, text: str) -> bytes:
+        """The text's ids as packed 32-bit numbers."""
+        if len(self.pieces) >= REMEMBERED:
+            self.pieces.clear()
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
+
     def encode(self, text: str) -> list[int]:
-        pieces, ids = self.pieces, []
-        for piece in self.pattern.findall(text):
-            got = pieces.get(piece)
-            if got is None:
-                if len(pieces) >= REMEMBERED:
-                    pieces.clear()
-                got = self.encode_bytes(piece.encode())
-                if len(piece) < 64:
-                    pieces[piece] = got
-            ids += got
-        return ids
+        return np.frombuffer(self.pack(text), np.int32).tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+def packed_lists(packed: list[bytes]) -> pa.ListArray:
+    """An Arrow list of ids for each packed text, without a Python number for each id."""
+    offsets = np.zeros(len(packed) + 1, np.int32)
+    np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def listed(ids: pa.ListArray) -> list[list[int]]:
+    """The lists of an Arrow array; a null is an empty list."""
+    offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
+    return [values[a:b].tolist() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
 @lru_cache(4)
 def encoder(path: str | None = None, pattern: str | None = None) -> Encoder:
     """One Encoder for each process; the rank file must be at the same place on every machine."""
@@ -128,7 +151,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
     def run(batches):
         enc = encoder(path, pattern)
         for b in slices(batches, 64):
-            ids = pa.array([enc.encode(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
+            ids = packed_lists([enc.pack(t or "") for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -140,7 +163,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     def run(batches):
         enc = encoder(path, pattern)
         for b in slices(batches, 64):
-            out = pa.array([enc.decode(ids or ()) for ids in b.column(1).to_pylist()], pa.binary())
+            out = pa.array([enc.decode(ids) for ids in listed(b.column(1))], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), out], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
