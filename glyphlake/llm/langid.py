@@ -27,7 +27,9 @@ TEXTS_A_LANGUAGE, ROUNDS = 150, 2
 #: Probability of a character that no piece covers, and what is added to each piece's count.
 OTHER, ADDED = 1e-9, 0.02
 #: Words whose scores a process remembers; then it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: Words of up to so many letters are scored together; their probabilities don't underflow.
+TOGETHER = 24
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "\u2581"
 TINY, SCALE = 1e-200, 1e200
@@ -132,34 +134,71 @@ def sample_words(docs: DataFrame, texts: int = TEXTS_A_LANGUAGE) -> dict[str, di
 class Scorer:
     def __init__(self, languages: list[str], table: np.ndarray, path: str | None):
         self.automaton = vocabulary(path)[0]
-        self.languages, self.rows = languages, table.tolist()
+        self.languages, self.table, self.rows = languages, table, table.tolist()
         self.known: dict[str, int] = {}
         self.scores = np.empty((1024, len(languages)))
 
-    def place(self, word: str) -> int:
-        at = self.known.get(word)
-        if at is None:
+    def learn(self, words: list[str]) -> None:
+        """Scores new words: short ones together, one position after the other, long ones each on its own."""
+        while len(self.known) + len(words) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
+        short = [w for w in words if len(w) <= TOGETHER]
+        for part in (short, [w for w in words if len(w) > TOGETHER]):
             at = len(self.known)
-            if at == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
-            ends = lattice(word, self.automaton)
-            self.scores[at] = [log_probability(ends, p) for p in self.rows]
-            self.known[word] = at
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall((text or "").lower())
-        if not words or not self.languages:
-            return "und", 0.0
-        if len(self.known) > REMEMBERED:
+            if part:
+                self.scores[at : at + len(part)] = self.together(part) if part is short else [[log_probability(lattice(w, self.automaton), p) for p in self.rows] for w in part]
+            self.known.update(zip(part, range(at, at + len(part))))
+
+    def together(self, words: list[str]) -> np.ndarray:
+        owner, start, end, piece = [], [], [], []
+        for i, word in enumerate(words):
+            for last, (length, number) in self.automaton.iter(START + word):
+                owner.append(i)
+                start.append(last + 1 - length)
+                end.append(last + 1)
+                piece.append(number)
+        owner, start, end, piece = (np.array(x, np.int64) for x in (owner, start, end, piece))
+        lengths = np.array([len(w) + 1 for w in words])
+        # A character that is no piece of its own can stand alone at OTHER.
+        alone = np.arange(1, lengths.max() + 1)[None, :] <= lengths[:, None]
+        single = end - start == 1
+        alone[owner[single], end[single] - 1] = False
+        more, at = np.nonzero(alone)
+        owner, start, end = np.r_[owner, more], np.r_[start, at], np.r_[end, at + 1]
+        piece = np.r_[piece, np.full(len(more), -1)]
+        order = np.argsort(end, kind="stable")
+        cuts = np.searchsorted(end[order], np.arange(1, lengths.max() + 2))
+        a = np.zeros((lengths.max() + 1, len(words), len(self.languages)))
+        a[0] = 1
+        for position in range(1, lengths.max() + 1):
+            rows = order[cuts[position - 1] : cuts[position]]
+            sums = a[start[rows], owner[rows]] * self.table.T[piece[rows]]
+            for k in range(len(self.languages)):
+                a[position, :, k] = np.bincount(owner[rows], sums[:, k], len(words))
+        return np.log(np.maximum(a[lengths, np.arange(len(words))], 1e-300))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, share of the probability) of each text."""
+        if not self.languages:
+            return [("und", 0.0)] * len(texts)
+        out = []
+        found = [LETTERS.findall((t or "").lower()) for t in texts]
+        distinct = set().union(*found)
+        if len(self.known) + len(distinct) > REMEMBERED:
             self.known.clear()
-        sums = self.scores[[0] * 0].sum(0)
-        for at in range(0, len(words), 1 << 16):
-            places = list(map(self.place, words[at : at + (1 << 16)]))
-            sums = sums + self.scores[places].sum(0)
-        shares = np.exp(sums - sums.max())
-        best = int(shares.argmax())
-        return self.languages[best], float(shares[best] / shares.sum())
+        if new := [w for w in distinct if w not in self.known]:
+            self.learn(new)
+        for words in found:
+            sums = np.zeros(len(self.languages))
+            for at in range(0, len(words), 1 << 16):
+                sums = sums + self.scores[list(map(self.known.__getitem__, words[at : at + (1 << 16)]))].sum(0)
+            if not words:
+                out.append(("und", 0.0))
+                continue
+            shares = np.exp(sums - sums.max())
+            best = int(shares.argmax())
+            out.append((self.languages[best], float(shares[best] / shares.sum())))
+        return out
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -185,7 +224,7 @@ def identify(docs: DataFrame, path: str | None = None, texts: int = TEXTS_A_LANG
             _SCORERS.clear()
             scorer = _SCORERS[key] = Scorer(names, probabilities, path)
         for b in slices(batches, 256):
-            found = [scorer.predict(t) for t in b.column(2).to_pylist()]
+            found = scorer.predict(b.column(2).to_pylist())
             lang, score = (list(x) for x in zip(*found)) if found else ([], [])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
