@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,18 +173,28 @@ def iou_pairs(truth: DataFrame, predicted: DataFrame, least: float = 0.3, key: s
 
 
 def greedy_assignment(pairs: DataFrame, key: str = "image") -> DataFrame:
-    """Pairs taken by overlap, best first, while both sides are free; ties by gi, then pi. One image at a time, in pandas."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        used_g, used_p, keep = set(), set(), []
-        for r in rows.sort_values(["iou", "gi", "pi"], ascending=[False, True, True]).itertuples():
-            if r.gi not in used_g and r.pi not in used_p:
-                used_g.add(r.gi)
-                used_p.add(r.pi)
-                keep.append(r.Index)
-        return rows.loc[keep]
-
-    return pairs.groupBy(key).applyInPandas(run, pairs.schema)
+    """Pairs taken by overlap, best first, while both sides are free; ties by gi, then pi.
+
+    An image's pairs arrive together and in that order, and are streamed: only
+    the sides taken so far are held.
+    """
+
+    def run(batches):
+        now, taken_g, taken_p = None, set(), set()
+        for pdf in batches:
+            keep = []
+            for image, g, p in zip(pdf[key].tolist(), pdf["gi"].tolist(), pdf["pi"].tolist()):
+                if image != now:
+                    now, taken_g, taken_p = image, set(), set()
+                free = g not in taken_g and p not in taken_p
+                keep.append(free)
+                if free:
+                    taken_g.add(g)
+                    taken_p.add(p)
+            yield pdf[keep]
+
+    ordered = pairs.repartition(key).sortWithinPartitions(key, F.col("iou").desc(), "gi", "pi")
+    return ordered.mapInPandas(run, pairs.schema)
 
 
 def rotation_score(assigned: DataFrame, truth: DataFrame, predicted: DataFrame, key: str = "image") -> DataFrame:

@@ -1,10 +1,539 @@
-"""The queries of the library's own operators, by name, and the SQL that should give the same rows."""
+"""The queries of the library's own operators, by name, and the SQL that should give the same rows.
+
+Every query names its columns and their kinds once (i whole, d decimal to six
+places, s text, b true or false); both engines' results are brought to them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glyphlake.functions import geometry as geo
+from glyphlake.functions import sizing
+from glyphlake.functions import text as fmt
+from glyphlake.operators import charboxes, ctc, dbpost, evaluate, raster, report
+from glyphlake.plans import inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+_SPARK = {"i": lambda c: c.cast("long"), "d": lambda c: F.round(c.cast("double"), 6) + 0.0, "s": lambda c: c.cast("string"), "b": lambda c: c.cast("boolean")}
+_DUCK = {"i": "CAST({0} AS BIGINT)", "d": "round(CAST({0} AS DOUBLE), 6) + 0.0", "s": "CAST({0} AS VARCHAR)", "b": "CAST({0} AS BOOLEAN)"}
+
+
+def query(columns: str, ctes: str = "", sql: str = ""):
+    """Registers a query under the function's name; without SQL it has none to be held against."""
+    kinds = [c.split(":") for c in columns.split()]
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.select(*(_SPARK[k](F.col(n)).alias(n) for n, k in kinds))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            shown = ", ".join(f'{_DUCK[k].format(chr(34) + n + chr(34))} AS "{n}"' for n, k in kinds)
+            ORACLES[f.__name__] = f"WITH {ctes.strip()}{',' if ctes.strip() else ''} result AS ({sql.strip()}) SELECT {shown} FROM result"
+        return f
+
+    return add
+
+
+
+
+def _quad() -> list:
+    return [F.col(p) for p in geo.POINTS]
+
+
+# --- decoding
+
+_EMITTED = """
+em AS (SELECT *, lag(cls) OVER (PARTITION BY line ORDER BY step) AS before FROM scored),
+kept AS (SELECT * FROM em WHERE cls <> 0 AND (before IS NULL OR before <> cls)),
+lines AS (SELECT DISTINCT line FROM scored)
+"""
+
+
+@query("line:i text:s score:d emitted:i", f"{inputs.LOGITS.strip()}, {_EMITTED.strip()}", """
+SELECT l.line, coalesce(string_agg(['a', 'b', ' '][k.cls], '' ORDER BY k.step), '') AS text, coalesce(avg(k.prob), 0) AS score, count(k.cls) AS emitted
+FROM lines l LEFT JOIN kept k ON l.line = k.line GROUP BY l.line""")
+def ctc_decode(spark, sf_dir):
+    dense = ctc.steps_of(inputs.logits(spark, sf_dir), "logits", inputs.CLASSES)
+    return ctc.decode(dense.select("line", "steps"), ctc.labels_of(inputs.DICTIONARY))
+
+
+@query("line:i step:i cls:i prob:d", inputs.LOGITS, "SELECT line, step, cls, prob FROM scored")
+def ctc_argmax_softmax(spark, sf_dir):
+    dense = ctc.steps_of(inputs.logits(spark, sf_dir), "logits", inputs.CLASSES)
+    return dense.select("line", F.posexplode("steps").alias("step", "s")).select("line", "step", "s.cls", "s.prob")
+
+
+@query("line:i span:i text:s score:d start:i end:i", f"{inputs.EVENT_STEPS.strip()}, {inputs.RUNS.strip()}", """
+SELECT line, row_number() OVER (PARTITION BY line ORDER BY start) - 1 AS span, ['c', 'p', 's', ' '][cls] AS text, score, start, "end" FROM found""")
+def ctc_spans(spark, sf_dir):
+    return ctc.spans(inputs.steps(spark, sf_dir), ctc.labels_of(inputs.EVENT_DICTIONARY))
+
+
+@query("line:i spans:i best:d steps:i", f"{inputs.EVENT_STEPS.strip()}, {inputs.RUNS.strip()}", """
+SELECT l.line, count(f.line) AS spans, coalesce(max(f.score), 0) AS best, coalesce(sum(f."end" - f.start), 0) AS steps FROM (SELECT DISTINCT line FROM scored) l LEFT JOIN found f ON l.line = f.line GROUP BY l.line""")
+def ctc_captured_lines(spark, sf_dir):
+    steps = inputs.steps(spark, sf_dir)
+    lines = ctc.captured(steps.select("line").distinct(), ctc.spans(steps, ctc.labels_of(inputs.EVENT_DICTIONARY)))
+    best = F.coalesce(F.array_max(F.transform("spans", lambda x: x["score"])), F.lit(0.0))
+    length = F.aggregate("spans", F.lit(0), lambda s, x: s + x["end"] - x["start"])
+    return lines.select("line", F.size("spans").alias("spans"), best.alias("best"), length.alias("steps"))
+
+
+@query("line:i label:i score:d turned:i", """
+h AS (SELECT vec_id AS line, embedding[1]::DOUBLE * 0.5 + embedding[2]::DOUBLE * -1.0 + 0.1 AS a, embedding[1]::DOUBLE * -0.25 + embedding[2]::DOUBLE * 2.0 - 0.1 AS b FROM embeddings)""", """
+SELECT line, CASE WHEN b > a THEN 1 ELSE 0 END AS label, 1 / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))) AS score,
+       CASE WHEN b > a AND 1 / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))) > 0.55 THEN 180 ELSE 0 END AS turned FROM h""")
+def linear_head(spark, sf_dir):
+    out = ctc.head(inputs.logits(spark, sf_dir), "logits", [[0.5, -0.25], [-1.0, 2.0]], [0.1, -0.1])
+    return out.withColumn("turned", ctc.turned(F.col("label"), F.col("score"), 0.55))
+
+
+@query("line:i label:s n:i", inputs.EVENT_STEPS, """
+SELECT line, ['', 'c', 'p', 's', ' '][cls + 1] AS label, count(*) AS n FROM scored GROUP BY ALL""")
+def dictionary_lookup(spark, sf_dir):
+    from glyphlake.sources.bench import dictionary_table
+
+    table = dictionary_table(spark, inputs.EVENT_DICTIONARY)  # a dictionary is a few thousand labels: small by its kind
+    return inputs.steps(spark, sf_dir).join(F.broadcast(table), "cls").groupBy("line", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- characters
+
+_CHARS = """
+nb AS (SELECT *, row_number() OVER w - 1 AS span, lag("end") OVER w AS pe, lead(start) OVER w AS ns, max("end") OVER (PARTITION BY line) + 2 AS ts, line % 2 = 1 AS flip, line % 3 = 0 AS tall
+       FROM found WINDOW w AS (PARTITION BY line ORDER BY start)),
+lr AS (SELECT *, coalesce((pe + start) / 2.0, start) * 1.25 / ts AS a, coalesce(("end" + ns) / 2.0, "end") * 1.25 / ts AS b FROM nb),
+tt AS (SELECT *, greatest(0, least(1, CASE WHEN flip THEN 1 - b ELSE a END)) AS t0, greatest(0, least(1, CASE WHEN flip THEN 1 - a ELSE b END)) AS t1 FROM lr)
+"""
+
+
+@query("line:i span:i bx1:d by1:d bx2:d by2:d bx3:d by3:d bx4:d by4:d", f"{inputs.EVENT_STEPS.strip()}, {inputs.RUNS.strip()}, {_CHARS.strip()}", """
+SELECT line, span,
+  CASE WHEN tall THEN 10 ELSE 10 + 90 * t0 END AS bx1, CASE WHEN tall THEN 20 + 70 * (1 - t0) ELSE 20 END AS by1,
+  CASE WHEN tall THEN 10 ELSE 10 + 90 * t1 END AS bx2, CASE WHEN tall THEN 20 + 70 * (1 - t1) ELSE 20 END AS by2,
+  CASE WHEN tall THEN 30 ELSE 10 + 90 * t1 END AS bx3, CASE WHEN tall THEN 20 + 70 * (1 - t1) ELSE 40 END AS by3,
+  CASE WHEN tall THEN 30 ELSE 10 + 90 * t0 END AS bx4, CASE WHEN tall THEN 20 + 70 * (1 - t0) ELSE 40 END AS by4 FROM tt""")
+def character_boxes(spark, sf_dir):
+    found = ctc.spans(inputs.steps(spark, sf_dir), ctc.labels_of(inputs.EVENT_DICTIONARY))
+    tall = F.col("line") % 3 == 0
+    right, low = F.when(tall, 30.0).otherwise(100.0), F.when(tall, 90.0).otherwise(40.0)
+    corners = dict(zip(geo.POINTS, (F.lit(10.0), F.lit(20.0), right, F.lit(20.0), right, low, F.lit(10.0), low)))
+    steps = (F.max("end").over(Window.partitionBy("line")) + 2).alias("time_steps")
+    lines = found.select("*", steps, F.lit(320).alias("content_width"), F.lit(400).alias("tensor_width"), F.when(F.col("line") % 2 == 1, 180).otherwise(0).alias("rotation"), *(v.alias(k) for k, v in corners.items()))
+    return charboxes.character_boxes(lines)
+
+
+# --- sizes
+
+_LINES = "li AS (SELECT l_orderkey AS page, l_linenumber AS line_no, (l_partkey % 700 + 1)::INT AS w, (l_suppkey % 90 + 1)::INT AS h FROM lineitem)"
+
+
+def _lines(spark, sf_dir):
+    li = inputs.load(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line_no"), (F.col("l_partkey") % 700 + 1).cast("int").alias("w"), (F.col("l_suppkey") % 90 + 1).cast("int").alias("h"))
+
+
+@query("w:i h:i natural:i target:i rec:i cls_window:i cls:i", _LINES, """
+SELECT w, h, ceil(w * 48.0::DOUBLE / h) AS natural, greatest(32, ((ceil(w * 48.0::DOUBLE / h)::BIGINT + 31) // 32) * 32) AS target,
+       least(greatest(32, ((ceil(w * 48.0::DOUBLE / h)::BIGINT + 31) // 32) * 32), ceil(w * 48.0::DOUBLE / h)) AS rec,
+       least(w, 4 * h) AS cls_window, least(160, ceil(least(w, 4 * h) * 80.0::DOUBLE / h)) AS cls FROM (SELECT DISTINCT w, h FROM li)""")
+def line_sizes(spark, sf_dir):
+    w, h = F.col("w"), F.col("h")
+    target = sizing.recogniser_target(w, h)
+    return _lines(spark, sf_dir).select("w", "h").distinct().select(
+        "w", "h", sizing.natural_width(w, h).alias("natural"), target.alias("target"), sizing.recogniser_width(w, h, target).alias("rec"), sizing.classifier_window(w, h).alias("cls_window"), sizing.classifier_width(w, h).alias("cls")
+    )
+
+
+_PAGES = "pg AS (SELECT DISTINCT (o_orderkey % 1900 + 1)::INT AS w, (o_custkey % 1300 + 1)::INT AS h FROM orders)"
+
+
+def _pages(spark, sf_dir):
+    o = inputs.load(spark, sf_dir, "orders")
+    return o.select((F.col("o_orderkey") % 1900 + 1).cast("int").alias("w"), (F.col("o_custkey") % 1300 + 1).cast("int").alias("h")).distinct()
+
+
+@query("w:i h:i det_w:i det_h:i", f"{_PAGES}, pd AS (SELECT *, CASE WHEN w + h < 64 THEN greatest(w, 32) ELSE w END AS pw, CASE WHEN w + h < 64 THEN greatest(h, 32) ELSE h END AS ph FROM pg)", """
+SELECT w, h, greatest(32, floor(floor(pw * least(1.0::DOUBLE, 960.0::DOUBLE / greatest(pw, ph))) / 32 + 0.5) * 32) AS det_w,
+       greatest(32, floor(floor(ph * least(1.0::DOUBLE, 960.0::DOUBLE / greatest(pw, ph))) / 32 + 0.5) * 32) AS det_h FROM pd""")
+def detector_sizes(spark, sf_dir):
+    w, h = sizing.detector_size(F.col("w"), F.col("h"))
+    return _pages(spark, sf_dir).select("w", "h", w.alias("det_w"), h.alias("det_h"))
+
+
+@query("w:i h:i scaled_width:i scaled_height:i left:i top:i turned_w:i turned_h:i", f"{_PAGES}, sc AS (SELECT *, round_even(w * (256.0::DOUBLE / least(w, h)), 0)::BIGINT AS sw, round_even(h * (256.0::DOUBLE / least(w, h)), 0)::BIGINT AS sh FROM pg)", """
+SELECT w, h, sw AS scaled_width, sh AS scaled_height, floor((sw - 224) / 2) AS "left", floor((sh - 224) / 2) AS top, CASE WHEN (w % 4) IN (1, 3) THEN h ELSE w END AS turned_w, CASE WHEN (w % 4) IN (1, 3) THEN w ELSE h END AS turned_h FROM sc""")
+def orientation_sizes(spark, sf_dir):
+    size = sizing.orientation_size(F.col("w"), F.col("h"))
+    tw, th = sizing.rotated_size(F.col("w"), F.col("h"), F.col("w") % 4 * 90)
+    return _pages(spark, sf_dir).select("w", "h", *(v.alias(k) for k, v in size.items()), tw.alias("turned_w"), th.alias("turned_h"))
+
+
+@query("part:i lines:i crops:i threads:i budget:i", "w AS (SELECT p_partkey AS part, (p_size % 20)::INT AS asked, (p_partkey % 32 + 1)::INT AS cpus FROM part), l AS (SELECT *, least(least(CASE WHEN asked > 0 THEN asked ELSE least(cpus, 4) END, cpus), 16) AS lines FROM w)", """
+SELECT part, lines, greatest(lines, least(cpus, 16)) AS crops, greatest(1, least(8, cpus // lines)) AS threads, greatest(2, least(12, 2 * lines // (part % 5 + 1))) AS budget FROM l""")
+def worker_budgets(spark, sf_dir):
+    p = inputs.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), (F.col("p_size") % 20).alias("asked"), (F.col("p_partkey") % 32 + 1).cast("int").alias("cpus"))
+    lines = sizing.line_workers(F.col("asked"), F.col("cpus"))
+    p = p.withColumn("lines", lines)
+    return p.select("part", "lines", sizing.crop_workers(F.col("lines"), F.col("cpus")).alias("crops"), sizing.recogniser_threads(F.col("cpus"), F.col("lines")).alias("threads"), sizing.line_budget(F.lit(2), F.col("lines"), F.col("part") % 5 + 1, F.lit(12)).alias("budget"))
+
+
+@query("part:i bytes:i swaps:b row:i fits:b area:i drawn:i", "f AS (SELECT p_partkey AS part, (p_partkey % 4)::INT AS f, p_size AS w, (p_partkey % 50 + 1)::INT AS h, CASE WHEN p_size % 2 = 0 THEN 0 ELSE p_size * 4 + 3 END AS given FROM part), s AS (SELECT *, CASE WHEN f < 2 THEN 3 ELSE 4 END AS bpp, CASE WHEN given = 0 THEN w * CASE WHEN f < 2 THEN 3 ELSE 4 END ELSE given END AS r FROM f)", """
+SELECT part, bpp AS bytes, f IN (1, 3) AS swaps, r AS row, r >= w * bpp AND (h - 1) * r + w * bpp <= 5000 AS fits, w * h AS area, [0, 180, 180, 0, 0, 180][(part % 6 + 1)::INT] AS drawn FROM s""")
+def pixel_layouts(spark, sf_dir):
+    p = inputs.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), (F.col("p_partkey") % 4).cast("int").alias("f"), F.col("p_size").alias("w"), (F.col("p_partkey") % 50 + 1).cast("int").alias("h"))
+    p = p.withColumn("given", F.when(F.col("w") % 2 == 0, 0).otherwise(F.col("w") * 4 + 3))
+    row = sizing.stride(F.col("given"), F.col("w"), F.col("f"))
+    angle = F.element_at(F.array(*map(F.lit, (0, 90, 180, -90, 270, -180))), (F.col("part") % 6 + 1).cast("int"))
+    return p.withColumn("row", row).select("part", sizing.bytes_per_pixel(F.col("f")).alias("bytes"), sizing.swaps_red_blue(F.col("f")).alias("swaps"), "row", sizing.fits_buffer(F.lit(5000), F.col("row"), F.col("w"), F.col("h"), F.col("f")).alias("fits"), sizing.checked_pixels(F.col("w"), F.col("h")).alias("area"), sizing.drawn_degrees(angle).alias("drawn"))
+
+
+_UNIQUE = "u AS (SELECT page, line_no, max(w) AS w, max(h) AS h FROM li GROUP BY 1, 2), tw AS (SELECT *, greatest(32, ((ceil(w * 48.0::DOUBLE / h)::BIGINT + 31) // 32) * 32) AS target FROM u)"
+
+
+def _unique(spark, sf_dir):
+    return _lines(spark, sf_dir).groupBy("page", "line_no").agg(F.max("w").alias("width"), F.max("h").alias("height"))
+
+
+@query("page:i line_no:i target_width:i batch:i slot:i", f"{_LINES}, {_UNIQUE}", "SELECT page, line_no, target AS target_width, (row_number() OVER w - 1) // 2 AS batch, (row_number() OVER w - 1) % 2 AS slot FROM tw WINDOW w AS (PARTITION BY page, target ORDER BY line_no)")
+def width_batches(spark, sf_dir):
+    lines = _unique(spark, sf_dir)
+    return evaluate.width_batches(lines.withColumn("target_width", sizing.recogniser_target(F.col("width"), F.col("height"))), 2)
+
+
+@query("page:i line_no:i turn:i", f"{_LINES}, {_UNIQUE}", "SELECT page, line_no, row_number() OVER (PARTITION BY page ORDER BY w::DOUBLE / h DESC, line_no) AS turn FROM tw")
+def longest_first(spark, sf_dir):
+    return evaluate.longest_first(_unique(spark, sf_dir))
+
+
+# --- boxes
+
+@query("line:i min_x:d min_y:d max_x:d max_y:d area:d convex:b inside:b grow:d", inputs.QUADS, """
+SELECT line, least(x1, x2, x3, x4) AS min_x, least(y1, y2, y3, y4) AS min_y, greatest(x1, x2, x3, x4) AS max_x, greatest(y1, y2, y3, y4) AS max_y,
+  ((x1 * y2 - x2 * y1) + (x2 * y3 - x3 * y2) + (x3 * y4 - x4 * y3) + (x4 * y1 - x1 * y4)) / 2 AS area,
+  (x2 - x1) * (y3 - y1) - (y2 - y1) * (x3 - x1) > 0 AND (x3 - x2) * (y4 - y2) - (y3 - y2) * (x4 - x2) > 0 AND (x4 - x3) * (y1 - y3) - (y4 - y3) * (x1 - x3) > 0 AND (x1 - x4) * (y2 - y4) - (y1 - y4) * (x2 - x4) > 0 AS convex,
+  NOT (greatest((x2 - x1) * (40 - y1) - (y2 - y1) * (50 - x1), (x3 - x2) * (40 - y2) - (y3 - y2) * (50 - x2), (x4 - x3) * (40 - y3) - (y4 - y3) * (50 - x3), (x1 - x4) * (40 - y4) - (y1 - y4) * (50 - x4)) > 0
+   AND least((x2 - x1) * (40 - y1) - (y2 - y1) * (50 - x1), (x3 - x2) * (40 - y2) - (y3 - y2) * (50 - x2), (x4 - x3) * (40 - y3) - (y4 - y3) * (50 - x3), (x1 - x4) * (40 - y4) - (y1 - y4) * (50 - x4)) < 0) AS inside,
+  abs(((x1 * y2 - x2 * y1) + (x2 * y3 - x3 * y2) + (x3 * y4 - x4 * y3) + (x4 * y1 - x1 * y4)) / 2) * 1.4::DOUBLE
+   / (sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) + sqrt((x3 - x2) ** 2 + (y3 - y2) ** 2) + sqrt((x4 - x3) ** 2 + (y4 - y3) ** 2) + sqrt((x1 - x4) ** 2 + (y1 - y4) ** 2)) AS grow FROM q""")
+def quad_measures(spark, sf_dir):
+    q = _quad()
+    box = geo.aabb(q)
+    return inputs.quads(spark, sf_dir).select("line", *(c.alias(n) for c, n in zip(box, ("min_x", "min_y", "max_x", "max_y"))), geo.signed_area(q).alias("area"), geo.is_positive_convex(q).alias("convex"), geo.point_in_quad(F.lit(50.0), F.lit(40.0), q).alias("inside"), geo.unclip_distance(q).alias("grow"))
+
+
+@query("line:i center_x:d center_y:d long_edge:d short_edge:d angle:d", f"{inputs.QUADS.strip()}, e AS (SELECT *, sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) AS ac, sqrt((x1 - x4) ** 2 + (y1 - y4) ** 2) AS dn FROM q)", """
+SELECT line, (x1 + x2 + x3 + x4) / 4 AS center_x, (y1 + y2 + y3 + y4) / 4 AS center_y, greatest(ac, dn) AS long_edge, least(ac, dn) AS short_edge,
+       degrees(CASE WHEN ac >= dn THEN atan2(y2 - y1, x2 - x1) ELSE atan2(y4 - y1, x4 - x1) END) AS angle FROM e""")
+def quad_frames(spark, sf_dir):
+    return inputs.quads(spark, sf_dir).select("line", *(v.alias(k) for k, v in geo.quad_frame(_quad()).items()))
+
+
+@query("line:i sx:d sy:d", inputs.QUADS, """
+SELECT line, CASE size % 4 WHEN 1 THEN 400 - 1 - y1 WHEN 2 THEN 400 - 1 - x1 WHEN 3 THEN y1 ELSE x1 END AS sx,
+       CASE size % 4 WHEN 1 THEN x1 WHEN 2 THEN 300 - 1 - y1 WHEN 3 THEN 300 - 1 - x1 ELSE y1 END AS sy FROM q""")
+def to_source(spark, sf_dir):
+    x, y = geo.to_source(F.col("x1"), F.col("y1"), F.lit(400), F.lit(300), F.col("size") % 4 * 90)
+    return inputs.quads(spark, sf_dir).select("line", x.alias("sx"), y.alias("sy"))
+
+
+@query("line:i ox1:d oy1:d ox2:d oy2:d ox3:d oy3:d ox4:d oy4:d", f"""{inputs.QUADS.strip()},
+pts AS (SELECT line, unnest([0, 1, 2, 3]) AS i, unnest([x3, x1, x4, x2]) AS x, unnest([y3, y1, y4, y2]) AS y FROM q),
+rk AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY x + y, i) AS lo, row_number() OVER (PARTITION BY line ORDER BY x + y DESC, i) AS hi FROM pts),
+md AS (SELECT line, i, x, y, row_number() OVER (PARTITION BY line ORDER BY y - x, i DESC) AS k FROM rk WHERE lo > 1 AND hi > 1)""", """
+SELECT a.line, a.x AS ox1, a.y AS oy1, b.x AS ox2, b.y AS oy2, c.x AS ox3, c.y AS oy3, d.x AS ox4, d.y AS oy4
+FROM rk a JOIN md b ON a.line = b.line AND a.lo = 1 AND b.k = 1 JOIN rk c ON a.line = c.line AND c.hi = 1 JOIN md d ON a.line = d.line AND d.k = 2""")
+def order_clockwise(spark, sf_dir):
+    shuffled = [F.col(c) for c in ("x3", "y3", "x1", "y1", "x4", "y4", "x2", "y2")]
+    out = geo.order_clockwise(shuffled)
+    return inputs.quads(spark, sf_dir).select("line", *(c.alias(f"o{p}") for c, p in zip(out, geo.POINTS)))
+
+
+_PERSPECTIVE = f"""{inputs.QUADS.strip()},
+d1 AS (SELECT *, floor(greatest(sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2), sqrt((x3 - x4) ** 2 + (y3 - y4) ** 2))) AS pw, floor(greatest(sqrt((x1 - x4) ** 2 + (y1 - y4) ** 2), sqrt((x2 - x3) ** 2 + (y2 - y3) ** 2))) AS ph,
+   x1 - x2 + x3 - x4 AS sx, y1 - y2 + y3 - y4 AS sy, x2 - x3 AS ax, y2 - y3 AS ay, x4 - x3 AS bx, y4 - y3 AS byy FROM q),
+d2 AS (SELECT *, (sx * byy - bx * sy) / (ax * byy - bx * ay) AS g, (ax * sy - sx * ay) / (ax * byy - bx * ay) AS h FROM d1)"""
+
+
+@query("line:i width:i height:i vertical:b mx:d my:d", _PERSPECTIVE, """
+SELECT line, CASE WHEN ph >= 1.5 * pw THEN ph ELSE pw END AS width, CASE WHEN ph >= 1.5 * pw THEN pw ELSE ph END AS height, ph >= 1.5 * pw AS vertical,
+       ((x2 - x1 + g * x2) * 0.25 + (x4 - x1 + h * x4) * 0.75 + x1) / (g * 0.25 + h * 0.75 + 1) AS mx, ((y2 - y1 + g * y2) * 0.25 + (y4 - y1 + h * y4) * 0.75 + y1) / (g * 0.25 + h * 0.75 + 1) AS my FROM d2""")
+def perspective_crops(spark, sf_dir):
+    p = geo.Perspective.of(_quad())
+    (w, h), (x, y) = p.size(), p.map(F.lit(0.25), F.lit(0.75))
+    return inputs.quads(spark, sf_dir).select("line", w.alias("width"), h.alias("height"), p.vertical.alias("vertical"), x.alias("mx"), y.alias("my"))
+
+
+@query("line:i px:d py:d", inputs.QUADS, """
+SELECT line, greatest(0, least(640, round_even(x3 / 416 * 640, 0))) AS px, greatest(0, least(200, round_even(y3 / 320 * 200, 0))) AS py FROM q""")
+def map_to_source(spark, sf_dir):
+    return inputs.quads(spark, sf_dir).select("line", geo.to_map(F.col("x3"), F.lit(416), F.lit(640)).alias("px"), geo.to_map(F.col("y3"), F.lit(320), F.lit(200)).alias("py"))
+
+
+_IOU = f"""{inputs.BOXES.strip()},
+ov AS (SELECT gt.image, gt.line AS gi, pr.line AS pi, least(gt.x1, pr.x1) - greatest(gt.x0, pr.x0) AS iw, least(gt.y1, pr.y1) - greatest(gt.y0, pr.y0) AS ih,
+              (gt.x1 - gt.x0) * (gt.y1 - gt.y0) + (pr.x1 - pr.x0) * (pr.y1 - pr.y0) AS areas FROM gt JOIN pr USING (image)),
+pairs AS (SELECT image, gi, pi, iw * ih / (areas - iw * ih) AS iou FROM ov WHERE iw > 0 AND ih > 0 AND iw * ih / (areas - iw * ih) >= 0.3)"""
+
+
+@query("image:i gi:i pi:i iou:d", _IOU, "SELECT * FROM pairs")
+def iou_matches(spark, sf_dir):
+    return evaluate.iou_pairs(inputs.truth_boxes(spark, sf_dir), inputs.predicted_boxes(spark, sf_dir))
+
+
+@query("image:i gi:i pi:i iou:d")
+def greedy_assignment(spark, sf_dir):
+    return evaluate.greedy_assignment(evaluate.iou_pairs(inputs.truth_boxes(spark, sf_dir), inputs.predicted_boxes(spark, sf_dir)))
+
+
+@query("cls_correct:i cls_total:i")
+def rotation_by_box(spark, sf_dir):
+    t, p = inputs.truth_boxes(spark, sf_dir), inputs.predicted_boxes(spark, sf_dir)
+    return evaluate.rotation_score(evaluate.greedy_assignment(evaluate.iou_pairs(t, p)), t, p)
+
+
+@query("page:i line_no:i place:i")
+def reading_order(spark, sf_dir):
+    boxes = inputs.truth_boxes(spark, sf_dir).select(F.col("image").alias("page"), F.col("line").alias("line_no"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
+    return dbpost.sort_reading_order(boxes)
+
+
+# --- summaries
+
+@query("run:s n:i mean:d median:d p95:d min:d max:d sum:d", f"{inputs.BENCH.strip()}, sm AS (SELECT run, count(*) AS n, avg(total_ms) AS mean, median(total_ms) AS median, list_sort(list(total_ms)) AS v, min(total_ms) AS min, max(total_ms) AS max, sum(total_ms) AS sum FROM br GROUP BY run)", """
+SELECT run, n, mean, median, v[least(n - 1, floor(0.95::DOUBLE * (n - 1) + 0.5))::BIGINT + 1] AS p95, min, max, sum FROM sm""")
+def stage_stats(spark, sf_dir):
+    return evaluate.stats(inputs.bench_rows(spark, sf_dir), ["run"], "total_ms")
+
+
+@query("run:s rounded:d ceiling:d upper:d picked:d", f"{inputs.BENCH.strip()}, sm AS (SELECT run, count(*) AS n, list_sort(list(total_ms)) AS v FROM br GROUP BY run)", """
+SELECT run, v[least(n - 1, floor(0.95::DOUBLE * (n - 1) + 0.5))::BIGINT + 1] AS rounded, v[greatest(1, ceil(0.95::DOUBLE * n))::BIGINT] AS ceiling, v[n // 2 + 1] AS upper, v[least(n - 1, floor(0.95::DOUBLE * (n - 1) + 0.5))::BIGINT + 1] AS picked FROM sm""")
+def percentile_rules(spark, sf_dir):
+    rows = inputs.bench_rows(spark, sf_dir)
+    v, n = F.col("total_ms"), F.col("n")
+    listed = rows.groupBy("run").agg(evaluate.p95_rounded(v).alias("rounded"), evaluate.p95_ceiling(v).alias("ceiling"), evaluate.upper_median(v).alias("upper"))
+    return listed.join(evaluate.ranked(rows, ["run"], "total_ms", {"picked": F.least(n - 1, F.floor(0.95 * (n - 1) + 0.5))}), "run")
+
+
+_SUMMARY = f"""{inputs.BENCH.strip()},
+wu AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seq) <= least(3, count(*) OVER (PARTITION BY run) - 1) AS warm FROM br),
+me AS (SELECT run, count(*) AS n, avg(total_ms) AS mean, median(total_ms) AS median, list_sort(list(total_ms)) AS v, min(total_ms) AS min, max(total_ms) AS max, sum(total_ms) AS sum, sum(lines) AS lt FROM wu WHERE NOT warm GROUP BY run),
+al AS (SELECT run, count(*) FILTER (warm) AS warmup, avg(total_ms) FILTER (warm) AS warmup_ms, arg_max(working_set_mb, seq) - arg_min(working_set_mb, seq) AS delta FROM wu GROUP BY run),
+sl AS (SELECT run, file FROM wu WHERE NOT warm QUALIFY row_number() OVER (PARTITION BY run ORDER BY total_ms DESC, seq) = 1)"""
+
+
+@query("run:s n:i warmup:i mean:d median:d p95:d min:d max:d sum:d img_per_s:d lines_mean:d lines_total:i warmup_ms:d slowest_file:s working_set_delta:d", _SUMMARY, """
+SELECT run, n, warmup, mean, median, v[least(n - 1, floor(0.95::DOUBLE * (n - 1) + 0.5))::BIGINT + 1] AS p95, min, max, sum, 1000 / mean AS img_per_s, lt::DOUBLE / n AS lines_mean, lt AS lines_total,
+       warmup_ms, file AS slowest_file, delta AS working_set_delta FROM me JOIN al USING (run) JOIN sl USING (run)""")
+def build_summary(spark, sf_dir):
+    return evaluate.build_summary(evaluate.warmup(inputs.bench_rows(spark, sf_dir), ["run"], ["seq"], 3), ["run"])
+
+
+@query("user:i key:s mean:d position:i", """
+km AS (SELECT user_id AS u, CASE event_type WHEN 'view' THEN 'crop' WHEN 'click' THEN 'det_graph' WHEN 'purchase' THEN 'zeta' ELSE event_type END AS key, avg(value) AS mean FROM events GROUP BY 1, 2)""", """
+SELECT u AS "user", key, mean, row_number() OVER (PARTITION BY u ORDER BY CASE key WHEN 'det_graph' THEN 2 WHEN 'crop' THEN 5 ELSE 12 END, key) AS position FROM km""")
+def stage_means(spark, sf_dir):
+    key = F.when(F.col("event_type") == "view", "crop").when(F.col("event_type") == "click", "det_graph").when(F.col("event_type") == "purchase", "zeta").otherwise(F.col("event_type"))
+    rows = inputs.load(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.create_map(key, F.col("value")).alias("stage_ms"))
+    return evaluate.key_means(rows, ["user"], "stage_ms")
+
+
+@query("run:s seq:i delta_ms:d delta_calls:i", f"{inputs.BENCH.strip()}, cu AS (SELECT run, seq, sum(total_ms) OVER w AS ms, sum(CASE WHEN lines % 3 = 0 THEN 0 ELSE lines END) OVER w AS calls FROM br WINDOW w AS (PARTITION BY run ORDER BY seq ROWS UNBOUNDED PRECEDING)), de AS (SELECT run, seq, ms - coalesce(lag(ms) OVER w, 0) AS delta_ms, calls - coalesce(lag(calls) OVER w, 0) AS delta_calls FROM cu WINDOW w AS (PARTITION BY run ORDER BY seq))", "SELECT * FROM de WHERE delta_calls > 0")
+def counter_deltas(spark, sf_dir):
+    over = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = inputs.bench_rows(spark, sf_dir)
+    calls = F.when(F.col("lines") % 3 == 0, 0).otherwise(F.col("lines"))
+    return evaluate.counter_deltas(rows.select("run", "seq", F.sum("total_ms").over(over).alias("ms"), F.sum(calls).over(over).alias("calls")), ["run"], "seq")
+
+
+@query("run:s seq:i peak:d", inputs.BENCH, "SELECT run, seq, max(working_set_mb) OVER (PARTITION BY run ORDER BY seq ROWS UNBOUNDED PRECEDING) AS peak FROM br")
+def running_peak(spark, sf_dir):
+    return evaluate.running_peak(inputs.bench_rows(spark, sf_dir), ["run"], "seq", "working_set_mb")
+
+
+@query("run:s steady:d", f"{inputs.BENCH.strip()}, lr AS (SELECT * FROM br QUALIFY row_number() OVER (PARTITION BY run ORDER BY seq DESC) <= 50), sv AS (SELECT run, list_sort(list(total_ms)) AS v, count(*) AS n FROM lr GROUP BY run)", "SELECT run, v[n // 2 + 1] AS steady FROM sv")
+def steady_tail(spark, sf_dir):
+    return evaluate.steady_tail(inputs.bench_rows(spark, sf_dir), ["run"], "seq", "total_ms")
+
+
+@query("event_id:i k:d", "", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.k')::DOUBLE ELSE json_extract_string(props, '$.k')::DOUBLE END AS k FROM events""")
+def polymorphic_metric(spark, sf_dir):
+    e = inputs.load(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"ms": '), k, F.lit(', "calls": 1}'))).otherwise(k)
+    return e.select("event_id", evaluate.metric_value(raw).alias("k"))
+
+
+# --- accuracy
+
+@query("file:s line:i text:s exact:b chars:i errors:i", inputs.LINES, "SELECT file, line, text, exact, chars, errors FROM le")
+def line_errors(spark, sf_dir):
+    return evaluate.line_errors(inputs.truth_lines(spark, sf_dir), inputs.predicted_lines(spark, sf_dir))
+
+
+@query("exact_lines:i total_lines:i exact_img:i images:i errors:i total_chars:i cer:d char_acc:d", f"{inputs.LINES.strip()}, im AS (SELECT file, sum(exact::INT) AS hit, count(*) AS n, sum(errors) AS e, sum(chars) AS c FROM le GROUP BY file)", """
+SELECT sum(hit) AS exact_lines, sum(n) AS total_lines, count(*) FILTER (hit = n) AS exact_img, count(*) AS images, sum(e) AS errors, sum(c) AS total_chars, sum(e)::DOUBLE / sum(c) AS cer, 1 - sum(e)::DOUBLE / sum(c) AS char_acc FROM im""")
+def accuracy(spark, sf_dir):
+    return evaluate.accuracy(evaluate.line_errors(inputs.truth_lines(spark, sf_dir), inputs.predicted_lines(spark, sf_dir)))
+
+
+@query("cls_correct:i cls_total:i", inputs.LINES.replace("t AS (SELECT *, lower(file) AS f, row_number() OVER (PARTITION BY lower(file), text ORDER BY line) AS k FROM tl WHERE lower(file) IN (SELECT lower(file) FROM pl))", "t AS (SELECT *, lower(file) AS f, row_number() OVER (PARTITION BY lower(file), text ORDER BY line) AS k FROM tl)"), """
+SELECT coalesce(sum((cls_degrees = rotation)::INT), 0) AS cls_correct, count(*) AS cls_total FROM t JOIN p ON t.f = p.f AND t.text = p.text AND t.k = p.k""")
+def rotation_by_text(spark, sf_dir):
+    return evaluate.rotation_score_by_text(inputs.truth_lines(spark, sf_dir), inputs.predicted_lines(spark, sf_dir))
+
+
+# --- reports
+
+_BASE = "first_value(mean) OVER (PARTITION BY {0} ORDER BY CASE WHEN case_id IN ('tiny-4w', 'tiny') THEN 0 ELSE 1 END, case_id, label)"
+_RATED = f"{inputs.RUNS_TABLE.strip()}, bs AS (SELECT *, {_BASE.format('lower(rid), replica')} AS baseline FROM rn), rt AS (SELECT *, CASE WHEN baseline > 0 THEN mean / baseline END AS ratio FROM bs)"
+
+
+@query("run:i baseline:d ratio:d", _RATED, "SELECT run, baseline, ratio FROM rt")
+def replica_baseline(spark, sf_dir):
+    return report.with_baseline(inputs.runs(spark, sf_dir).withColumn("_rid", F.lower("rid")), ["_rid", "replica"])
+
+
+@query("run:i peers:i ratio:d", f"{inputs.RUNS_TABLE.strip()}, bs AS (SELECT *, {_BASE.format('lower(rid), replica, cpu_name')} AS baseline, count(*) OVER (PARTITION BY lower(rid), replica, cpu_name) AS peers FROM rn)", "SELECT run, peers, CASE WHEN peers > 1 AND baseline > 0 THEN mean / baseline END AS ratio FROM bs")
+def smoke_peers(spark, sf_dir):
+    return report.smoke(inputs.runs(spark, sf_dir))
+
+
+@query("rid:s case_key:s replicas:i ratio_median:d ratio_min:d ratio_max:d ws_delta_median:d", _RATED, """
+SELECT lower(rid) AS rid, CASE WHEN case_id = '' THEN label ELSE case_id END AS case_key, count(ratio) AS replicas, median(ratio) AS ratio_median, min(ratio) AS ratio_min, max(ratio) AS ratio_max, median(ws_last - ws_loaded) AS ws_delta_median
+FROM rt GROUP BY 1, 2 HAVING count(ratio) > 1""")
+def case_rollup(spark, sf_dir):
+    return report.case_rollup(inputs.runs(spark, sf_dir))
+
+
+@query("key:s position:i click:s view:s", "pv AS (SELECT 'k' || (event_id % 40) AS key, avg(value) FILTER (event_type = 'click') AS c, avg(value) FILTER (event_type = 'view' AND event_id % 3 = 0) AS v FROM events WHERE event_type = 'click' OR (event_type = 'view' AND event_id % 3 = 0) GROUP BY 1)", "SELECT key, 12 AS position, coalesce(printf('%.2f', c), '-') AS click, coalesce(printf('%.2f', v), '-') AS view FROM pv")
+def compare_runs(spark, sf_dir):
+    e = inputs.load(spark, sf_dir, "events").filter("event_type = 'click' or (event_type = 'view' and event_id % 3 = 0)")
+    rows = e.select(F.concat(F.lit("k"), (F.col("event_id") % 40).cast("string")).alias("key"), F.col("event_type").alias("run"), "value")
+    return report.compare(rows, ["click", "view"])
+
+
+@query("key:s", "", "SELECT DISTINCT 'k' || (event_id % 40) AS key FROM events")
+def key_union(spark, sf_dir):
+    return report.key_union(inputs.load(spark, sf_dir, "events").select(F.concat(F.lit("k"), (F.col("event_id") % 40).cast("string")).alias("key")))
+
+
+_LABEL = f"""{inputs.RUNS_TABLE.strip()}, sd AS (SELECT *, CASE WHEN contains(lower(library), 'netstandard') THEN 'ns2' WHEN hwintrinsic = '0' THEN 'scalar' WHEN avx = '0' THEN 'noavx' WHEN avx2 = '0' THEN 'noavx2' WHEN avx512 = '0' THEN 'noavx512' ELSE '' END AS simd FROM rn)"""
+
+
+@query("run:i simd:s run_label:s simd_rank:i model_rank:i kind_of:s", _LABEL, """
+SELECT run, simd, trim(rid || ' ' || engine || ' ' || model || ' ' || workers || 'w' || CASE WHEN simd = '' THEN '' ELSE ' ' || simd END) AS run_label,
+  CASE simd WHEN '' THEN 0 WHEN 'noavx512' THEN 1 WHEN 'noavx2' THEN 2 WHEN 'noavx' THEN 3 WHEN 'ns2' THEN 4 ELSE 5 END AS simd_rank, CASE model WHEN 'medium' THEN 0 WHEN 'small' THEN 1 WHEN 'tiny' THEN 2 ELSE 3 END AS model_rank,
+  CASE WHEN lower(kind) IN ('simd', 'engine') THEN lower(kind) WHEN contains(file_name, '-engines-') THEN 'engine' ELSE 'simd' END AS kind_of FROM sd""")
+def run_labels(spark, sf_dir):
+    r = inputs.runs(spark, sf_dir)
+    r = r.withColumn("simd", fmt.simd_suffix(*(F.col(c) for c in ("library", "hwintrinsic", "avx", "avx2", "avx512"))))
+    label = fmt.run_label(*(F.col(c) for c in ("rid", "engine", "model", "workers", "simd")))
+    return r.select("run", "simd", label.alias("run_label"), fmt.simd_rank(F.col("simd")).alias("simd_rank"), fmt.model_rank(F.col("model")).alias("model_rank"), fmt.benchmark_kind(F.col("kind"), F.col("file_name")).alias("kind_of"))
+
+
+@query("run:i model:s delta:s part:s", inputs.RUNS_TABLE, """
+SELECT run, replace(model, '|', '\\|') AS model, CASE WHEN ws_last IS NULL THEN '—' ELSE printf('%.1f', run::DOUBLE) END AS delta, CASE WHEN ws_last IS NULL THEN '—' ELSE run || '/' || (run + 5) END AS part FROM rn""")
+def report_format(spark, sf_dir):
+    r = inputs.runs(spark, sf_dir)
+    seen = F.when(F.col("ws_last").isNotNull(), F.col("run"))
+    return r.select("run", fmt.cell(F.col("model")).alias("model"), fmt.megabytes(seen.cast("double")).alias("delta"), fmt.fraction(seen, F.col("run") + 5).alias("part"))
+
+
+# --- text
+
+@query("page:i text:s hash:s", """
+ln AS (SELECT conv_id AS page, string_agg(substr(regexp_replace(text, '[^ -~]', '?', 'g'), 1, 32), chr(10) ORDER BY turn) AS text, string_agg(substr(regexp_replace(text, '[^ -~]', '?', 'g'), 1, 32) || '~', '' ORDER BY turn) AS packed FROM conversations GROUP BY conv_id),
+hs AS (SELECT page, text, list_reduce(list_transform(range(1, length(packed) + 1), lambda i: ascii(substr(packed, i, 1))::HUGEINT), lambda h, b: (xor(h, CASE WHEN b = 126 THEN 0::HUGEINT ELSE b END) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT) AS h FROM ln)""", """
+SELECT page, text, lower(lpad(hex((h // 4294967296)::BIGINT), 8, '0')) || lower(lpad(hex((h % 4294967296)::BIGINT), 8, '0')) AS hash FROM hs""")
+def packed_text_hash(spark, sf_dir):
+    c = inputs.load(spark, sf_dir, "conversations")
+    short = F.replace(F.substring(fmt.ascii_fold(F.col("text")), 1, 32), F.lit("~"), F.lit("\x00"))
+    lines = c.select(F.col("conv_id").alias("page"), F.col("turn").alias("line_no"), short.alias("text"))
+    return fmt.page_text(lines).select("page", F.replace("text", F.lit("\x00"), F.lit("~")).alias("text"), fmt.fnv1a_hex("packed_text").alias("hash"))
+
+
+@query("item:i best:i", """
+t AS (SELECT item_id, substr(regexp_replace(text, '[^ -~]', '?', 'g'), 1, 32) AS s FROM benchmark)""", "SELECT a.item_id AS item, min(levenshtein(a.s, b.s)) AS best FROM t a JOIN t b ON a.item_id % 8 = b.item_id % 8 AND a.item_id <> b.item_id GROUP BY 1")
+def edit_distance(spark, sf_dir):
+    t = inputs.load(spark, sf_dir, "benchmark").select("item_id", F.substring(fmt.ascii_fold(F.col("text")), 1, 32).alias("s"), (F.col("item_id") % 8).alias("k"))
+    o = t.select(F.col("item_id").alias("o"), F.col("s").alias("os"), "k")
+    return t.join(o, "k").filter("item_id <> o").groupBy(F.col("item_id").alias("item")).agg(F.min(F.levenshtein("s", "os")).alias("best"))
+
+
+# --- pixels
+
+@query("line:i on:i", "b AS (SELECT vec_id AS line, embedding AS v FROM embeddings)", "SELECT line, len(list_filter(v, lambda x: x > 0.2::FLOAT)) AS \"on\" FROM b")
+def binarize(spark, sf_dir):
+    rows = inputs.logits(spark, sf_dir)
+    bits = raster.binarize(F.col("logits"), F.lit(0.2).cast("float"))
+    return rows.select("line", F.aggregate(bits, F.lit(0), lambda s, x: s + x).alias("on"))
+
+
+@query("page:i y:i x:i boundary:b", inputs.GRID, """
+SELECT a.page, a.y, a.x, count(b.page) < 8 AS boundary FROM (SELECT * FROM g WHERE p > 0.4) a LEFT JOIN (SELECT * FROM g WHERE p > 0.4) b
+ON a.page = b.page AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y <> b.y OR a.x <> b.x) GROUP BY 1, 2, 3""")
+def boundary_pixels(spark, sf_dir):
+    return raster.boundary_pixels(inputs.grid(spark, sf_dir).filter("p > 0.4").select("page", "y", "x"))
+
+
+@query("page:i y:i x:i", inputs.GRID, """
+SELECT DISTINCT page, y - dy AS y, x - dx AS x FROM g, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx) WHERE p > 0.4 AND y - dy >= 0 AND x - dx >= 0""")
+def dilate_pixels(spark, sf_dir):
+    return raster.dilate_pixels(inputs.grid(spark, sf_dir).filter("p > 0.4"))
+
+
+@query("page:i y:i min_x:i max_x:i", inputs.GRID, "SELECT page, y, min(x) AS min_x, max(x) AS max_x FROM g WHERE p > 0.4 GROUP BY 1, 2")
+def row_extremes(spark, sf_dir):
+    return raster.row_extremes(inputs.grid(spark, sf_dir).filter("p > 0.4"), ["page"])
+
+
+_BACK = f"""{inputs.PIXELS.strip()},
+bk AS (SELECT image, (r >> 4) * 256 + (g >> 4) * 16 + (b >> 4) AS k, count(*) AS n, avg(r) AS r, avg(g) AS g, avg(b) AS b, min(seq) AS f FROM px GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY n DESC, f) AS rank, sum(n) OVER (PARTITION BY image) AS total, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS light FROM bk),
+bg AS (SELECT a.image, CASE WHEN s.image IS NOT NULL AND a.n < 0.55::DOUBLE * a.total AND a.light < 80 AND s.light > 140 THEN s.r ELSE a.r END AS r, CASE WHEN s.image IS NOT NULL AND a.n < 0.55::DOUBLE * a.total AND a.light < 80 AND s.light > 140 THEN s.g ELSE a.g END AS g,
+              CASE WHEN s.image IS NOT NULL AND a.n < 0.55::DOUBLE * a.total AND a.light < 80 AND s.light > 140 THEN s.b ELSE a.b END AS b FROM rk a LEFT JOIN rk s ON a.image = s.image AND s.rank = 2 WHERE a.rank = 1)"""
+
+
+@query("image:i r:d g:d b:d ink:s", _BACK, "SELECT image, r, g, b, CASE WHEN 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b > 140 THEN '17,17,17' ELSE '245,245,247' END AS ink FROM bg")
+def background_colors(spark, sf_dir):
+    back = evaluate.background_color(inputs.pixels(spark, sf_dir), ["image"])
+    return back.withColumn("ink", geo.contrast_ink(F.col("r"), F.col("g"), F.col("b")))
+
+
+@query("image:i r:i g:i b:i", f"""{_BACK},
+fr AS (SELECT px.*, sqrt((px.r - bg.r) ** 2 + (px.g - bg.g) ** 2 + (px.b - bg.b) ** 2) AS d FROM px JOIN bg USING (image)),
+md AS (SELECT image, list_sort(list(d)) AS v, count(*) AS n FROM fr WHERE d >= 16 GROUP BY image),
+kp AS (SELECT image, list_sort(list(r)) AS r, list_sort(list(g)) AS g, list_sort(list(b)) AS b, count(*) AS n FROM fr JOIN md USING (image) WHERE d >= 16 AND d >= md.v[md.n // 2 + 1] GROUP BY image)""", "SELECT image, r[n // 2 + 1] AS r, g[n // 2 + 1] AS g, b[n // 2 + 1] AS b FROM kp")
+def ink_colors(spark, sf_dir):
+    px = inputs.pixels(spark, sf_dir)
+    return evaluate.ink_color(px, evaluate.background_color(px, ["image"]), ["image"])
+
+
+@query("page:i line_no:i x1:d y1:d x2:d y2:d x3:d y3:d x4:d y4:d score:d")
+def detect_boxes(spark, sf_dir):
+    """Maps of 40 x 40 with a few bright bars each, placed by the vectors' labels."""
+    e = inputs.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page"), F.col("label"))
+    cell = lambda k: F.when((F.floor(k / 40) % 13 >= 3) & (F.floor(k / 40) % 13 < 9) & (k % 40 >= F.col("label") + 2) & (k % 40 < 34), 0.9).otherwise(0.05).cast("float")
+    maps = e.select("page", F.lit(80).alias("width"), F.lit(80).alias("height"), F.lit(40).alias("map_width"), F.lit(40).alias("map_height"), F.transform(F.sequence(F.lit(0), F.lit(1599)), cell).alias("probability"))
+    return dbpost.detect(maps)
+
+
+def register_models() -> None:
+    from glyphlake.operators import models
+
+    @query("page:i line_no:i text:s score:d rotation:i")
+    def recognise_pages(spark, sf_dir):
+        pages = models.synthetic_pages(inputs.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page"), "label"))
+        return models.recognise(pages, models.StubModels())
+
+
+register_models()
