@@ -42,9 +42,14 @@ def store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
+def one_line(url: str | None) -> str:
+    """The URL with control characters and spaces written as %XX."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
+
+
 def surt(url: str | None) -> str:
     """The URL with its host reversed by labels: ``http://a.b.com:80/x`` gives ``com,b,a:80)/x``."""
-    rest = re.sub(r"(?s)^.*?://", "", url or "", count=1)
+    rest = re.sub(r"^.*?://", "", one_line(url), count=1)
     host, tail = re.match(r"(?s)([^/?#]*)(.*)", rest).groups()
     name, colon, port = host.lower().rpartition("@")[2].partition(":")
     return ",".join(reversed(name.split("."))) + colon + port + ")" + (tail or "/")
@@ -53,12 +58,11 @@ def surt(url: str | None) -> str:
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
     """One gzip member. A revisit has no payload; its digest is that of the payload it stands for."""
     body = b"" if revisit else payload
-    uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{page_id}>",
-        f"WARC-Target-URI: {uri}",
+        f"WARC-Target-URI: {one_line(url)}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
         *([f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if revisit else []),
@@ -149,7 +153,7 @@ def write_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> D
 
         def block(rows):
             nonlocal at
-            data = zlib.compress("\n".join(SEP.join("" if x is None else str(x).replace("\n", " ") for x in r) for r in rows).encode(), 6)
+            data = zlib.compress("\n".join(SEP.join("" if x is None else str(x) for x in r) for r in rows).encode(), 6)
             out.write(data)
             at += len(data)
             return (rows[0][0], rows[0][1], rows[-1][0], rows[-1][1], name, at - len(data), len(data), len(rows))
