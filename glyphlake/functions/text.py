@@ -5,12 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of 64-bit FNV-1a.
 FNV_START, FNV_PRIME = 14695981039346656037, 1099511628211
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fnv1a_hex(text: pd.Series) -> pd.Series:
     """64-bit FNV-1a over UTF-8, 16 hex digits. JVM longs can't hold the unsigned products, so this is an Arrow function."""
 

@@ -414,10 +414,10 @@ def case_rollup(spark, sf_dir):
     return report.case_rollup(inputs.runs(spark, sf_dir))
 
 
-@query("key:s position:i click:s view:s", "pv AS (SELECT 'k' || (event_id % 40) AS key, avg(value) FILTER (event_type = 'click') AS c, avg(value) FILTER (event_type = 'view' AND event_id % 3 = 0) AS v FROM events WHERE event_type = 'click' OR (event_type = 'view' AND event_id % 3 = 0) GROUP BY 1)", "SELECT key, 12 AS position, coalesce(printf('%.2f', c), '-') AS click, coalesce(printf('%.2f', v), '-') AS view FROM pv")
+@query("key:s position:i click:s view:s", "pv AS (SELECT 'k' || (event_id % 40) AS key, avg(value * 1.00013::DOUBLE) FILTER (event_type = 'click') AS c, avg(value * 1.00013::DOUBLE) FILTER (event_type = 'view' AND event_id % 3 = 0) AS v FROM events WHERE event_type = 'click' OR (event_type = 'view' AND event_id % 3 = 0) GROUP BY 1)", "SELECT key, 12 AS position, coalesce(printf('%.2f', c), '-') AS click, coalesce(printf('%.2f', v), '-') AS view FROM pv")
 def compare_runs(spark, sf_dir):
     e = inputs.load(spark, sf_dir, "events").filter("event_type = 'click' or (event_type = 'view' and event_id % 3 = 0)")
-    rows = e.select(F.concat(F.lit("k"), (F.col("event_id") % 40).cast("string")).alias("key"), F.col("event_type").alias("run"), "value")
+    rows = e.select(F.concat(F.lit("k"), (F.col("event_id") % 40).cast("string")).alias("key"), F.col("event_type").alias("run"), (F.col("value") * 1.00013).alias("value"))
     return report.compare(rows, ["click", "view"])
 
 

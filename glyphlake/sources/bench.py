@@ -6,15 +6,14 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-METRIC = "map<string,struct<ms:double,calls:bigint>>"
-ROW = T.StructType.fromDDL(
+#: Schemas as DDL; reading parses them, so that importing needs no session.
+ROW = (
     "file string, width int, height int, warmup boolean, total_ms double, stage_ms map<string,double>, stage_calls map<string,bigint>, "
     "operator_ms map<string,string>, conv_class_ms map<string,string>, detected int, lines int, hash string, texts array<string>, "
     "rotations array<int>, boxes array<array<double>>, working_set_mb double"
 )
-TRUTH = T.StructType.fromDDL(
+TRUTH = (
     "version int, seed int, images array<struct<file:string,width:int,height:int,background_rgb:array<int>,sha256:string,"
     "lines:array<struct<text:string,bbox:array<int>,natural_width_at_height_48:int,angle_degrees:double,orientation_degrees:double,"
     "cls_degrees:int,font:string,font_size:int,color_rgb:array<int>>>>>"
@@ -27,6 +26,11 @@ META = {
 }
 
 
+def _colons(ddl: str) -> str:
+    """Fields of a table's DDL as those of a struct: ``a int, b int`` as ``a:int,b:int``."""
+    return ",".join(":".join(field.split(" ", 1)) for field in ddl.split(", "))
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """(path, meta, summary, seq, row): a line for each row of each result file below ``path``.
 
@@ -38,7 +42,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     wrapped = F.from_json("value", "meta string, summary string, rows string")
     legacy = F.col("value").startswith("[")
     parts = raw.select("path", F.when(~legacy, wrapped).alias("d"), F.when(legacy, F.col("value")).alias("bare"))
-    rows = F.from_json(F.coalesce("d.rows", "bare"), T.ArrayType(ROW))
+    rows = F.from_json(F.coalesce("d.rows", "bare"), f"array<struct<{_colons(ROW)}>>")
     out = parts.select("path", F.col("d.meta").alias("meta"), F.col("d.summary").alias("summary"), rows.alias("rows")).filter("rows is not null")
     if out.isEmpty():
         raise FileNotFoundError(f"no readable result below {path}")
