@@ -69,22 +69,6 @@ def fence(df: DataFrame, small: bool = False) -> DataFrame:
     return Fence(df, small).df
 
 
-class Kept:
-    """Tables that are used a few times between two fences: cached, recomputed from the last fence if an executor is lost."""
-
-    def __init__(self):
-        self.tables: list[DataFrame] = []
-
-    def add(self, df: DataFrame) -> DataFrame:
-        self.tables.append(df.persist())
-        return df
-
-    def release(self) -> None:
-        for df in self.tables:
-            df.unpersist()
-        self.tables = []
-
-
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the value as text, mod n; a null counts as the empty string."""
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")) % n

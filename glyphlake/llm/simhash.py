@@ -71,20 +71,20 @@ def links(nodes: DataFrame, long: int = LONG) -> DataFrame:
     choices = [(i, j) for i in range(4) for j in range(i + 1, 4)]
     key = F.array(*(F.struct(F.lit(k).alias("c"), (pair(i) * 65536 + pair(j)).alias("v")) for k, (i, j) in enumerate(choices)))
     index = nodes.select("fp", F.explode(key).alias("key")).select("fp", "key.c", "key.v")
-    lengths = fence(index.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    short = lengths.filter(F.col("n") <= long).drop("n")
-    postings = fence(index.join(short, ["c", "v"], "left_semi"))
-    left, right = postings.withColumnRenamed("fp", "a"), postings.withColumnRenamed("fp", "b")
+    # Most postings have one fingerprint; those are dropped before anything is joined.
+    lengths = index.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    postings = fence(index.join(lengths, ["c", "v"]), small=True)
+    short = postings.filter(F.col("n") <= long).drop("n")
+    left, right = short.withColumnRenamed("fp", "a"), short.withColumnRenamed("fp", "b")
     x = F.col("a").bitwiseXOR(F.col("b"))
     tally = sum((F.when(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k in range(BYTES)), F.lit(0))
     pairs = left.join(right, ["c", "v"]).filter(F.col("a") < F.col("b"))
     near = pairs.filter(tally >= BYTES - BITS).filter(F.bit_count(x) <= BITS).select("a", "b")
-    crowded = lengths.filter(F.col("n") > long)
-    if crowded.isEmpty():
+    if postings.filter(F.col("n") > long).isEmpty():
         return near
-    members = index.join(crowded, ["c", "v"], "left_semi").select("fp").distinct()
+    members = postings.filter(F.col("n") > long).select("fp").distinct()
     around = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)))
-    named = fence(members.select("fp", F.explode(around).alias("z")))
+    named = fence(members.select("fp", F.explode(around).alias("z")), small=True)
     hubs = named.groupBy("z").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     star = named.join(hubs, "z").filter("fp != a").select("a", F.col("fp").alias("b"))
     return near.unionByName(star)
@@ -95,20 +95,21 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Every node takes the smallest root among its neighbours, then its root's
     root, until nothing changes; the distance to the root about halves each
-    time. Each round is written to the shared folder.
+    time. Each round is written to the shared folder, and the one before it
+    deleted.
     """
-    both = fence(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = Fence(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"))
+    both = fence(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), small=True)
+    state = Fence(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), small=True)
     for _ in range(most):
-        roots = state.df
+        roots = state.df.select("node", "root")
         told = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("told"))
         lower = roots.join(told, roots["node"] == told["a"]).select("node", F.col("root").alias("was"), F.least("root", "told").alias("root"))
         up = roots.select(F.col("node").alias("at"), F.col("root").alias("above"))
-        new = Fence(lower.join(up, lower["root"] == up["at"]).select("node", "was", F.least("root", "above").alias("root")))
-        moved = new.df.filter("root != was").limit(1).count()
+        new = Fence(lower.join(up, lower["root"] == up["at"]).select("node", "was", F.least("root", "above").alias("root")), small=True)
+        settled = new.df.filter("root != was").isEmpty()
         state.release()
         state = new
-        if not moved:
+        if settled:
             return state.df.select("node", "root")
     raise RuntimeError(f"groups not settled after {most} rounds")
 
@@ -123,12 +124,12 @@ def simhash_groups(docs: DataFrame, width: int = WIDTH, long: int = LONG) -> Dat
     no rows. Other columns are ignored.
     """
     prints = fence(fingerprints(docs, width))
-    nodes = fence(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = fence(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), small=True)
     roots = components(links(nodes.select("fp"), long))
     named = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "first", "root")
     groups = named.groupBy("root").agg(F.min("first").alias("linked_id"))
     known = nodes.join(named.join(groups, "root").select("fp", "linked_id"), "fp", "left")
-    known = known.select("fp", F.coalesce("linked_id", "first").alias("component_id"))
+    known = fence(known.select("fp", F.coalesce("linked_id", "first").alias("component_id")), small=True)
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
