@@ -98,6 +98,26 @@ def key_means(rows: DataFrame, keys: list[str], metrics: str) -> DataFrame:
     return means.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(place, "key")))
 
 
+def metric_means(rows: DataFrame, keys: list[str], metrics: str) -> DataFrame:
+    """(keys, key, mean, position): as key_means(), the largest mean first, ties by name."""
+    means = rows.select(*keys, F.explode(metrics).alias("key", "value")).groupBy(*keys, "key").agg(F.avg("value").alias("mean"))
+    return means.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("mean").desc(), "key")))
+
+
+def stage_counters(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Total ms and calls of each stage, from rows with stage_ms and stage_calls maps."""
+    flat = rows.select(*keys, "stage_calls", F.explode("stage_ms").alias("stage", "ms"))
+    return flat.groupBy(*keys, "stage").agg(F.sum("ms").alias("ms"), F.sum(F.coalesce(F.try_element_at("stage_calls", F.col("stage")), F.lit(0))).alias("calls"))
+
+
+def result_document(meta: DataFrame, summary: DataFrame, rows: DataFrame, run: str = "run") -> DataFrame:
+    """(run, meta, summary, rows): a document for each run, its rows by seq."""
+    pack = lambda df: F.struct(*(c for c in df.columns if c != run))
+    listed = rows.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("seq", pack(rows).alias("row")))).alias("_r"))
+    listed = listed.select(run, F.transform("_r", lambda x: x["row"]).alias("rows"))
+    return meta.select(run, pack(meta).alias("meta")).join(summary.select(run, pack(summary).alias("summary")), run).join(listed, run)
+
+
 def metric_value(raw: Column) -> Column:
     """A JSON value that is a number or an object with ``ms``."""
     return F.coalesce(F.get_json_object(raw, "$.ms").try_cast("double"), raw.try_cast("double"))
@@ -163,6 +183,24 @@ def accuracy(errors: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+def measured_accuracy(errors: DataFrame, rows: DataFrame) -> DataFrame:
+    """accuracy() over files whose rows aren't warm-up, rotations not scored: cls is always 0 of 0."""
+    kept = rows.filter("not warmup").select(F.lower("file").alias("_f")).distinct()
+    left = errors.join(kept, F.lower(errors["file"]) == kept["_f"], "left_semi")
+    return accuracy(left).withColumns({"cls_correct": F.lit(0), "cls_total": F.lit(0)})
+
+
+def match_modes(truth: DataFrame, predicted: DataFrame, key: str = "image") -> DataFrame:
+    """(image, mode): none where either side is empty, boxes where both have any, else text.
+
+    A truth box counts if it has an area, a predicted one if it is there.
+    """
+    t = truth.groupBy(key).agg(F.max(((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).cast("int")).alias("_t"))
+    p = predicted.groupBy(key).agg(F.max(F.col("x0").isNotNull().cast("int")).alias("_p"))
+    mode = F.when(F.col("_t").isNull() | F.col("_p").isNull(), "none").when((F.col("_t") == 1) & (F.col("_p") == 1), "boxes").otherwise("text")
+    return t.join(p, key, "full").select(key, mode.alias("mode"))
+
+
 def iou_pairs(truth: DataFrame, predicted: DataFrame, least: float = 0.3, key: str = "image") -> DataFrame:
     """(image, gi, pi, iou) of boxes (x0, y0, x1, y1) of one image that overlap to ``least`` at least."""
     t = truth.select(key, F.col("line").alias("gi"), *(F.col(c).alias(f"t_{c}") for c in ("x0", "y0", "x1", "y1")))

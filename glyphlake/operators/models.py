@@ -163,8 +163,9 @@ def page_orientation(pages: DataFrame, classify) -> DataFrame:
 
 
 def synthetic_pages(pages: DataFrame) -> DataFrame:
-    """Pages of 128 x 96 BGR pixels with two bright bars, the lower one's left edge by ``label``."""
-    i = F.floor
-    byte = lambda k: F.when((i(k / 384) % 48 >= 14) & (i(k / 384) % 48 < 34) & (i(k / 3) % 128 >= F.col("label") + 10) & (i(k / 3) % 128 < 110), "FF").otherwise("10")
-    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(128 * 96 * 3 - 1)), byte), ""))
+    """Pages of 128 x 96 BGR pixels with two bright bars, the left edge by ``label`` (0 to 90)."""
+    dark = F.repeat(F.lit("10"), F.lit(384))
+    bar = F.concat(F.repeat(F.lit("10"), (3 * (F.col("label") + 10)).cast("int")), F.repeat(F.lit("FF"), (3 * (100 - F.col("label"))).cast("int")), F.repeat(F.lit("10"), F.lit(54)))
+    half = F.concat(F.repeat(dark, F.lit(14)), F.repeat(bar, F.lit(20)), F.repeat(dark, F.lit(14)))
+    data = F.unhex(F.repeat(half, F.lit(2)))
     return pages.select("page", F.lit(128).alias("width"), F.lit(96).alias("height"), F.lit(0).alias("stride"), F.lit(0).alias("pixel_format"), data.alias("data"))

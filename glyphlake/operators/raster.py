@@ -6,12 +6,12 @@ numpy within one page.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphlake.functions.geometry import POINTS
+
 
 def binarize(probabilities: Column, threshold: float = 0.2) -> Column:
     """1 where a value is above the threshold; a value that is not finite is an error."""
@@ -39,6 +39,33 @@ def row_extremes(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.groupBy(*keys, "y").agg(F.min("x").alias("min_x"), F.max("x").alias("max_x"))
 
 
+def without_repeats(values: Column) -> Column:
+    """An array without elements that equal the one before."""
+    return F.filter(values, lambda v, i: (i == 0) | ~v.eqNullSafe(F.get(values, i - 1)))
+
+
+def polygon_scores(pixels: DataFrame, quads: DataFrame, page: str = "page") -> DataFrame:
+    """(page, quad, score): the mean p of the pixels (page, y, x, p) inside or on quads (page, quad, x1..y4), 0 if there are none.
+
+    Corners are cut to whole numbers. Pixels and quads meet by page only, within the quad's box.
+    """
+    corner = [F.col(c).cast("int") for c in POINTS]
+    placed = quads.select(page, "quad", *(c.alias(f"_{n}") for c, n in zip(corner, POINTS)))
+    xs, ys = [F.col(f"_{n}") for n in POINTS[::2]], [F.col(f"_{n}") for n in POINTS[1::2]]
+    x, y = F.col("x"), F.col("y")
+    near = (x >= F.least(*xs)) & (x <= F.greatest(*xs)) & (y >= F.least(*ys)) & (y <= F.greatest(*ys))
+    crossings, edge = F.lit(0), F.lit(False)
+    for k in range(4):
+        ax, ay, bx, by = xs[k], ys[k], xs[(k + 1) % 4], ys[(k + 1) % 4]
+        on = (x >= F.least(ax, bx)) & (x <= F.greatest(ax, bx)) & (y >= F.least(ay, by)) & (y <= F.greatest(ay, by))
+        edge = edge | (on & ((bx - ax) * (y - ay) == (by - ay) * (x - ax)))
+        at = (bx - ax) * (y - ay) / F.when(by != ay, by - ay) + ax
+        crossings = crossings + F.when(((ay > y) != (by > y)) & (at > x), 1).otherwise(0)
+    inside = pixels.join(placed, page).filter(near).filter(edge | (crossings % 2 == 1))
+    scores = inside.groupBy(page, "quad").agg(F.avg("p").alias("score"))
+    return quads.select(page, "quad").join(scores, [page, "quad"], "left").select(page, "quad", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def threshold_map(probability: np.ndarray, threshold: float = 0.2) -> np.ndarray:
     if not np.isfinite(probability).all():
         raise ValueError("probability map holds a value that is not finite")
@@ -149,7 +176,3 @@ def polygon_score(probability: np.ndarray, polygon: np.ndarray) -> float:
     inside = odd | edge
     values = probability[low[1] : high[1] + 1, low[0] : high[0] + 1][inside]
     return float(np.float32(values.astype(np.float64).mean())) if len(values) else 0.0
-
-
-def is_finite(value: float) -> bool:
-    return math.isfinite(value)

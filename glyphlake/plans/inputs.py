@@ -193,3 +193,9 @@ PIXELS = """
 li AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1),
 px AS (SELECT l_suppkey AS image, l_orderkey * 10 + l_linenumber AS seq, l_partkey % 40 AS r, l_quantity::BIGINT % 30 AS g, l_partkey % 251 AS b FROM li)
 """
+
+
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, label), spread over the cluster: each row becomes a page of pixels, which is far more work than the row is bytes."""
+    rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page"), "label")
+    return rows.repartition(4 * spark.sparkContext.defaultParallelism, "page")

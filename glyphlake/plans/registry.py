@@ -372,6 +372,32 @@ def polymorphic_metric(spark, sf_dir):
     return e.select("event_id", evaluate.metric_value(raw).alias("k"))
 
 
+_KEY = "CASE event_type WHEN 'view' THEN 'crop' WHEN 'click' THEN 'det_graph' WHEN 'purchase' THEN 'zeta' ELSE event_type END"
+
+
+@query("user:i key:s mean:d position:i", f"km AS (SELECT user_id AS u, {_KEY} AS key, avg(value) AS mean FROM events GROUP BY 1, 2)", """
+SELECT u AS "user", key, mean, row_number() OVER (PARTITION BY u ORDER BY mean DESC, key) AS position FROM km""")
+def operator_means(spark, sf_dir):
+    return evaluate.metric_means(_stage_rows(spark, sf_dir), ["user"], "stage_ms")
+
+
+@query("user:i stage:s ms:d calls:i", "", f"""SELECT user_id AS "user", {_KEY} AS stage, sum(value) AS ms, sum(event_id % 4) AS calls FROM events GROUP BY 1, 2""")
+def stage_counters(spark, sf_dir):
+    return evaluate.stage_counters(_stage_rows(spark, sf_dir), ["user"])
+
+
+def _stage_rows(spark, sf_dir):
+    key = F.when(F.col("event_type") == "view", "crop").when(F.col("event_type") == "click", "det_graph").when(F.col("event_type") == "purchase", "zeta").otherwise(F.col("event_type"))
+    return inputs.load(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.create_map(key, F.col("value")).alias("stage_ms"), F.create_map(key, F.col("event_id") % 4).alias("stage_calls"))
+
+
+@query("run:s rows:i first_file:s mean:d", f"{inputs.BENCH.strip()}", """SELECT run, count(*) AS rows, arg_min(file, seq) AS first_file, avg(total_ms) AS mean FROM br GROUP BY run""")
+def result_documents(spark, sf_dir):
+    rows = inputs.bench_rows(spark, sf_dir)
+    document = evaluate.result_document(rows.select("run").distinct().withColumn("rid", F.lit("x")), evaluate.stats(rows, ["run"], "total_ms"), rows)
+    return document.select("run", F.size("rows").alias("rows"), F.col("rows")[0]["file"].alias("first_file"), F.col("summary.mean").alias("mean"))
+
+
 # --- accuracy
 
 @query("file:s line:i text:s exact:b chars:i errors:i", inputs.LINES, "SELECT file, line, text, exact, chars, errors FROM le")
@@ -391,6 +417,22 @@ def rotation_by_text(spark, sf_dir):
     return evaluate.rotation_score_by_text(inputs.truth_lines(spark, sf_dir), inputs.predicted_lines(spark, sf_dir))
 
 
+@query("exact_lines:i total_lines:i images:i errors:i cls_correct:i cls_total:i", f"{inputs.LINES.strip()}, kf AS (SELECT * FROM le WHERE right(file, 1) NOT IN ('1', '2'))", """
+SELECT sum(exact::INT) AS exact_lines, count(*) AS total_lines, count(DISTINCT file) AS images, sum(errors) AS errors, 0 AS cls_correct, 0 AS cls_total FROM kf""")
+def accuracy_measured_only(spark, sf_dir):
+    truth = inputs.truth_lines(spark, sf_dir)
+    rows = truth.select(F.lower("file").alias("file")).distinct().withColumn("warmup", F.substring("file", -1, 1).isin("1", "2"))
+    return evaluate.measured_accuracy(evaluate.line_errors(truth, inputs.predicted_lines(spark, sf_dir)), rows)
+
+
+@query("image:i mode:s", f"{inputs.BOXES.strip()}, tm AS (SELECT image, max((x1 > x0 AND image % 5 <> 0)::INT) AS t FROM gt WHERE image % 3 <> 0 GROUP BY image), pm AS (SELECT image, max((image % 7 <> 0)::INT) AS p FROM pr WHERE image % 4 <> 0 GROUP BY image)", """
+SELECT coalesce(tm.image, pm.image) AS image, CASE WHEN t IS NULL OR p IS NULL THEN 'none' WHEN t = 1 AND p = 1 THEN 'boxes' ELSE 'text' END AS mode FROM tm FULL JOIN pm ON tm.image = pm.image""")
+def match_modes(spark, sf_dir):
+    t = inputs.truth_boxes(spark, sf_dir).filter("image % 3 <> 0").withColumn("x1", F.when(F.col("image") % 5 == 0, F.col("x0")).otherwise(F.col("x1")))
+    p = inputs.predicted_boxes(spark, sf_dir).filter("image % 4 <> 0").withColumn("x0", F.when(F.col("image") % 7 != 0, F.col("x0")))
+    return evaluate.match_modes(t, p)
+
+
 # --- reports
 
 _BASE = "first_value(mean) OVER (PARTITION BY {0} ORDER BY CASE WHEN case_id IN ('tiny-4w', 'tiny') THEN 0 ELSE 1 END, case_id, label)"
@@ -496,6 +538,39 @@ def row_extremes(spark, sf_dir):
     return raster.row_extremes(inputs.grid(spark, sf_dir).filter("p > 0.4"), ["page"])
 
 
+_EDGES = [(1, 1, 9, 2), (9, 2, 8, 9), (8, 9, 2, 7), (2, 7, 1, 1)]
+_ON = " OR ".join(f"(x BETWEEN {min(a, c)} AND {max(a, c)} AND y BETWEEN {min(b, d)} AND {max(b, d)} AND {c - a} * (y - {b}) = {d - b} * (x - {a}))" for a, b, c, d in _EDGES)
+_CROSS = " + ".join(f"(CASE WHEN ({b} > y) <> ({d} > y) AND {c - a}::DOUBLE * (y - {b}) / {d - b} + {a} > x THEN 1 ELSE 0 END)" for a, b, c, d in _EDGES)
+
+
+@query("page:i quad:i score:d", inputs.GRID, f"""
+SELECT u.page, 1 AS quad, coalesce(s.score, 0) AS score FROM (SELECT DISTINCT page FROM g) u LEFT JOIN (SELECT page, avg(p) AS score FROM g WHERE {_ON} OR ({_CROSS}) % 2 = 1 GROUP BY page) s ON u.page = s.page""")
+def polygon_scores(spark, sf_dir):
+    grid = inputs.grid(spark, sf_dir)
+    quads = grid.select("page").distinct().select("page", F.lit(1).alias("quad"), *(F.lit(float(v)).alias(n) for v, n in zip((1.4, 1.9, 9.2, 2.0, 8.7, 9.9, 2.0, 7.5), geo.POINTS)))
+    return raster.polygon_scores(grid, quads)
+
+
+@query("line:i kept:i", inputs.EVENT_STEPS, """SELECT line, count(*) AS kept FROM (SELECT *, lag(cls) OVER (PARTITION BY line ORDER BY step) AS b FROM scored) WHERE b IS NULL OR b <> cls GROUP BY line""")
+def consecutive_repeats(spark, sf_dir):
+    listed = inputs.steps(spark, sf_dir).groupBy("line").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "cls"))), lambda x: x["cls"]).alias("v"))
+    return listed.select("line", F.size(raster.without_repeats(F.col("v"))).alias("kept"))
+
+
+@query("key:s font:s", "", "SELECT lower(p_brand) AS key, min(CASE WHEN p_size % 2 = 0 THEN lower(p_brand) ELSE p_brand END) AS font FROM part GROUP BY 1")
+def distinct_fonts(spark, sf_dir):
+    from glyphlake.sources.generate import distinct_fonts as distinct
+
+    return distinct(inputs.load(spark, sf_dir, "part").select(F.when(F.col("p_size") % 2 == 0, F.lower("p_brand")).otherwise(F.col("p_brand")).alias("font")))
+
+
+@query("file:s line:i text:s x0:i y0:i x1:i y1:i cls_degrees:i")
+def generated_truth(spark, sf_dir):
+    from glyphlake.sources.generate import pages
+
+    return pages(spark, 100)
+
+
 _BACK = f"""{inputs.PIXELS.strip()},
 bk AS (SELECT image, (r >> 4) * 256 + (g >> 4) * 16 + (b >> 4) AS k, count(*) AS n, avg(r) AS r, avg(g) AS g, avg(b) AS b, min(seq) AS f FROM px GROUP BY 1, 2),
 rk AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY n DESC, f) AS rank, sum(n) OVER (PARTITION BY image) AS total, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS light FROM bk),
@@ -521,7 +596,7 @@ def ink_colors(spark, sf_dir):
 @query("page:i line_no:i x1:d y1:d x2:d y2:d x3:d y3:d x4:d y4:d score:d")
 def detect_boxes(spark, sf_dir):
     """Maps of 40 x 40 with a few bright bars each, placed by the vectors' labels."""
-    e = inputs.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page"), F.col("label"))
+    e = inputs.page_labels(spark, sf_dir)
     cell = lambda k: F.when((F.floor(k / 40) % 13 >= 3) & (F.floor(k / 40) % 13 < 9) & (k % 40 >= F.col("label") + 2) & (k % 40 < 34), 0.9).otherwise(0.05).cast("float")
     maps = e.select("page", F.lit(80).alias("width"), F.lit(80).alias("height"), F.lit(40).alias("map_width"), F.lit(40).alias("map_height"), F.transform(F.sequence(F.lit(0), F.lit(1599)), cell).alias("probability"))
     return dbpost.detect(maps)
@@ -532,7 +607,7 @@ def register_models() -> None:
 
     @query("page:i line_no:i text:s score:d rotation:i")
     def recognise_pages(spark, sf_dir):
-        pages = models.synthetic_pages(inputs.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page"), "label"))
+        pages = models.synthetic_pages(inputs.page_labels(spark, sf_dir))
         return models.recognise(pages, models.StubModels())
 
 

@@ -6,6 +6,7 @@ import random
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The first seed, and page sizes in steps of 16.
 SEED = 20260830
@@ -50,6 +51,11 @@ def page(number: int) -> list[tuple]:
     return rows
 
 
+def distinct_fonts(fonts: DataFrame, name: str = "font") -> DataFrame:
+    """One row for each font name, without case."""
+    return fonts.groupBy(F.lower(name).alias("key")).agg(F.min(name).alias(name))
+
+
 def pages(spark: SparkSession, count: int = 100) -> DataFrame:
     """Lines of ``count`` pages; page i depends on its seed alone, wherever it is made."""
 
