@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from glyphlake.llm.common import fence
 
-#: At least 2048 characters, then up to the first white space before one of these letters; 16384 at most.
-CUT = r"(?s).{2048,16384}?\s(?=[aehot])|.{1,16384}"
+#: At least 512 characters, then up to the first white space before a word of that shape; 16384 at most.
+#: The shape is rare enough that after an insertion cuts soon fall on the same places again.
+CUT = r"(?s).{512,16384}?\s(?=[aeiou][^aeiou\s][aeiou])|.{1,16384}"
 
 
 def chunks(text: Column) -> Column:
