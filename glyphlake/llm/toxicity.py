@@ -1,16 +1,18 @@
 """Toxicity: bags of subword embeddings, averaged into a linear softmax.
 
 A word is the mean of the embeddings of itself and of its character n-grams
-(hashed), a text the mean of its words. Embeddings and softmax are trained
-together in numpy, with Adam, over a bounded sample of labelled texts. Unseen
-spellings share n-grams with seen ones. Because all is linear up to the
-softmax, a word has one score that a process computes once.
+(hashed), a text the mean of its words, each weighted by the root of its count,
+and of a few neutral words that hold short texts back. Embeddings and softmax
+are trained together in numpy, with Adam, over a bounded sample of labelled
+texts. Unseen spellings share n-grams with seen ones. Because all is linear up
+to the softmax, a word has one score that a process computes once.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -23,15 +25,17 @@ from pyspark.sql import functions as F
 from glyphlake.llm.common import crc_mod, slices
 
 #: Labelled texts of label 1 that the training looks at, at most; of label 0, four times as many.
-TEXTS_A_CLASS = 2000
+TEXTS_A_CLASS = 1500
 BUCKETS, WIDTH, GRAMS = 1 << 16, 4, (3, 4, 5, 6)
 STEPS, RATE = 100, 1.5
 #: Added to the root of the second moment: buckets with small gradients, the rare ones, move less.
 SOFT = 1e-5
 #: A word counts in training if so many texts of the sample have it (fewer in small samples).
 LEAST = 5
+#: Neutral words, of score zero, that every text is taken to have besides its own.
+NEUTRAL = 20
 #: Words whose scores a process remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 WORDS = re.compile(r"[^\W_]+")
 THRESHOLD = 0.7
 
@@ -84,8 +88,8 @@ def train(bags: Bags, prior: float, steps: int = STEPS, seed: int = 7) -> Model:
         return model
     scorer = Scorer(model)
     word_scores = np.array([scorer.word(w) for w in rest.words])
-    sizes = np.maximum(np.bincount(rest.text, rest.count, len(y)), 1)
-    logits = model.bias + np.bincount(rest.text, word_scores[rest.word] * rest.count, len(y)) / sizes
+    mass = np.sqrt(rest.count)
+    logits = model.bias + np.bincount(rest.text, word_scores[rest.word] * mass, len(y)) / (NEUTRAL + np.bincount(rest.text, mass, len(y)))
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     order = np.argsort(-logits)
     hits, taken = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
@@ -108,7 +112,8 @@ def fit(bags: Bags, prior: float, steps: int = STEPS, seed: int = 7) -> Model:
         return flat
     number = np.cumsum(wide) - 1
     keep = wide[bags.word]
-    share = (bags.count / np.bincount(bags.text, bags.count, len(y))[bags.text])[keep].astype(np.float32)[:, None]
+    mass = np.sqrt(bags.count)
+    share = (mass / (NEUTRAL + np.bincount(bags.text, mass, len(y)))[bags.text])[keep].astype(np.float32)[:, None]
     doc, word = bags.text[keep], number[bags.word[keep]]
     hits = [subwords(w) for w, ok in zip(bags.words, wide) if ok]
     lengths = np.array([len(h) for h in hits])
@@ -182,10 +187,7 @@ def sample(docs: DataFrame, labels: DataFrame, texts: int = TEXTS_A_CLASS) -> tu
 
 
 def bag(text: str | None) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for w in WORDS.findall((text or "").lower()):
-        out[w] = out.get(w, 0) + 1
-    return out
+    return Counter(WORDS.findall((text or "").lower()))
 
 
 class Scorer:
@@ -201,8 +203,9 @@ class Scorer:
         return s
 
     def score(self, text: str | None) -> float:
-        words = WORDS.findall((text or "").lower())
-        logit = self.model.bias + (sum(map(self.word, words)) / len(words) if words else 0.0)
+        words = bag(text)
+        mass = np.sqrt(np.fromiter(words.values(), np.float64, len(words)))
+        logit = self.model.bias + mass @ np.fromiter(map(self.word, words), np.float64, len(words)) / (NEUTRAL + mass.sum())
         return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
 
 
