@@ -30,23 +30,23 @@ def rotate(image: np.ndarray, degrees: int) -> np.ndarray:
 
 
 def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Bilinear, half-pixel centres, weights in 11-bit fixed point, edges repeated."""
+    """Bilinear, half-pixel centres, edges repeated; weights of 11 bits, and the two rows of a sum cut to 4 and 16 bits."""
     h, w = image.shape[:2]
 
     def taps(n, size):
-        at = (np.arange(n) + 0.5) * (size / n) - 0.5
+        at = ((np.arange(n) + 0.5) * (size / n) - 0.5).astype(np.float32)
         low = np.floor(at).astype(int)
-        share = (at - low).astype(np.float32)
+        share = at - low.astype(np.float32)
         share = np.where((low < 0) | (low >= size - 1), np.float32(0), share)
         low = np.clip(low, 0, size - 1)
-        upper = np.rint(share * 2048).astype(np.int64)
-        return low, np.minimum(low + 1, size - 1), 2048 - upper, upper
+        weight = lambda x: np.rint(x * np.float32(2048)).astype(np.int64)
+        return low, np.minimum(low + 1, size - 1), weight(np.float32(1) - share), weight(share)
 
     x0, x1, a0, a1 = taps(width, w)
     y0, y1, b0, b1 = taps(height, h)
-    wide = image[:, x0].astype(np.int64) * a0[None, :, None] + image[:, x1].astype(np.int64) * a1[None, :, None]
-    total = wide[y0] * b0[:, None, None] + wide[y1] * b1[:, None, None]
-    return np.clip((total + (1 << 21)) >> 22, 0, 255).astype(np.uint8)
+    wide = (image[:, x0].astype(np.int64) * a0[None, :, None] + image[:, x1].astype(np.int64) * a1[None, :, None]) >> 4
+    total = (wide[y0] * b0[:, None, None] >> 16) + (wide[y1] * b1[:, None, None] >> 16)
+    return np.clip((total + 2) >> 2, 0, 255).astype(np.uint8)
 
 
 def planar(image: np.ndarray) -> np.ndarray:

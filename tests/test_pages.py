@@ -49,6 +49,30 @@ def test_inputs_have_their_shapes_and_windows():
     assert imageops.orientation_input(np.zeros((19, 17, 3), np.uint8)).shape == (3, 224, 224)
 
 
+#: Fixed values: (channel, x, y, value) of the page classifier's input for the pattern below.
+SAMPLES = [
+    (0, 0, 0, -0.6109256744384766),
+    (0, 16, 0, 0.6905555725097656),
+    (0, 112, 0, -0.3369295597076416),
+    (0, 222, 0, -0.49105238914489746),
+    (1, 0, 0, 1.0280113220214844),
+    (1, 16, 0, 0.8179271221160889),
+    (1, 112, 0, -0.8627451658248901),
+    (1, 222, 0, -0.10994398593902588),
+    (2, 0, 0, 0.600784182548523),
+    (2, 16, 0, 0.39163386821746826),
+    (2, 112, 0, 0.4787799119949341),
+    (2, 222, 0, 0.6705011129379272),
+]
+
+
+def test_page_input_agrees_with_known_samples():
+    pattern = ((np.arange(17 * 19 * 3) * 37 + 11) % 256).astype(np.uint8).reshape(19, 17, 3)
+    tensor = imageops.orientation_input(pattern)
+    for channel, x, y, value in SAMPLES:
+        assert tensor[channel, y, x] == pytest.approx(value, abs=3e-7)
+
+
 def test_crop_of_an_axis_aligned_quad_is_the_region():
     image = np.random.default_rng(3).integers(0, 256, (40, 60, 3), dtype=np.uint8)
     assert (imageops.crop(image, [5, 4, 35, 4, 35, 20, 5, 20]) == image[4:20, 5:35]).all()
