@@ -49,45 +49,48 @@ def _windows(ids: list[int], free: list[bool], length: int):
             yield i - length + 1, h
 
 
+def _matches(item, text, free_item, free_text, length: int) -> list[tuple[int, int, int]]:
+    """(-n, start in text, start in item) of maximal matches of unmarked tokens, ``length`` or longer."""
+    at = defaultdict(list)
+    for start, h in _windows(item, free_item, length):
+        at[h].append(start)
+    found = []
+    for start, h in _windows(text, free_text, length) if at else ():
+        for p in at.get(h, ()):
+            if item[p : p + length] != text[start : start + length]:
+                continue
+            if p and start and free_item[p - 1] and free_text[start - 1] and item[p - 1] == text[start - 1]:
+                continue  # part of the match that begins one token sooner
+            n = length
+            while p + n < len(item) and start + n < len(text) and free_item[p + n] and free_text[start + n] and item[p + n] == text[start + n]:
+                n += 1
+            found.append((-n, start, p))
+    return sorted(found)
+
+
 def tile(item: list[int], text: list[int], least: int = SEED) -> list[tuple[int, int, int]]:
-    """Tiles (start in item, start in text, length), longest first; of equally long ones the earliest in the text."""
+    """Tiles (start in item, start in text, length), longest first; of equally long ones the earliest in the text.
+
+    The search length begins at the shorter side's and is halved down to
+    ``least``. Where a marked tile blocks part of another match, the same
+    length is searched again: the rest of that match may still be long enough.
+    """
     free_item, free_text = [True] * len(item), [True] * len(text)
     tiles = []
     length = min(len(item), len(text))
     while length >= least:
-        at = defaultdict(list)
-        for start, h in _windows(item, free_item, length):
-            at[h].append(start)
-        found = []
-        if at:
-            for start, h in _windows(text, free_text, length):
-                for p in at.get(h, ()):
-                    if item[p : p + length] == text[start : start + length]:
-                        # A match that could begin one token sooner is part of one that is listed already.
-                        if p and start and free_item[p - 1] and free_text[start - 1] and item[p - 1] == text[start - 1]:
-                            continue
-                        n = length
-                        while p + n < len(item) and start + n < len(text) and free_item[p + n] and free_text[start + n] and item[p + n] == text[start + n]:
-                            n += 1
-                        found.append((-n, start, p))
-        again = False
-        for n, start, p in sorted(found):
-            n = -n
-            if all(free_item[p : p + n]) and all(free_text[start : start + n]):
-                free_item[p : p + n] = free_text[start : start + n] = [False] * n
-                tiles.append((p, start, n))
+        blocked = False
+        for n, start, p in _matches(item, text, free_item, free_text, length):
+            if all(free_item[p : p - n]) and all(free_text[start : start - n]):
+                free_item[p : p - n] = free_text[start : start - n] = [False] * -n
+                tiles.append((p, start, -n))
             else:
-                again = True  # what is left of it may still hold a tile
-        length = length if again and found and any(True for _ in _windows(item, free_item, length)) and _left(item, free_item, text, free_text, length) else (length // 2 if length // 2 > least else least) if length > least else least - 1
+                blocked = True
+        if not blocked:
+            length = max(least, length // 2) if length > least else 0
     return sorted(tiles, key=lambda t: (-t[2], t[1]))
 
 
-def _left(item, free_item, text, free_text, length) -> bool:
-    """Whether unmarked windows of that length still match."""
-    hashes = {h for _, h in _windows(item, free_item, length)}
-    return any(h in hashes for _, h in _windows(text, free_text, length))
-
-
 class Items:
     """The benchmark's items as token numbers, and where each run of SEED tokens occurs."""
 
@@ -100,8 +103,6 @@ class Items:
             self.items[item_id] = ids
             for i in range(len(ids) - seed + 1):
                 self.seeds[tuple(ids[i : i + seed])].add(item_id)
-        self.heads = {s[0] * (1 << 20) + s[1] for s in self.seeds}
-        self.found: dict = {}
 
     def matches(self, text: str | None, least: float) -> list[tuple[int, float, int]]:
         """(item, share covered, tiles) of each item that tiles cover to that share at least."""
@@ -199,7 +200,6 @@ def hash_run(words: list[str]) -> int:
 
 def _joined(rows: DataFrame, items: DataFrame, covered: float, seed: int) -> DataFrame:
     """Seeds that the benchmark lacks are dropped by a semi join, pairs are made distinct, and each pair is tiled on its own."""
-    spark = rows.sparkSession
     numbered = Fence(rows.withColumn("row", F.monotonically_increasing_id())).df
     wanted = Fence(_seeds(items.select("item_id", "text"), "item_id", seed)).df
     have = _seeds(numbered.select("row", "text"), "row", seed)
@@ -213,7 +213,6 @@ def _joined(rows: DataFrame, items: DataFrame, covered: float, seed: int) -> Dat
                 found += [(d, *m) for m in Items([(i, x)], seed).matches(t, covered)]
             yield _emit(found)
 
-    del spark
     return both.mapInArrow(run, SCHEMA)
 
 
