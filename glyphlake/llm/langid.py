@@ -183,6 +183,8 @@ class Scorer:
             return [("und", 0.0)] * len(texts)
         out = []
         found = [LETTERS.findall((t or "").lower()) for t in texts]
+        # The pattern also takes numerals that are no digits; without a letter they make no text.
+        found = [words if any(c.isalpha() for w in words for c in w) else [] for words in found]
         distinct = set().union(*found)
         if len(self.known) + len(distinct) > REMEMBERED:
             self.known.clear()

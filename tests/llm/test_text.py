@@ -200,11 +200,11 @@ def test_language_of_texts(spark):
     for i in range(160):
         docs.append((i, "the house and the garden with thing number " + str(i), "en"))
         docs.append((1000 + i, "der garten und das haus mit einer nummer " + str(i), "de"))
-    odd = [(5001, None, "en"), (5002, "", "en"), (5003, "12 !?", "de"), (5004, "the garden " * 60000, None), (None, "und das haus", None)]
+    odd = [(5001, None, "en"), (5002, "", "en"), (5003, "12 !?", "de"), (5005, "² ½", "de"), (5004, "the garden " * 60000, None), (None, "und das haus", None)]
     rows = spark.createDataFrame([(*d, "x") for d in docs + odd], "doc_id long, text string, lang string, score string")
     got = {r.doc_id: r for r in langid.identify(rows).collect()}
     assert all(got[i].lang_pred == lang for i, _, lang in docs)
-    assert {got[i].lang_pred for i in (5001, 5002, 5003)} == {"und"}
+    assert {got[i].lang_pred for i in (5001, 5002, 5003, 5005)} == {"und"}
     assert got[5004].lang_pred == "en" and got[None].lang_pred == "de" and all(0 <= r.score <= 1 for r in got.values())
     assert langid.identify(rows.limit(0)).count() == 0
 
