@@ -258,6 +258,18 @@ def width_batches(lines: DataFrame, most: int, page: str = "page", line: str = "
     return lines.withColumn("batch", F.floor(n / most).cast("long")).withColumn("slot", (n % most).cast("long"))
 
 
+def prefix_offsets(rows: DataFrame, keys: list[str], order: str, size: str) -> DataFrame:
+    """Adds ``offset``: the sum of the sizes before each row of its group."""
+    over = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("offset", F.coalesce(F.sum(size).over(over), F.lit(0)))
+
+
+def zip_lines(rows: DataFrame, arrays: list[str]) -> DataFrame:
+    """A row for each position of parallel arrays, in place of the arrays; shorter ones are filled with null."""
+    rest = [c for c in rows.columns if c not in arrays]
+    return rows.select(*rest, F.posexplode(F.arrays_zip(*arrays)).alias("line", "_z")).select(*rest, "line", *(F.col(f"_z.{a}").alias(a) for a in arrays))
+
+
 def longest_first(lines: DataFrame, page: str = "page", line: str = "line_no") -> DataFrame:
     """Adds ``turn``: lines by width over height, widest first, ties by line."""
     return lines.withColumn("turn", F.row_number().over(Window.partitionBy(page).orderBy((F.col("width") / F.greatest(F.lit(1), F.col("height"))).desc(), line)))

@@ -214,6 +214,19 @@ def longest_first(spark, sf_dir):
     return evaluate.longest_first(_unique(spark, sf_dir))
 
 
+@query("page:i line_no:i bytes:i offset:i", f"{_LINES}, {_UNIQUE}", """SELECT page, line_no, w * h * 3 AS bytes, coalesce(sum(w * h * 3) OVER (PARTITION BY page ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM u""")
+def crop_offsets(spark, sf_dir):
+    lines = _unique(spark, sf_dir).withColumn("bytes", F.col("width") * F.col("height") * 3)
+    return evaluate.prefix_offsets(lines, ["page"], "line_no", "bytes")
+
+
+@query("page:i line:i role:s length:i", "", "SELECT conv_id AS page, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line, role, length(text) AS length FROM conversations")
+def positional_lines(spark, sf_dir):
+    c = inputs.load(spark, sf_dir, "conversations")
+    listed = c.groupBy(F.col("conv_id").alias("page")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("length")))).alias("v"))
+    return evaluate.zip_lines(listed.select("page", F.transform("v", lambda x: x["role"]).alias("role"), F.transform("v", lambda x: x["length"]).alias("length")), ["role", "length"])
+
+
 # --- boxes
 
 @query("line:i min_x:d min_y:d max_x:d max_y:d area:d convex:b inside:b grow:d", inputs.QUADS, """
