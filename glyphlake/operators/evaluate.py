@@ -15,40 +15,43 @@ def _sorted(value: Column) -> Column:
     return F.array_sort(F.collect_list(value))
 
 
-def p95_rounded(value: Column) -> Column:
-    """sorted[min(n - 1, trunc(0.95 (n - 1) + 0.5))]; 0 if there is nothing. For groups of bounded size, as it lists them."""
-    n = F.count(value)
-    at = F.least(n - 1, F.floor(0.95 * (n - 1) + 0.5))
-    return F.when(n == 0, 0.0).otherwise(F.element_at(_sorted(value), (F.greatest(at, F.lit(0)) + 1).cast("int")))
+#: Indexes, from 0, of order statistics among n sorted values.
+RULES = {
+    "p95_rounded": lambda n: F.least(n - 1, F.floor(0.95 * (n - 1) + 0.5)),
+    "p95_ceiling": lambda n: F.greatest(F.lit(0), F.ceil(0.95 * n) - 1),
+    "upper_median": lambda n: F.floor(n / 2),
+    "lower_median": lambda n: F.floor((n - 1) / 2),
+}
 
 
-def p95_ceiling(value: Column) -> Column:
-    """sorted[ceil(0.95 n) - 1]: the discrete percentile."""
-    n = F.count(value)
-    return F.when(n == 0, 0.0).otherwise(F.element_at(_sorted(value), F.greatest(F.lit(1), F.ceil(0.95 * n)).cast("int")))
+def ranked(rows: DataFrame, keys: list[str], value: str, picks: dict[str, str]) -> DataFrame:
+    """(keys, picks): exact order statistics of groups of any size; ``picks`` names a column and a rule of RULES.
 
-
-def ranked(rows: DataFrame, keys: list[str], value: str, picks: dict[str, Column]) -> DataFrame:
-    """Order statistics without listing a group: rows are numbered by value and the numbers wanted are picked.
-
-    ``picks`` names a column and gives its index (from 0) in terms of ``n``, the group's size.
+    Equal values are counted before anything is shuffled, and the counts are
+    summed in order of value, by a sort that may spill; no group is listed.
     """
     over = Window.partitionBy(*keys)
-    numbered = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), (F.row_number().over(over.orderBy(value)) - 1).alias("_i"), F.count(F.lit(1)).over(over).alias("n"))
-    return numbered.groupBy(*keys).agg(*(F.max(F.when(F.col("_i") == at, F.col("_v"))).alias(name) for name, at in picks.items()))
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    placed = counts.withColumns({"_upto": F.sum("_c").over(over.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(over)})
+    at = {name: RULES[rule](F.col("_n")) for name, rule in picks.items()}
+    return placed.groupBy(*keys).agg(*(F.max(F.when((F.col("_upto") > k) & (F.col("_upto") - F.col("_c") <= k), F.col("_v"))).alias(name) for name, k in at.items()))
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys, null keys included."""
+    there = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(there[f"_{k}"])
+    return left.join(there, on, "left").drop(*(f"_{k}" for k in keys))
 
 
 def stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, median, p95, min, max, sum of ``value`` for each key; median is the middle, or the mean of the middle two."""
-    return rows.groupBy(*keys).agg(
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean"),
-        F.median(value).alias("median"),
-        p95_rounded(F.col(value)).alias("p95"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.sum(value).alias("sum"),
-    )
+    sums = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.sum(value).alias("sum"))
+    order = ranked(rows, keys, value, {"_lo": "lower_median", "_hi": "upper_median", "p95": "p95_rounded"})
+    both = _beside(sums, order, keys)
+    return both.select(*keys, "n", "mean", ((F.col("_lo") + F.col("_hi")) / 2).alias("median"), F.coalesce("p95", F.lit(0.0)).alias("p95"), "min", "max", "sum")
 
 
 def upper_median(value: Column) -> Column:
@@ -72,12 +75,10 @@ def build_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
     mean = F.coalesce(F.avg(timed), F.lit(0.0))
     measured = F.count(timed)
     lines = F.coalesce(F.sum(F.when(~F.col("warmup"), F.col("lines"))), F.lit(0))
-    return rows.groupBy(*keys).agg(
+    sums = rows.groupBy(*keys).agg(
         measured.alias("n"),
         F.count(F.when(F.col("warmup"), 1)).alias("warmup"),
         mean.alias("mean"),
-        F.coalesce(F.median(timed), F.lit(0.0)).alias("median"),
-        p95_rounded(timed).alias("p95"),
         F.coalesce(F.min(timed), F.lit(0.0)).alias("min"),
         F.coalesce(F.max(timed), F.lit(0.0)).alias("max"),
         F.coalesce(F.sum(timed), F.lit(0.0)).alias("sum"),
@@ -88,6 +89,9 @@ def build_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.max_by("file", F.when(~F.col("warmup"), F.struct("total_ms", -F.col("seq")))).alias("slowest_file"),
         (F.max_by("working_set_mb", "seq") - F.min_by("working_set_mb", "seq")).alias("working_set_delta"),
     )
+    order = ranked(rows.filter("not warmup"), keys, "total_ms", {"_lo": "lower_median", "_hi": "upper_median", "p95": "p95_rounded"})
+    both = _beside(sums, order, keys)
+    return both.withColumns({"median": F.coalesce((F.col("_lo") + F.col("_hi")) / 2, F.lit(0.0)), "p95": F.coalesce("p95", F.lit(0.0))}).drop("_lo", "_hi")
 
 
 def key_means(rows: DataFrame, keys: list[str], metrics: str) -> DataFrame:

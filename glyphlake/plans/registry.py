@@ -327,13 +327,11 @@ def stage_stats(spark, sf_dir):
     return evaluate.stats(inputs.bench_rows(spark, sf_dir), ["run"], "total_ms")
 
 
-@query("run:s rounded:d ceiling:d upper:d picked:d", f"{inputs.BENCH.strip()}, sm AS (SELECT run, count(*) AS n, list_sort(list(total_ms)) AS v FROM br GROUP BY run)", """
-SELECT run, v[least(n - 1, floor(0.95::DOUBLE * (n - 1) + 0.5))::BIGINT + 1] AS rounded, v[greatest(1, ceil(0.95::DOUBLE * n))::BIGINT] AS ceiling, v[n // 2 + 1] AS upper, v[least(n - 1, floor(0.95::DOUBLE * (n - 1) + 0.5))::BIGINT + 1] AS picked FROM sm""")
+@query("run:s rounded:d ceiling:d upper:d lower:d", f"{inputs.BENCH.strip()}, sm AS (SELECT run, count(*) AS n, list_sort(list(total_ms)) AS v FROM br GROUP BY run)", """
+SELECT run, v[least(n - 1, floor(0.95::DOUBLE * (n - 1) + 0.5))::BIGINT + 1] AS rounded, v[greatest(1, ceil(0.95::DOUBLE * n))::BIGINT] AS ceiling, v[n // 2 + 1] AS upper, v[(n - 1) // 2 + 1] AS lower FROM sm""")
 def percentile_rules(spark, sf_dir):
-    rows = inputs.bench_rows(spark, sf_dir)
-    v, n = F.col("total_ms"), F.col("n")
-    listed = rows.groupBy("run").agg(evaluate.p95_rounded(v).alias("rounded"), evaluate.p95_ceiling(v).alias("ceiling"), evaluate.upper_median(v).alias("upper"))
-    return listed.join(evaluate.ranked(rows, ["run"], "total_ms", {"picked": F.least(n - 1, F.floor(0.95 * (n - 1) + 0.5))}), "run")
+    picks = {"rounded": "p95_rounded", "ceiling": "p95_ceiling", "upper": "upper_median", "lower": "lower_median"}
+    return evaluate.ranked(inputs.bench_rows(spark, sf_dir), ["run"], "total_ms", picks)
 
 
 _SUMMARY = f"""{inputs.BENCH.strip()},

@@ -225,11 +225,12 @@ def test_line_errors_use_all_predictions_but_consume_exact_ones(spark):
 
 
 def test_percentile_rules_differ(spark):
-    rows = spark.range(1, 100).selectExpr("double(id) as v", "1 as k")
-    r = rows.groupBy("k").agg(evaluate.p95_rounded(F.col("v")).alias("a"), evaluate.p95_ceiling(F.col("v")).alias("b"), evaluate.upper_median(F.col("v")).alias("c")).first()
-    assert (r.a, r.b, r.c) == (94.0, 95.0, 50.0)
-    none = rows.limit(0).agg(evaluate.p95_rounded(F.col("v")).alias("a")).first()
-    assert none.a == 0.0
+    picks = {"a": "p95_rounded", "b": "p95_ceiling", "c": "upper_median", "d": "lower_median"}
+    for n in (1, 2, 7, 99, 100):
+        rows = spark.range(1, n + 1).selectExpr("double(id) as v", "1 as k").unionByName(spark.createDataFrame([(None, 1)], "v double, k int"))
+        r = evaluate.ranked(rows, ["k"], "v", picks).first()
+        assert (r.a, r.b, r.c, r.d) == (min(n - 1, int(0.95 * (n - 1) + 0.5)) + 1, max(1, -(-95 * n // 100)), n // 2 + 1, (n - 1) // 2 + 1)
+        assert rows.groupBy("k").agg(evaluate.upper_median(F.col("v")).alias("c")).first().c == r.c
 
 
 def test_worker_formulas_and_errors(spark):
