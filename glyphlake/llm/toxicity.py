@@ -35,17 +35,35 @@ LEAST = 5
 #: Neutral words, of score zero, that every text is taken to have besides its own.
 NEUTRAL = 20
 #: Words whose scores a process remembers; then it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
+#: Words whose n-grams are hashed at once.
+BLOCK = 8192
 WORDS = re.compile(r"[^\W_]+")
 THRESHOLD = 0.7
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the word and of its n-grams, ends marked."""
-    marked = f"<{word}>"
-    n = len(marked)
-    grams = [marked[i : i + k] for k in GRAMS for i in range(n - k + 1)] if n <= 64 else [marked[i : i + 4] for i in range(n - 3)]
-    return [crc32(g.encode()) % BUCKETS for g in (marked, *grams)]
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words and of their n-grams, ends marked, and the number of the word that each belongs to, in order.
+
+    n-grams of all words are hashed together, over code points, as polynomials
+    mod 2^32 whose upper half is folded in.
+    """
+    marked = [f"<{w}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32)
+    lengths = np.array([len(m) for m in marked], np.int64)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    room = lengths.cumsum()[owner] - np.arange(len(codes))  # characters from here to the end of the word
+    buckets, owners = [np.array([crc32(m.encode()) for m in marked], np.uint32)], [np.arange(len(words))]
+    for n in GRAMS:
+        at = np.flatnonzero(room >= n)
+        h = np.full(len(at), n, np.uint32)
+        for k in range(n):
+            h = h * np.uint32(2654435761) + codes[at + k]
+        buckets.append(h ^ (h >> np.uint32(15)))
+        owners.append(owner[at])
+    bucket, own = np.concatenate(buckets) % np.uint32(BUCKETS), np.concatenate(owners)
+    order = np.argsort(own, kind="stable")
+    return bucket[order].astype(np.int64), own[order]
 
 
 @dataclass
@@ -87,7 +105,7 @@ def train(bags: Bags, prior: float, steps: int = STEPS, seed: int = 7) -> Model:
     if len(y) < 20 or y.min() == y.max():
         return model
     scorer = Scorer(model)
-    word_scores = np.array([scorer.word(w) for w in rest.words])
+    word_scores = scorer.words(rest.words)
     mass = np.sqrt(rest.count)
     logits = model.bias + np.bincount(rest.text, word_scores[rest.word] * mass, len(y)) / (NEUTRAL + np.bincount(rest.text, mass, len(y)))
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
@@ -115,10 +133,9 @@ def fit(bags: Bags, prior: float, steps: int = STEPS, seed: int = 7) -> Model:
     mass = np.sqrt(bags.count)
     share = (mass / (NEUTRAL + np.bincount(bags.text, mass, len(y)))[bags.text])[keep].astype(np.float32)[:, None]
     doc, word = bags.text[keep], number[bags.word[keep]]
-    hits = [subwords(w) for w, ok in zip(bags.words, wide) if ok]
-    lengths = np.array([len(h) for h in hits])
-    bucket, starts = np.concatenate([np.array(h) for h in hits]), np.r_[0, lengths.cumsum()[:-1]]
-    owner, part = np.repeat(np.arange(len(hits)), lengths), (1 / lengths).astype(np.float32)[:, None]
+    bucket, owner = subwords([w for w, ok in zip(bags.words, wide) if ok])
+    lengths = np.bincount(owner)
+    starts, part = np.r_[0, lengths.cumsum()[:-1]], (1 / lengths).astype(np.float32)[:, None]
 
     def summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(at, column, n) for column in rows.T], 1).astype(np.float32)
@@ -137,7 +154,7 @@ def fit(bags: Bags, prior: float, steps: int = STEPS, seed: int = 7) -> Model:
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         g = (p - truth) * weight
-        down = summed(word, (g @ w.T)[doc] * share, len(hits)) * part
+        down = summed(word, (g @ w.T)[doc] * share, len(lengths)) * part
         gradients = (summed(bucket, down[owner], BUCKETS), vectors.T @ g, g.sum(0))
         rate = RATE * min(1, 2 * (1 - step / steps) + 0.05)
         for x, gradient, m, own, soft in zip((e, w, b), gradients, moments, (1, 0.2, 0.2), (SOFT, 1e-10, 1e-10)):
@@ -194,19 +211,27 @@ class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def word(self, w: str) -> float:
-        s = self.known.get(w)
-        if s is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            s = self.known[w] = float(self.model.buckets[subwords(w)].mean())
-        return s
-
-    def score(self, text: str | None) -> float:
-        words = bag(text)
-        mass = np.sqrt(np.fromiter(words.values(), np.float64, len(words)))
-        logit = self.model.bias + mass @ np.fromiter(map(self.word, words), np.float64, len(words)) / (NEUTRAL + mass.sum())
-        return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
+    def words(self, words: list[str]) -> np.ndarray:
+        """Each word's score: the mean over its buckets."""
+        out = [np.zeros(0)]
+        for at in range(0, len(words), BLOCK):
+            bucket, owner = subwords(words[at : at + BLOCK])
+            out.append(np.bincount(owner, self.model.buckets[bucket]) / np.bincount(owner))
+        return np.concatenate(out)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """The probability of label 1 of each text; words new to the process are scored together."""
+        bags = [bag(t) for t in texts]
+        distinct = set().union(*bags)
+        if len(self.known) + len(distinct) > REMEMBERED:
+            self.known.clear()
+        new = [w for w in distinct if w not in self.known]
+        self.known.update(zip(new, self.words(new).tolist()))
+        logits = np.empty(len(texts))
+        for i, words in enumerate(bags):
+            mass = np.sqrt(np.fromiter(words.values(), np.float64, len(words)))
+            logits[i] = self.model.bias + mass @ np.fromiter(map(self.known.__getitem__, words), np.float64, len(words)) / (NEUTRAL + mass.sum())
+        return 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -230,7 +255,7 @@ def score_texts(docs: DataFrame, labels: DataFrame, texts: int = TEXTS_A_CLASS)
             _SCORERS.clear()
             scorer = _SCORERS[key] = Scorer(Model(buckets, bias))
         for b in slices(batches, 256):
-            scores = np.array([scorer.score(t) for t in b.column(2).to_pylist()], np.float64)
+            scores = scorer.scores(b.column(2).to_pylist())
             flags = pa.array((scores >= THRESHOLD).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores), flags], ["doc_id", "held_out", "score", "predicted"])
 
@@ -251,6 +276,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, texts: int = TEXTS_A_CLASS) -
             _SCORERS.clear()
             scorer = _SCORERS[key] = Scorer(Model(buckets, bias))
         for b in slices(batches, 256):
-            yield b.filter(pa.array([scorer.score(t) < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array(scorer.scores(b.column(at).to_pylist()) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
