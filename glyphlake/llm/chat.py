@@ -18,10 +18,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.bpe import encoder
+from glyphlake.llm.bpe import encoder, listed, packed_lists
 from glyphlake.llm.common import slices
 
 OPEN, BODY, CLOSE = 50257, 50258, 50259
@@ -58,7 +59,7 @@ def encode_turns(conversations: DataFrame) -> DataFrame:
         enc = encoder()
         for b in slices(batches):
             roles, texts = ([x or "" for x in b.column(i).to_pylist()] for i in (2, 3))
-            ids = [pa.array([enc.encode(escape(x)) for x in part], pa.list_(pa.int32())) for part in (roles, texts)]
+            ids = [packed_lists([enc.pack(escape(x)) for x in part]) for part in (roles, texts)]
             learned = pa.array([r == LEARNED for r in roles])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *ids, learned], ["conv_id", "turn", "role_ids", "text_ids", "learned"])
 
@@ -66,6 +67,9 @@ def encode_turns(conversations: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "conv_id long, turn long, role_ids array<int>, text_ids array<int>, learned boolean")
 
 
+ASSEMBLED = "conv_id long, position long, token_start long, char_start long, ids array<int>, loss array<boolean>, rendered string"
+
+
 def assemble(conversations: DataFrame) -> DataFrame:
     """One row for each turn, in order within its conversation and partition:
 
@@ -78,25 +82,28 @@ def assemble(conversations: DataFrame) -> DataFrame:
         enc = encoder()
         now, position, tokens, chars = object(), 0, 0, 0
         for b in slices(batches, 256):
-            out = {k: [] for k in ("conv_id", "position", "token_start", "char_start", "ids", "loss", "rendered")}
-            for conv, role, text, learned in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
+            places, packed, shown, spans = [], [], [], []
+            for conv, role, text, learned in zip(b.column(0).to_pylist(), listed(b.column(2)), listed(b.column(3)), b.column(4).to_pylist()):
                 if conv != now:
                     now, position, tokens, chars = conv, 0, 0, 0
-                ids = [OPEN, *role, BODY, *text, CLOSE]
-                begins = len(role) + 2
-                edges = np.zeros(len(ids) + 1, np.int8)
-                if learned:
-                    edges[begins] += 1
-                    edges[begins + len(text)] -= 1
-                shown = "".join((SHOWN[OPEN], enc.decode(role).decode(), SHOWN[BODY], enc.decode(text).decode(), SHOWN[CLOSE]))
-                for k, v in zip(out, (conv, position, tokens, chars, ids, edges.cumsum()[:-1].astype(bool), shown)):
-                    out[k].append(v)
-                position, tokens, chars = position + 1, tokens + len(ids), chars + len(shown)
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], list(out))
+                places.append((conv, position, tokens, chars))
+                packed.append(np.array([OPEN, *role, BODY, *text, CLOSE], np.int32).tobytes())
+                spans.append((len(role) + 2, len(text) if learned else 0))
+                shown.append("".join((SHOWN[OPEN], enc.decode(role).decode(), SHOWN[BODY], enc.decode(text).decode(), SHOWN[CLOSE])))
+                position, tokens, chars = position + 1, tokens + len(packed[-1]) // 4, chars + len(shown[-1])
+            ids = packed_lists(packed)
+            # The mask: up where a learned text begins, down where it ends, summed along all tokens of the batch.
+            edges = np.zeros(len(ids.values) + 1, np.int8)
+            begins, lengths = np.array(spans, np.int64).reshape(-1, 2).T
+            begins = begins + ids.offsets.to_numpy()[:-1]
+            np.add.at(edges, begins, 1)
+            np.add.at(edges, begins + lengths, -1)
+            loss = pa.ListArray.from_arrays(ids.offsets, pa.array(edges.cumsum()[:-1].astype(bool)))
+            numbers = [pa.array(c, pa.int64()) for c in (list(zip(*places)) or [()] * 4)]
+            yield pa.RecordBatch.from_arrays([*numbers, ids, loss, pa.array(shown, pa.string())], ["conv_id", "position", "token_start", "char_start", "ids", "loss", "rendered"])
 
     turns = encode_turns(conversations).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role_ids", "text_ids")
-    return turns.mapInArrow(run, "conv_id long, position long, token_start long, char_start long, ids array<int>, loss array<boolean>, rendered string")
+    return turns.mapInArrow(run, ASSEMBLED)
 
 
 def read_back(assembled: DataFrame) -> DataFrame:
@@ -118,19 +125,24 @@ def read_back(assembled: DataFrame) -> DataFrame:
 
         for b in slices(batches, 256):
             rows: list[tuple] = []
-            for conv, ids, loss, shown in zip(*(b.column(i).to_pylist() for i in (0, 4, 5, 6))):
+            masks = b.column(5)
+            flags, offsets = masks.values.to_numpy(zero_copy_only=False), masks.offsets.to_numpy()
+            for conv, ids, begin, end, size in zip(b.column(0).to_pylist(), listed(b.column(4)), offsets[:-1], offsets[1:], pc.utf8_length(b.column(6)).to_pylist()):
                 if seen is None or conv != now:
                     close(rows)
                     now, seen = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                body = ids.index(BODY)
+                body, close_at = ids.index(BODY), ids.index(CLOSE)
                 role = unescape(enc.decode(ids[1:body]).decode())
-                text = unescape(enc.decode(ids[body + 1 : ids.index(CLOSE)]).decode())
+                text = unescape(enc.decode(ids[body + 1 : close_at]).decode())
                 seen[0] += 1
                 seen[1].update(f"{role}\n{text}\n".encode())
-                learned = unescape(enc.decode([i for i, on in zip(ids, loss) if on]).decode())
-                seen[2] += len(learned)
-                seen[3].update(learned.encode())
-                seen[4] += len(shown)
+                on = np.flatnonzero(flags[begin:end])
+                if len(on):
+                    under = [ids[i] for i in on.tolist()]
+                    learned = text if under == ids[body + 1 : close_at] else unescape(enc.decode(under).decode())
+                    seen[2] += len(learned)
+                    seen[3].update(learned.encode())
+                seen[4] += size
             if rows:
                 yield emit(rows)
         rows = []
