@@ -11,6 +11,7 @@ neighbours can is the one that the merges give.
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from glyphlake.llm.common import slices
 
-#: Pieces whose ids a process remembers; then it starts anew.
-REMEMBERED = 500_000
+#: Pieces whose ids, and pairs whose fit, a process remembers; then it starts anew.
+REMEMBERED, PAIRS = 400_000, 500_000
 
 class Seen(dict):
     """Strings seen so far, each with its ids as packed 32-bit numbers; a new one is encoded when asked for."""
@@ -51,8 +52,8 @@ class Encoder:
         for token in self.ranks:
             self.automaton.add_word(token.decode("latin-1"), len(token))
         self.automaton.make_automaton()
-        self.pieces = Seen(lambda piece: np.array(self.encode_bytes(piece.encode()), np.int32).tobytes())
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pieces = Seen(lambda piece: array("i", self.encode_bytes(piece.encode())).tobytes())
+        self.pairs: dict[int, bool] = {}  # by both ranks in one number, which takes less room than a pair of tokens
         self.prefixes: dict[bytes, bytes] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
@@ -66,11 +67,12 @@ class Encoder:
         return parts
 
     def fits(self, left: bytes, right: bytes) -> bool:
-        known = self.pairs.get((left, right))
+        key = self.ranks[left] << 32 | self.ranks[right]
+        known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > REMEMBERED:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(left + right) == [left, right]
+            known = self.pairs[key] = self.merge(left + right) == [left, right]
         return known
 
     def shorter(self, token: bytes) -> bytes:
