@@ -522,6 +522,14 @@ def edit_distance(spark, sf_dir):
     return t.join(o, "k").filter("item_id <> o").groupBy(F.col("item_id").alias("item")).agg(F.min(F.levenshtein("s", "os")).alias("best"))
 
 
+@query("page:i text:s hash:s")
+def packed_text_hash_whole(spark, sf_dir):
+    """packed_text_hash() is held to its SQL's 32 characters of each text; this one joins and hashes the whole texts as they are."""
+    c = inputs.load(spark, sf_dir, "conversations")
+    lines = c.select(F.col("conv_id").alias("page"), F.col("turn").alias("line_no"), "text")
+    return fmt.page_text(lines).select("page", "text", fmt.fnv1a_hex("packed_text").alias("hash"))
+
+
 # --- pixels
 
 @query("line:i on:i", "b AS (SELECT vec_id AS line, embedding AS v FROM embeddings)", "SELECT line, len(list_filter(v, lambda x: x > 0.2::FLOAT)) AS \"on\" FROM b")
