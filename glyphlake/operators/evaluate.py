@@ -170,6 +170,22 @@ def line_errors(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return joined.select(*found.columns, F.when(F.col("exact"), 0).otherwise(F.least(F.col("chars"), F.coalesce("_d", "chars"))).alias("errors"))
 
 
+def nearest_texts(rows: DataFrame, blocks: int = 32) -> DataFrame:
+    """Adds ``best``: the least edit distance of ``text`` to that of any other row, whatever its other columns.
+
+    Equal texts are compared once, and each text meets the others block by
+    block, a task each: the rows are few and the work is in their pairs. Null texts are compared with nothing: they, and a row that has no
+    other, get null.
+    """
+    texts = rows.filter("text is not null").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    asked = texts.filter("n = 1").select("text", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).repartition(blocks, "_block")
+    others = texts.select(F.col("text").alias("_other"), F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int").alias("_block"))
+    pairs = asked.join(others, "_block").filter("text != _other")
+    least = pairs.groupBy("text").agg(F.min(F.levenshtein("text", "_other")).alias("_least"))
+    found = texts.join(least, "text", "left").select(F.col("text").alias("_text"), F.when(F.col("n") > 1, 0).otherwise(F.col("_least")).alias("best"))
+    return rows.join(found, rows["text"] == found["_text"], "left").drop("_text")
+
+
 def accuracy(errors: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """exact_lines, total_lines, exact_img, images, errors, total_chars, cer, char_acc over line_errors()."""
     keys = keys or []

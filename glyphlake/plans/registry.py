@@ -530,6 +530,13 @@ def packed_text_hash_whole(spark, sf_dir):
     return fmt.page_text(lines).select("page", "text", fmt.fnv1a_hex("packed_text").alias("hash"))
 
 
+@query("item:i best:i")
+def edit_distance_whole(spark, sf_dir):
+    """edit_distance() is held to its SQL's 32 characters and eighth of the partners; this one compares whole texts with those of all other rows."""
+    rows = inputs.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
+    return evaluate.nearest_texts(rows)
+
+
 # --- pixels
 
 @query("line:i on:i", "b AS (SELECT vec_id AS line, embedding AS v FROM embeddings)", "SELECT line, len(list_filter(v, lambda x: x > 0.2::FLOAT)) AS \"on\" FROM b")

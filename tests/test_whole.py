@@ -1,5 +1,7 @@
 """Queries that do the whole job where a query of the registry is held to the cut of its SQL, against plain Python on small fixtures."""
 
+import random
+
 from glyphlake.plans import registry
 
 
@@ -10,6 +12,15 @@ def fnv(data: bytes) -> str:
     return f"{h:016x}"
 
 
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
 def test_page_hash_is_of_the_whole_texts(spark, tmp_path):
     same = "the same thirty-two characters, and more: "
     rows = [(1, 0, same + "a"), (1, 1, "x~é"), (2, 0, same + "b"), (2, 1, "x~é"), (3, 1, None), (3, 0, "漢" * 50)]
@@ -20,3 +31,14 @@ def test_page_hash_is_of_the_whole_texts(spark, tmp_path):
         want.setdefault(page, []).append(text or "")
     assert got == {page: ("\n".join(v), fnv("".join(t + "\0" for t in v).encode())) for page, v in want.items()}
     assert got[1][1] != got[2][1]
+
+
+def test_least_edit_distance_is_over_whole_texts_and_all_partners(spark, tmp_path):
+    rng = random.Random(4)
+    start = "thirty-two characters in common: "
+    rows = [(i, start + "".join(rng.choice("abcé") for _ in range(rng.randint(5, 30)))) for i in range(20)]
+    rows += [(3, rows[4][1]), (None, "alone"), (21, ""), (22, None)]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r.item, r.best) for r in registry.QUERIES["edit_distance_whole"](spark, str(tmp_path)).collect()]
+    want = [(i, None if t is None else min(distance(t, o) for k, (_, o) in enumerate(rows) if k != n and o is not None)) for n, (i, t) in enumerate(rows)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
