@@ -92,20 +92,21 @@ def tile(item: list[int], text: list[int], least: int = SEED) -> list[tuple[int,
 
 
 class Items:
-    """The benchmark's items as token numbers, and where each run of SEED tokens occurs."""
+    """The benchmark's rows as token numbers, and where each run of SEED tokens occurs. Rows are told apart by place: an item_id may repeat or be null."""
 
-    def __init__(self, rows: list[tuple[int, str]], seed: int = SEED):
+    def __init__(self, rows: list[tuple[int | None, str]], seed: int = SEED):
         self.seed, self.vocabulary = seed, {}
-        self.items: dict[int, list[int]] = {}
+        self.names = [item_id for item_id, _ in rows]
+        self.items: list[list[int]] = []
         self.seeds: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        for item_id, text in rows:
+        for row, (_, text) in enumerate(rows):
             ids = [self.vocabulary.setdefault(t, len(self.vocabulary)) for t in tokens(text)]
-            self.items[item_id] = ids
+            self.items.append(ids)
             for i in range(len(ids) - seed + 1):
-                self.seeds[tuple(ids[i : i + seed])].add(item_id)
+                self.seeds[tuple(ids[i : i + seed])].add(row)
 
-    def matches(self, text: str | None, least: float) -> list[tuple[int, float, int]]:
-        """(item, share covered, tiles) of each item that tiles cover to that share at least."""
+    def matches(self, text: str | None, least: float) -> list[tuple[int | None, float, int]]:
+        """(item_id, share covered, tiles) of each row that tiles cover to that share at least."""
         ids = [self.vocabulary.get(t, -1) for t in tokens(text)]
         n = self.seed
         a = np.array(ids, np.int64)
@@ -130,8 +131,8 @@ class Items:
             tiles = tile(want, cut, n)
             share = sum(t[2] for t in tiles) / len(want)
             if share >= least:
-                out.append((item, share, len(tiles)))
-        return sorted(out)
+                out.append((self.names[item], share, len(tiles)))
+        return sorted(out, key=lambda m: (m[0] is None, m[0] or 0, *m[1:]))
 
 
 _ITEMS: dict[str, Items] = {}
@@ -148,11 +149,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, se
     """doc_id, item_id, coverage, tiles: one row for each text and item that tiles cover to ``covered`` at least.
 
     Items with fewer than ``seed`` tokens, and null or empty texts on either
-    side, match nothing. Repeated rows are compared each. An empty table gives
-    no rows. A benchmark beyond ``sent_bytes`` is joined by seed instead of
+    side, match nothing. Rows are compared each, whether an item_id or a whole
+    row repeats; a null item_id is returned as null. An empty table gives no rows. A benchmark beyond ``sent_bytes`` is joined by seed instead of
     being sent; both ways give the same rows. Other columns are ignored.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null")
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= sent_bytes:
         return _sent(rows, items, covered, seed)
@@ -201,10 +202,11 @@ def hash_run(words: list[str]) -> int:
 def _joined(rows: DataFrame, items: DataFrame, covered: float, seed: int) -> DataFrame:
     """Seeds that the benchmark lacks are dropped by a semi join, pairs are made distinct, and each pair is tiled on its own."""
     numbered = Fence(rows.withColumn("row", F.monotonically_increasing_id())).df
-    wanted = Fence(_seeds(items.select("item_id", "text"), "item_id", seed)).df
+    items = Fence(items.select(F.monotonically_increasing_id().alias("item"), "item_id", F.col("text").alias("item_text"))).df
+    wanted = Fence(_seeds(items.select("item", F.col("item_text").alias("text")), "item", seed)).df
     have = _seeds(numbered.select("row", "text"), "row", seed)
-    pairs = have.join(wanted, "h").select("row", "item_id").distinct()
-    both = pairs.join(numbered, "row").join(items.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "item_id", "text", "item_text")
+    pairs = have.join(wanted, "h").select("row", "item").distinct()
+    both = pairs.join(numbered, "row").join(items, "item").select("doc_id", "item_id", "text", "item_text")
 
     def run(batches):
         for b in slices(batches, 64):
@@ -223,7 +225,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, seed: int = SEED, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """The rows of ``docs`` whose text no item's tiles cover, all columns."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null")
     if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > sent_bytes:
         gone = _joined(docs.select(F.xxhash64("text").alias("doc_id"), "text"), items, covered, seed).select(F.col("doc_id").alias("__h")).distinct()
         return docs.withColumn("__key", F.xxhash64("text")).join(gone, F.col("__key") == F.col("__h"), "left_anti").drop("__key")

@@ -176,6 +176,16 @@ def test_contamination_by_either_way(spark, sent):
     assert decontaminate.overlaps(table, bench.limit(0), sent_bytes=sent).count() == 0
 
 
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_items_whose_id_repeats_or_is_null_are_compared_each(spark, sent):
+    passage = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    table = spark.createDataFrame([(i, f"before {passage(c)} after") for i, c in enumerate("abcdef")] + [(None, passage("a"))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, passage("a")), (7, passage("b")), (None, passage("c")), (None, passage("d")), (8, passage("e")), (8, passage("e"))], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.coverage) for r in decontaminate.overlaps(table, bench, sent_bytes=sent).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(0, 7, 1.0), (None, 7, 1.0), (1, 7, 1.0), (2, None, 1.0), (3, None, 1.0), (4, 8, 1.0), (4, 8, 1.0)]))
+    assert [r.doc_id for r in decontaminate.keep_clean(table, bench, sent_bytes=sent).collect()] == [5]
+
+
 def test_forward_sums_all_segmentations():
     automaton, n = langid.vocabulary()
     rng = np.random.default_rng(3)
