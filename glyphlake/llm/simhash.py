@@ -50,15 +50,16 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row as a signed long."""
+def fingerprints(docs: DataFrame, width: int = WIDTH, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp): the fingerprint of each row as a signed long; between them the columns ``beside``, of whole numbers."""
+    names = ["doc_id", *beside]
 
     def run(batches):
         for b in slices(batches):
-            fp = [fingerprint(t, width) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fp = [fingerprint(t, width) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.array(fp, np.uint64).view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("text", *(F.col(c).cast("long").alias(c) for c in names)).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def links(nodes: DataFrame, long: int = LONG) -> DataFrame:
@@ -134,10 +135,16 @@ def simhash_groups(docs: DataFrame, width: int = WIDTH, long: int = LONG) -> Dat
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, long: int = LONG) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names its group: one document of each group stays, all columns.
+    """One row of each group of simhash_groups(), all columns: that of the smallest doc_id, of several such rows any one.
 
-    A null doc_id names no group and stays only where its whole group is null.
+    Rows are told apart by a number of their own, as a doc_id may repeat or be
+    null. A row with a null doc_id stays only where its whole group has none.
     """
-    gone = simhash_groups(docs.select("doc_id", "text"), width, long).filter("not doc_id <=> component_id")
-    gone = gone.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+    rows = fence(docs.withColumn("__row", F.monotonically_increasing_id()))
+    prints = fence(fingerprints(rows.select("doc_id", "text", "__row"), width, ("__row",)))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    nodes = fence(prints.groupBy("fp").agg(F.min(place).alias("first")), small=True)
+    roots = components(links(nodes.select("fp"), long))
+    groups = nodes.join(roots, nodes["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("first").alias("first"))
+    gone = fence(prints.select("__row").join(groups.select("first.__row"), "__row", "left_anti"), small=True)
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)

@@ -126,6 +126,15 @@ def test_simhash_groups(docs):
     assert {r.doc_id for r in kept} >= {1, 3, 6, 9} and not {2, 5, 4, 7} & {r.doc_id for r in kept}
 
 
+def test_keep_one_keeps_a_row_of_each_group_where_ids_are_null_or_repeat(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(1, a, 0), (None, a.upper(), 1), (None, b, 2), (5, a.title(), 3), (5, c, 4), (None, d, 5), (None, d.upper(), 6), (7, e, 7), (7, e, 8), (7, e.upper(), 9)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    assert kept.columns == ["doc_id", "text", "n"]
+    n = sorted(r.n for r in kept.collect())
+    assert len(n) == 5 and n[:3] == [0, 2, 4] and n[3] in (5, 6) and n[4] in (7, 8, 9)
+
+
 def brute_capacity(sizes, shards):
     best = sum(sizes)
     low = max(sizes, default=0)
