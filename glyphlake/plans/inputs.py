@@ -55,9 +55,16 @@ def _one_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def truth_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image, line, x0, y0, x1, y1, cls_degrees): one box for each order line."""
-    li = _one_each(spark, sf_dir)
+def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows; those of an order are numbered anew, so that rows that share a line number become lines of their own."""
+    li = load(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", *sorted(set(li.columns) - {"l_orderkey", "l_linenumber"}))
+    return li.withColumn("l_linenumber", F.row_number().over(order))
+
+
+def truth_boxes(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """(image, line, x0, y0, x1, y1, cls_degrees): one box for each order line, or for every row."""
+    li = _every(spark, sf_dir) if every else _one_each(spark, sf_dir)
     x, y = F.col("l_partkey") % 400, (F.col("l_suppkey") * 4) % 1000
     return li.select(
         F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("line"), x.cast("double").alias("x0"), y.cast("double").alias("y0"),
@@ -65,9 +72,9 @@ def truth_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predicted_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predicted_boxes(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
     """(image, line, x0, y0, x1, y1, rotation): the boxes, moved a little."""
-    li = _one_each(spark, sf_dir)
+    li = _every(spark, sf_dir) if every else _one_each(spark, sf_dir)
     x, y = F.col("l_partkey") % 400 + F.col("l_suppkey") % 7, (F.col("l_suppkey") * 4) % 1000 + F.col("l_partkey") % 5
     return li.select(
         F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("line"), x.cast("double").alias("x0"), y.cast("double").alias("y0"),

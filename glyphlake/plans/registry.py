@@ -304,18 +304,18 @@ def iou_matches(spark, sf_dir):
 
 @query("image:i gi:i pi:i iou:d")
 def greedy_assignment(spark, sf_dir):
-    return evaluate.greedy_assignment(evaluate.iou_pairs(inputs.truth_boxes(spark, sf_dir), inputs.predicted_boxes(spark, sf_dir)))
+    return evaluate.greedy_assignment(evaluate.iou_pairs(inputs.truth_boxes(spark, sf_dir, every=True), inputs.predicted_boxes(spark, sf_dir, every=True)))
 
 
 @query("cls_correct:i cls_total:i")
 def rotation_by_box(spark, sf_dir):
-    t, p = inputs.truth_boxes(spark, sf_dir), inputs.predicted_boxes(spark, sf_dir)
+    t, p = inputs.truth_boxes(spark, sf_dir, every=True), inputs.predicted_boxes(spark, sf_dir, every=True)
     return evaluate.rotation_score(evaluate.greedy_assignment(evaluate.iou_pairs(t, p)), t, p)
 
 
 @query("page:i line_no:i place:i")
 def reading_order(spark, sf_dir):
-    boxes = inputs.truth_boxes(spark, sf_dir).select(F.col("image").alias("page"), F.col("line").alias("line_no"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
+    boxes = inputs.truth_boxes(spark, sf_dir, every=True).select(F.col("image").alias("page"), F.col("line").alias("line_no"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
     return dbpost.sort_reading_order(boxes)
 
 

@@ -42,3 +42,13 @@ def test_least_edit_distance_is_over_whole_texts_and_all_partners(spark, tmp_pat
     got = [(r.item, r.best) for r in registry.QUERIES["edit_distance_whole"](spark, str(tmp_path)).collect()]
     want = [(i, None if t is None else min(distance(t, o) for k, (_, o) in enumerate(rows) if k != n and o is not None)) for n, (i, t) in enumerate(rows)]
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_rows_that_share_a_line_number_are_boxes_of_their_own(spark, tmp_path):
+    rows = [(1, 5, 70, 1), (1, 10, 140, 1), (1, 15, 210, 2)]
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame([(*r, 20.0, 1.0, "R", "O") for r in rows], columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda name: sorted(tuple(r) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
+    assert run("reading_order") == [(1, 1, 0), (1, 2, 1), (1, 3, 2)]
+    assert [r[:3] for r in run("greedy_assignment")] == [(1, 1, 1), (1, 2, 2), (1, 3, 3)]
+    assert run("rotation_by_box") == [(3, 3)]
