@@ -342,8 +342,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = look_up(captures.select("key", "page_id").distinct(), directory, index, groups)
     back = Fence(read_captures(found, archives, payloads=False).drop("payload")).df
-    named = back.filter("record_type = 'response'").groupBy(F.col("page_id").alias("named")).agg(F.max("payload_bytes").alias("bytes"), F.max("payload_digest").alias("digest"))
-    joined = back.join(named, (back["record_type"] == "revisit") & (back["refers_to"] == named["named"]), "left")
+    named = back.filter("record_type = 'response'").groupBy(F.col("page_id").alias("named"), F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("bytes"))
+    joined = back.join(named, (back["record_type"] == "revisit") & (back["refers_to"] == named["named"]) & (back["payload_digest"] == named["digest"]), "left")
     return joined.select(
         "page_id",
         F.coalesce("bytes", "payload_bytes").alias("payload_bytes"),

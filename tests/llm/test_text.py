@@ -105,6 +105,13 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(table.limit(0)).count() == 0
 
 
+def test_warc_revisit_takes_the_response_of_its_own_payload(spark):
+    one, two = "one payload " * 20, "another payload " * 30
+    table = spark.createDataFrame([(1, "http://a/x", one), (1, "http://a/y", two), (2, "http://a/z", one), (3, "http://a/w", two)], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.record_type, r.payload_bytes, r.payload_digest) for r in warc.round_trip(table).collect() if r.page_id > 1)
+    assert got == [(i, "revisit", len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in ((2, one), (3, two))]
+
+
 def test_warc_lookups_by_url(spark):
     rows, table = pages(spark)
     captures, directory, archives, index = warc.archive(table)
