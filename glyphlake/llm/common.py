@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FENCES: list[tuple[SparkSession, str]] = []
+#: Paths below the shared folder that aren't deleted yet, with their sessions.
+_OPEN: dict[str, SparkSession] = {}
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,30 +22,53 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (one machine, as in tests) a temporary one."""
+    """The folder all executors share, spark.checkpoint.dir. Where it is unset, local mode gets a temporary one and a cluster an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="glyphlake-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def scratch(spark: SparkSession, kind: str = "fence") -> str:
-    """A new folder name below shared_dir(), deleted when the driver's Python ends."""
+    """A new folder name below shared_dir(), deleted when its scope() or else the driver's Python ends."""
     path = f"{shared_dir(spark)}/glyphlake-{kind}-{uuid.uuid4().hex}"
-    _FENCES.append((spark, path))
+    _OPEN[path] = spark
+    if (inside := _SCOPE.get()) is not None:
+        inside.append(path)
     return path
 
 
 def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    _OPEN.pop(path, None)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def scope():
+    """Folders named inside are deleted at its end, but for those handed to the function it gives, which go to the scope around it."""
+    inside: list[str] = []
+    kept: list[str] = []
+    outer = _SCOPE.get()
+    token = _SCOPE.set(inside)
+    try:
+        yield lambda *fences: kept.extend(f if isinstance(f, str) else f.path for f in fences)
+    finally:
+        _SCOPE.reset(token)
+        for path in inside:
+            if path in kept and outer is not None:
+                outer.append(path)
+            elif path not in kept and path in _OPEN:
+                delete(_OPEN[path], path)
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _FENCES:
+    for path, spark in list(_OPEN.items()):
         try:
             delete(spark, path)
         except Exception:  # the session has ended; its shared folder is the cluster's to clear
@@ -59,7 +87,7 @@ class Fence:
         if small:
             df = df.coalesce(max(2, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16))
         df.write.parquet(self.path)
-        self.df = self.spark.read.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def release(self) -> None:
         delete(self.spark, self.path)
@@ -69,6 +97,27 @@ def fence(df: DataFrame, small: bool = False) -> DataFrame:
     return Fence(df, small).df
 
 
+#: Rows of a few longs that are sent to every executor, at most; beyond them a join shuffles. What is sent is counted first.
+SENT_ROWS = 1_000_000
+
+
+def sent_if_few(table: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """The table, to be broadcast where a count shows that it has at most ``rows`` rows."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the value as text, mod n; a null counts as the empty string."""
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")) % n

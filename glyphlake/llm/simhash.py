@@ -1,36 +1,39 @@
 """SimHash near-dedup: fingerprints, links at few differing bits, connected groups.
 
 Candidates come from an inverted index over the fingerprint's positional
-bytes: two fingerprints that differ in at most two bits share at least six of
-their eight positional bytes, hence at least two of four byte pairs. Postings
-are kept under each choice of two byte pairs (four positional bytes; single
-bytes would give postings of a 256th of the table). For a pair met in a posting
-the shared positional bytes are tallied, pairs below the guaranteed six are
-dropped, and the rest is verified bit by bit.
-
-Postings longer than LONG are not expanded into pairs. Their members are
-linked through common neighbours instead: two fingerprints differ in at most
-two bits exactly when some value differs from each of them in at most one bit,
-so every member names the 65 values around it, and those that name the same
-value belong together. A pair is either in a short posting or in long ones
-only, so together the two ways find every link between groups.
+bytes. Two fingerprints that differ in at most two bits share at least six of
+their eight positional bytes, so postings are kept for each choice of six
+positions: single bytes would give postings of a 256th of the table, choices
+of six give some that hold next to nothing but near ones, however large the
+table. A posting that is long all the same is split by more positions: its
+members differ in two bytes only, that is in four half bytes, of which a pair
+within two bits shares two at least; a part has 256 members at most. Postings
+that a pair meets in are tallied over the index, one for six shared bytes,
+seven for seven; pairs that reach the guaranteed minimum are verified bit by
+bit. All links are found, none but links is kept.
 """
 
 from __future__ import annotations
 
+import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import Fence, fence, slices
+from glyphlake.llm.common import Fence, fence, fresh, scope, sent_if_few, slices
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-BITS, BYTES, WIDTH, LONG = 2, 8, 3, 64
+BITS, BYTES, WIDTH = 2, 8, 3
+#: Choices of the six positional bytes that a pair shares at least, as the two that it may differ in.
+FREE = [(i, j) for i in range(BYTES) for j in range(i)]
+#: Members of a posting above which it is split by half bytes too.
+LONG = 64
 #: Shingles hashed at once; a longer text is tallied in blocks.
 BLOCK = 1 << 16
 
@@ -62,57 +65,85 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, beside: tuple[str, ...] =
     return docs.select("text", *(F.col(c).cast("long").alias(c) for c in names)).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
-def links(nodes: DataFrame, long: int = LONG) -> DataFrame:
-    """(a, b): links whose connected groups are those of all pairs of ``nodes`` (fp) within BITS bits.
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
 
-    In place of pairs of a long posting stands a star around each common
-    neighbour: its members are linked to the smallest of them.
-    """
-    pair = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    choices = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    key = F.array(*(F.struct(F.lit(k).alias("c"), (pair(i) * 65536 + pair(j)).alias("v")) for k, (i, j) in enumerate(choices)))
-    index = nodes.select("fp", F.explode(key).alias("key")).select("fp", "key.c", "key.v")
-    # Most postings have one fingerprint; those are dropped before anything is joined.
-    lengths = index.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    postings = fence(index.join(lengths, ["c", "v"]), small=True)
-    short = postings.filter(F.col("n") <= long).drop("n")
-    left, right = short.withColumnRenamed("fp", "a"), short.withColumnRenamed("fp", "b")
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    tally = sum((F.when(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k in range(BYTES)), F.lit(0))
-    pairs = left.join(right, ["c", "v"]).filter(F.col("a") < F.col("b"))
-    near = pairs.filter(tally >= BYTES - BITS).filter(F.bit_count(x) <= BITS).select("a", "b")
-    if postings.filter(F.col("n") > long).isEmpty():
-        return near
-    members = postings.filter(F.col("n") > long).select("fp").distinct()
-    around = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)))
-    named = fence(members.select("fp", F.explode(around).alias("z")), small=True)
-    hubs = named.groupBy("z").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    star = named.join(hubs, "z").filter("fp != a").select("a", F.col("fp").alias("b"))
-    return near.unionByName(star)
-
-
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, root): the smallest node reachable, for each node of ``edges`` (a, b).
-
-    Every node takes the smallest root among its neighbours, then its root's
-    root, until nothing changes; the distance to the root about halves each
-    time. Each round is written to the shared folder, and the one before it
-    deleted.
+
+def _mask(positions, width: int) -> int:
+    """Ones in the bits of those positions, each ``width`` bits wide."""
+    return _signed(sum((1 << width) - 1 << width * p for p in positions))
+
+
+def _pairs(members: Column) -> Column:
+    """(a, b) for each two of a posting's sorted members."""
+    return F.flatten(F.transform(members, lambda x, i: F.transform(F.slice(members, i + 2, F.size(members)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+
+
+def links(nodes: DataFrame, long: int = LONG) -> DataFrame:
+    """(a, b), a < b: every two fingerprints of ``nodes`` (fp, distinct) within BITS bits."""
+    listed = F.sort_array(F.collect_list("fp")).alias("m")
+    with scope() as keep:
+        fixed = F.array(*(F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(~_mask(free, 8))).alias("v")) for c, free in enumerate(FREE)))
+        index = nodes.select("fp", F.explode(fixed).alias("key")).select("fp", "key.c", "key.v")
+        # A posting has at most 65,536 members, as many as two bytes have values; nearly all have one and are dropped.
+        postings = Fence(index.groupBy("c", "v").agg(listed).filter(F.size("m") > 1), small=True).df
+        short = postings.filter(F.size("m") <= long).select("c", "m")
+        # The half bytes of two free bytes, any two of which may be the shared ones.
+        shared = [[_mask(two, 4) for two in combinations((2 * i, 2 * i + 1, 2 * j, 2 * j + 1), 2)] for i, j in FREE]
+        choice = F.element_at(F.array(*(F.array(*map(F.lit, masks)) for masks in shared)), F.col("c") + 1)
+        members = postings.filter(F.size("m") > long).select("c", "v", F.explode("m").alias("fp")).select("c", "v", "fp", F.explode(choice).alias("mask"))
+        parts = members.groupBy("c", "v", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("w")).agg(listed).filter(F.size("m") > 1).select("c", "m")
+        met = short.unionByName(parts).select("c", F.explode(_pairs(F.col("m"))).alias("p"))
+        # A pair meets in 1, 7 or 28 postings as it shares six, seven or eight bytes; parts of one posting count once.
+        tally = met.groupBy("p.a", "p.b").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1L, c)"))).alias("postings"))
+        near = Fence(tally.filter("postings >= 1").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b"), small=True)
+        keep(near)
+    return near.df
+
+
+def classes(edges: DataFrame) -> DataFrame:
+    """(node, root): for each node of ``edges`` (a, b) one node of its connected class, the same for all of the class.
+
+    The graph is contracted: every node goes to the smallest of itself and its
+    neighbours, edges follow, and those within one node are dropped, until none
+    are left. Small is by number, in every third round by number with random
+    bits turned over. Natural order settles dense classes in a round or two; in
+    a random one at least a quarter of the nodes are expected to go, whatever
+    the graph, so that the number of rounds grows with the logarithm of the
+    longest chain and needs no limit. Each round is written to the shared
+    folder; rounds shrink, and their maps are composed from the last one back.
     """
-    both = fence(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), small=True)
-    state = Fence(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), small=True)
-    for _ in range(most):
-        roots = state.df.select("node", "root")
-        told = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("told"))
-        lower = roots.join(told, roots["node"] == told["a"]).select("node", F.col("root").alias("was"), F.least("root", "told").alias("root"))
-        up = roots.select(F.col("node").alias("at"), F.col("root").alias("above"))
-        new = Fence(lower.join(up, lower["root"] == up["at"]).select("node", "was", F.least("root", "above").alias("root")), small=True)
-        settled = new.df.filter("root != was").isEmpty()
-        state.release()
-        state = new
-        if settled:
-            return state.df.select("node", "root")
-    raise RuntimeError(f"groups not settled after {most} rounds")
+    maps: list[DataFrame] = []
+    with scope() as keep:
+        pairs = edges.select("a", "b").filter("a != b")
+        both = Fence(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), small=True)
+        while not both.df.isEmpty():
+            turned = F.lit(_signed(random.Random(len(maps)).getrandbits(64)) if len(maps) % 3 == 2 else 0)
+            least = both.df.groupBy(F.col("a").alias("node")).agg(F.min(F.col("b").bitwiseXOR(turned)).alias("m"))
+            to = Fence(least.select("node", F.least("m", F.col("node").bitwiseXOR(turned)).bitwiseXOR(turned).alias("root")), small=True).df
+            first, second = to.toDF("a", "x"), to.toDF("b", "y")
+            moved = Fence(both.df.join(first, "a").join(second, "b").filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), small=True)
+            both.release()
+            both, maps = moved, [*maps, to]
+        if not maps:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+        total = maps.pop()
+        while maps:
+            up = total.toDF("at", "above")
+            near = maps.pop()
+            total = near.join(up, near["root"] == up["at"], "left").select("node", F.coalesce("above", "root").alias("root"))
+            if len(maps) % 4 == 0:
+                total = fence(total, small=True)
+        done = Fence(total, small=True)
+        keep(done)
+    return done.df
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node reachable, for each node of ``edges`` (a, b)."""
+    found = classes(edges)
+    least = found.groupBy("root").agg(F.min("node").alias("least"))
+    return found.join(least, "root").select("node", F.col("least").alias("root"))
 
 
 def simhash_groups(docs: DataFrame, width: int = WIDTH, long: int = LONG) -> DataFrame:
@@ -124,14 +155,15 @@ def simhash_groups(docs: DataFrame, width: int = WIDTH, long: int = LONG) -> Dat
     doc_id never names a group unless all of it are null. An empty table gives
     no rows. Other columns are ignored.
     """
-    prints = fence(fingerprints(docs, width))
-    nodes = fence(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), small=True)
-    roots = components(links(nodes.select("fp"), long))
-    named = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "first", "root")
-    groups = named.groupBy("root").agg(F.min("first").alias("linked_id"))
-    known = nodes.join(named.join(groups, "root").select("fp", "linked_id"), "fp", "left")
-    known = fence(known.select("fp", F.coalesce("linked_id", "first").alias("component_id")), small=True)
-    return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    with scope() as keep:
+        prints = Fence(fingerprints(docs, width))
+        nodes = fence(prints.df.groupBy("fp").agg(F.min("doc_id").alias("first")), small=True)
+        roots = classes(links(nodes.select("fp"), long))
+        named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        groups = named.groupBy("root").agg(F.min("first").alias("component_id"))
+        known = Fence(named.join(groups, "root").select("fp", "component_id"), small=True)
+        keep(prints, known)
+    return prints.df.join(known.df, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, long: int = LONG) -> DataFrame:
@@ -139,12 +171,17 @@ def keep_one(docs: DataFrame, width: int = WIDTH, long: int = LONG) -> DataFrame
 
     Rows are told apart by a number of their own, as a doc_id may repeat or be
     null. A row with a null doc_id stays only where its whole group has none.
+    The rows to drop are sent to the documents where they are few.
     """
-    rows = fence(docs.withColumn("__row", F.monotonically_increasing_id()))
-    prints = fence(fingerprints(rows.select("doc_id", "text", "__row"), width, ("__row",)))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
-    nodes = fence(prints.groupBy("fp").agg(F.min(place).alias("first")), small=True)
-    roots = components(links(nodes.select("fp"), long))
-    groups = nodes.join(roots, nodes["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("first").alias("first"))
-    gone = fence(prints.select("__row").join(groups.select("first.__row"), "__row", "left_anti"), small=True)
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    (row,) = fresh(docs, "row_number")
+    with scope() as keep:
+        rows = Fence(docs.withColumn(row, F.monotonically_increasing_id()))
+        narrow = rows.df.select("doc_id", "text", F.col(row).alias("row"))
+        prints = fence(fingerprints(narrow, width, ("row",)))
+        place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+        nodes = fence(prints.groupBy("fp").agg(F.min(place).alias("first")), small=True)
+        roots = classes(links(nodes.select("fp"), long))
+        groups = nodes.join(roots, nodes["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("first").alias("first"))
+        gone = Fence(prints.select("row").join(groups.select("first.row"), "row", "left_anti").withColumnRenamed("row", row), small=True)
+        keep(rows, gone)
+    return rows.df.join(sent_if_few(gone.df), row, "left_anti").select(*docs.columns)

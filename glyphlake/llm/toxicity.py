@@ -1,11 +1,14 @@
 """Toxicity: bags of subword embeddings, averaged into a linear softmax.
 
 A word is the mean of the embeddings of itself and of its character n-grams
-(hashed), a text the mean of its words, each weighted by the root of its count,
-and of a few neutral words that hold short texts back. Embeddings and softmax
-are trained together in numpy, with Adam, over a bounded sample of labelled
-texts. Unseen spellings share n-grams with seen ones. Because all is linear up
-to the softmax, a word has one score that a process computes once.
+(hashed), a text the weighted mean of its words and of a neutral one that
+holds short texts back. A word weighs the root of its count times the mean
+weight of its buckets; a bucket weighs as much as its presence tells the two
+labels apart in the sample, beyond chance, so that the many words that say
+nothing don't dilute a long text. Embeddings and softmax are trained together
+in numpy, with Adam, over a bounded sample of labelled texts. Unseen spellings
+share n-grams with seen ones. Because all is linear up to the softmax, a word
+has one weight and one score that a process computes once.
 """
 
 from __future__ import annotations
@@ -25,15 +28,21 @@ from pyspark.sql import functions as F
 from glyphlake.llm.common import crc_mod, slices
 
 #: Labelled texts of label 1 that the training looks at, at most; of label 0, four times as many.
-TEXTS_A_CLASS = 1500
+TEXTS_A_CLASS = 600
 BUCKETS, WIDTH, GRAMS = 1 << 16, 4, (3, 4, 5, 6)
-STEPS, RATE = 100, 1.5
+STEPS, RATE = 50, 1.5
 #: Added to the root of the second moment: buckets with small gradients, the rare ones, move less.
 SOFT = 1e-5
 #: A word counts in training if so many texts of the sample have it (fewer in small samples).
 LEAST = 5
-#: Neutral words, of score zero, that every text is taken to have besides its own.
-NEUTRAL = 20
+#: A bucket weighs what its presence differs between the labels, in standard deviations, beyond so many.
+CHANCE = 2.5
+#: Weight of the neutral word, of score zero, that every text is taken to have besides its own.
+NEUTRAL = 1.0
+#: Root of a word's count, at most: a word said a hundred times says little more than one said four times.
+LOUDEST = 2.0
+#: Parts of the sample; each is scored by a model of the others to place the cut.
+FOLDS = 3
 #: Words whose scores a process remembers; then it starts anew.
 REMEMBERED = 300_000
 #: Words whose n-grams are hashed at once.
@@ -68,9 +77,10 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """score of a bucket = embedding . (toxic - clean direction); bias likewise."""
+    """For each bucket its score, embedding . (toxic - clean direction), and its weight in the mean; the bias likewise."""
 
     buckets: np.ndarray
+    weights: np.ndarray
     bias: float
 
 
@@ -96,72 +106,124 @@ class Bags:
         place = np.cumsum(chosen) - 1
         return Bags(self.labels[chosen], place[self.text[keep]], self.word[keep], self.count[keep], self.words)
 
+    def frequent(self, least: int) -> Bags:
+        """Without words that fewer than ``least`` texts have."""
+        wide = np.bincount(self.word, minlength=len(self.words)) >= max(1, least)
+        keep, number = wide[self.word], np.cumsum(wide) - 1
+        return Bags(self.labels, self.text[keep], number[self.word[keep]], self.count[keep], [w for w, ok in zip(self.words, wide) if ok])
+
 
 def train(bags: Bags, prior: float, steps: int = STEPS, seed: int = 7) -> Model:
-    """fit() on three quarters of the texts; the rest decides which bias serves THRESHOLD best."""
-    held = np.arange(len(bags.labels)) % 4 == 3
-    model, rest = fit(bags.part(~held), prior, steps, seed), bags.part(held)
-    y = rest.labels
-    if len(y) < 20 or y.min() == y.max():
+    """fit() on the whole sample, its bias moved so that THRESHOLD is where texts are best told apart that a model hasn't seen."""
+    model, y = fit(bags, prior, steps, seed), bags.labels
+    if min(np.bincount(y, minlength=2)) < 2 * FOLDS:
         return model
-    scorer = Scorer(model)
-    word_scores = scorer.words(rest.words)
-    mass = np.sqrt(rest.count)
-    logits = model.bias + np.bincount(rest.text, word_scores[rest.word] * mass, len(y)) / (NEUTRAL + np.bincount(rest.text, mass, len(y)))
+    # Every label is dealt out evenly.
+    turn = np.empty(len(y), np.int64)
+    for label in (0, 1):
+        turn[y == label] = np.arange((y == label).sum()) % FOLDS
+    logits = np.empty(len(y))
+    for k in range(FOLDS):
+        logits[turn == k] = Scorer(fit(bags.part(turn != k), prior, steps, seed)).logits(bags.part(turn == k))
     weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-    order = np.argsort(-logits)
+    order = np.argsort(-logits, kind="stable")
     hits, taken = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
     f1 = 2 * hits / (taken + (weight * y).sum())
     # The cut is the middle of the stretch of cuts that do about as well as the best.
     good = np.flatnonzero(f1 >= f1.max() - 0.005)
-    cut = logits[order][good].mean()
-    return Model(model.buckets, float(model.bias - cut + np.log(THRESHOLD / (1 - THRESHOLD))))
+    cut = (logits[order][good[0]] + logits[order][min(good[-1] + 1, len(y) - 1)]) / 2
+    return Model(model.buckets, model.weights, float(model.bias - cut + np.log(THRESHOLD / (1 - THRESHOLD))))
+
+
+def bucket_weights(bags: Bags) -> np.ndarray:
+    """How much more often texts of one label have a bucket than those of the other, in standard deviations beyond CHANCE; 0 if less."""
+    y = bags.labels
+    n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
+    bucket, owner = subwords(bags.words)
+    order = np.argsort(bags.word, kind="stable")
+    spread = np.bincount(bags.word, minlength=len(bags.words))
+    begin = np.r_[0, spread.cumsum()[:-1]]
+    # A row for each bucket of each word and each text that has the word; then each bucket once a text.
+    times = spread[owner]
+    kind = np.uint32 if BUCKETS * len(y) < 1 << 32 else np.uint64
+    whole = np.int32 if times.sum() < 1 << 31 else np.int64
+    place = np.arange(times.sum(), dtype=whole) + np.repeat((begin[owner] - np.r_[0, times.cumsum()[:-1]]).astype(whole), times)
+    text = bags.text[order].astype(kind)[place]
+    seen = np.repeat(bucket.astype(kind), times) * kind(len(y)) + text
+    seen.sort()
+    seen = seen[np.r_[True, seen[1:] != seen[:-1]]] if len(seen) else seen
+    own, text = np.divmod(seen, kind(len(y)))
+    ones, both = np.bincount(own, y[text], BUCKETS), np.bincount(own, minlength=BUCKETS)
+    share = (both + 1) / (len(y) + 2)
+    return np.maximum(0, np.abs(ones / n1 - (both - ones) / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)) - CHANCE)
+
+
+@dataclass
+class Design:
+    """The sample as arrays: words' buckets, and each text's share of each word in its mean."""
+
+    doc: np.ndarray
+    word: np.ndarray
+    share: np.ndarray
+    bucket: np.ndarray
+    owner: np.ndarray
+    truth: np.ndarray
+    weight: np.ndarray
+
+    def __post_init__(self):
+        lengths = np.bincount(self.owner)
+        self.words = len(lengths)
+        self.starts, self.part = np.r_[0, lengths.cumsum()[:-1]], (1 / lengths).astype(self.share.dtype)[:, None]
+
+    def step(self, e: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Weighted cross entropy, and its gradients by embeddings, softmax weights and bias."""
+
+        def summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+            return np.stack([np.bincount(at, column, n) for column in rows.T], 1).astype(rows.dtype)
+
+        vectors = summed(self.doc, (np.add.reduceat(e[self.bucket], self.starts) * self.part)[self.word] * self.share, len(self.truth))
+        logits = vectors @ w + b
+        logits -= logits.max(1, keepdims=True)
+        p = np.exp(logits)
+        p /= p.sum(1, keepdims=True)
+        g = (p - self.truth) * self.weight
+        down = summed(self.word, (g @ w.T)[self.doc] * self.share, self.words) * self.part
+        loss = -float((np.log(np.maximum((p * self.truth).sum(1), 1e-30)) * self.weight[:, 0]).sum())
+        return loss, (summed(self.bucket, down[self.owner], len(e)), vectors.T @ g, g.sum(0))
 
 
 def fit(bags: Bags, prior: float, steps: int = STEPS, seed: int = 7) -> Model:
     """Embeddings and softmax, trained together; prior: the share of label 1 among all labelled texts."""
     y = bags.labels
-    flat = Model(np.zeros(BUCKETS, np.float32), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
+    flat = Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
     if not len(y) or y.min() == y.max():
         return flat
-    spread = np.bincount(bags.word, minlength=len(bags.words))
-    wide = spread >= min(LEAST, 1 + len(y) // 300)
-    if not wide.any():
+    bags = bags.frequent(min(LEAST, 1 + len(y) // 300))
+    weights = bucket_weights(bags)
+    bucket, owner = subwords(bags.words)
+    told = np.bincount(owner, weights[bucket], len(bags.words)) / np.bincount(owner, minlength=len(bags.words)) if len(bags.words) else np.zeros(0)
+    if not told.any():
         return flat
-    number = np.cumsum(wide) - 1
-    keep = wide[bags.word]
-    mass = np.sqrt(bags.count)
-    share = (mass / (NEUTRAL + np.bincount(bags.text, mass, len(y)))[bags.text])[keep].astype(np.float32)[:, None]
-    doc, word = bags.text[keep], number[bags.word[keep]]
-    bucket, owner = subwords([w for w, ok in zip(bags.words, wide) if ok])
-    lengths = np.bincount(owner)
-    starts, part = np.r_[0, lengths.cumsum()[:-1]], (1 / lengths).astype(np.float32)[:, None]
-
-    def summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(at, column, n) for column in rows.T], 1).astype(np.float32)
-
+    mass = np.minimum(np.sqrt(bags.count), LOUDEST) * told[bags.word]
+    share = mass / (NEUTRAL + np.bincount(bags.text, mass, len(y)))[bags.text]
+    keep, number = told[bags.word] > 0, np.cumsum(told > 0) - 1
+    of = told[owner] > 0
+    # The sample holds the classes in other shares than all labelled texts do; weights restore those.
+    weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean())).astype(np.float32)[:, None] / len(y)
+    design = Design(bags.text[keep], number[bags.word[keep]], share[keep].astype(np.float32)[:, None], bucket[of], number[owner[of]], np.eye(2, dtype=np.float32)[y], weight)
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.05, (BUCKETS, WIDTH)).astype(np.float32)
     w = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
-    # The sample holds the classes in other shares than all labelled texts do; weights restore those.
-    weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean())).astype(np.float32)[:, None] / len(y)
-    truth = np.eye(2, dtype=np.float32)[y]
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, w, b)]
     for step in range(1, steps + 1):
-        vectors = summed(doc, (np.add.reduceat(e[bucket], starts) * part)[word] * share, len(y))
-        logits = vectors @ w + b
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        g = (p - truth) * weight
-        down = summed(word, (g @ w.T)[doc] * share, len(lengths)) * part
-        gradients = (summed(bucket, down[owner], BUCKETS), vectors.T @ g, g.sum(0))
+        _, gradients = design.step(e, w, b)
         rate = RATE * min(1, 2 * (1 - step / steps) + 0.05)
         for x, gradient, m, own, soft in zip((e, w, b), gradients, moments, (1, 0.2, 0.2), (SOFT, 1e-10, 1e-10)):
             m[0] += 0.1 * (gradient - m[0])
             m[1] += 0.01 * (gradient * gradient - m[1])
             x -= own * rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + soft)
-    return Model((e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(b[1] - b[0]))
+    return Model((e @ (w[:, 1] - w[:, 0])).astype(np.float32), weights.astype(np.float32), float(b[1] - b[0]))
 
 
 def sample(docs: DataFrame, labels: DataFrame, texts: int = TEXTS_A_CLASS) -> tuple[Bags, float]:
@@ -210,14 +272,30 @@ def bag(text: str | None) -> dict[str, int]:
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
+        self.weight, self.score = np.empty(1024), np.empty(1024)
 
-    def words(self, words: list[str]) -> np.ndarray:
-        """Each word's score: the mean over its buckets."""
-        out = [np.zeros(0)]
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's weight and score: the means over its buckets."""
+        weight, score = [np.zeros(0)], [np.zeros(0)]
         for at in range(0, len(words), BLOCK):
             bucket, owner = subwords(words[at : at + BLOCK])
-            out.append(np.bincount(owner, self.model.buckets[bucket]) / np.bincount(owner))
-        return np.concatenate(out)
+            n = np.bincount(owner)
+            weight.append(np.bincount(owner, self.model.weights[bucket]) / n)
+            score.append(np.bincount(owner, self.model.buckets[bucket]) / n)
+        return np.concatenate(weight), np.concatenate(score)
+
+    def logits(self, bags: Bags) -> np.ndarray:
+        weight, score = self.words(bags.words)
+        mass = np.minimum(np.sqrt(bags.count), LOUDEST) * weight[bags.word]
+        n = len(bags.labels)
+        return self.model.bias + np.bincount(bags.text, mass * score[bags.word], n) / (NEUTRAL + np.bincount(bags.text, mass, n))
+
+    def learn(self, words: list[str]) -> None:
+        at, end = len(self.known), len(self.known) + len(words)
+        while end > len(self.weight):
+            self.weight, self.score = (np.concatenate([x, np.empty_like(x)]) for x in (self.weight, self.score))
+        self.weight[at:end], self.score[at:end] = self.words(words)
+        self.known.update(zip(words, range(at, end)))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The probability of label 1 of each text; words new to the process are scored together."""
@@ -225,18 +303,33 @@ class Scorer:
         distinct = set().union(*bags)
         if len(self.known) + len(distinct) > REMEMBERED:
             self.known.clear()
-        new = [w for w in distinct if w not in self.known]
-        self.known.update(zip(new, self.words(new).tolist()))
+        self.learn([w for w in distinct if w not in self.known])
         logits = np.empty(len(texts))
         for i, words in enumerate(bags):
-            mass = np.sqrt(np.fromiter(words.values(), np.float64, len(words)))
-            logits[i] = self.model.bias + mass @ np.fromiter(map(self.known.__getitem__, words), np.float64, len(words)) / (NEUTRAL + mass.sum())
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            mass = np.minimum(np.sqrt(np.fromiter(words.values(), np.float64, len(words))), LOUDEST) * self.weight[at]
+            logits[i] = self.model.bias + mass @ self.score[at] / (NEUTRAL + mass.sum())
         return 1 / (1 + np.exp(-np.clip(logits, -40, 40)))
 
 
 _SCORERS: dict[str, Scorer] = {}
 
 
+def _sent(docs: DataFrame, labels: DataFrame, texts: int):
+    """A trained model, sent to the executors, and what gives a process its one scorer of it."""
+    model = train(*sample(docs, labels, texts))
+    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.buckets, model.weights, model.bias))
+
+    def scorer() -> Scorer:
+        key, *parts = sent.value
+        if key not in _SCORERS:
+            _SCORERS.clear()
+            _SCORERS[key] = Scorer(Model(*parts))
+        return _SCORERS[key]
+
+    return scorer
+
+
 def score_texts(docs: DataFrame, labels: DataFrame, texts: int = TEXTS_A_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``.
 
@@ -245,17 +338,12 @@ def score_texts(docs: DataFrame, labels: DataFrame, texts: int = TEXTS_A_CLASS)
     their share. Rows that repeat get a row each; an empty table gives none.
     Other columns are ignored.
     """
-    model = train(*sample(docs, labels, texts))
-    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.buckets, model.bias))
+    scorer = _sent(docs, labels, texts)
 
     def run(batches):
-        key, buckets, bias = sent.value
-        scorer = _SCORERS.get(key)
-        if scorer is None:
-            _SCORERS.clear()
-            scorer = _SCORERS[key] = Scorer(Model(buckets, bias))
+        own = scorer()
         for b in slices(batches, 256):
-            scores = scorer.scores(b.column(2).to_pylist())
+            scores = own.scores(b.column(2).to_pylist())
             flags = pa.array((scores >= THRESHOLD).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores), flags], ["doc_id", "held_out", "score", "predicted"])
 
@@ -265,17 +353,12 @@ def score_texts(docs: DataFrame, labels: DataFrame, texts: int = TEXTS_A_CLASS)
 
 def keep_clean(docs: DataFrame, labels: DataFrame, texts: int = TEXTS_A_CLASS) -> DataFrame:
     """The rows of ``docs`` scored below THRESHOLD, all columns; scored in place, so nothing is shuffled."""
-    model = train(*sample(docs, labels, texts))
-    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.buckets, model.bias))
+    scorer = _sent(docs, labels, texts)
     at = docs.columns.index("text")
 
     def run(batches):
-        key, buckets, bias = sent.value
-        scorer = _SCORERS.get(key)
-        if scorer is None:
-            _SCORERS.clear()
-            scorer = _SCORERS[key] = Scorer(Model(buckets, bias))
+        own = scorer()
         for b in slices(batches, 256):
-            yield b.filter(pa.array(scorer.scores(b.column(at).to_pylist()) < THRESHOLD))
+            yield b.filter(pa.array(own.scores(b.column(at).to_pylist()) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
