@@ -171,10 +171,22 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, ids, decoded binary) for each row of ``docs``: decode() of encode(), in one pass through Python."""
+
+    def run(batches):
+        enc = encoder(path, pattern)
+        for b in slices(batches, 64):
+            ids = packed_lists([enc.pack(t or "") for t in b.column(1).to_pylist()])
+            decoded = pa.array([enc.decode(x) for x in listed(ids)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, decoded], ["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of ``docs``, ids encoded and then decoded."""
-    both = decode(encode(docs, path), path)
-    return both.select(
+    return round_trip(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

@@ -8,7 +8,8 @@ text holds them, which reading back removes.
 
 Rows are encoded where they are read, before the one shuffle that brings a
 conversation together; behind it, turns are streamed in order, so a very long
-conversation is never held whole.
+conversation is never held whole. Its digest can't be computed in parts: one
+conversation is read by one task.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +68,84 @@ def encode_turns(conversations: DataFrame) -> DataFrame:
 
 
 ASSEMBLED = "conv_id long, position long, token_start long, char_start long, ids array<int>, loss array<boolean>, rendered string"
+READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def _names(ddl: str) -> list[str]:
+    return [field.split()[0] for field in ddl.split(", ")]
+
+
+def _assembled(batches):
+    """Arrow batches of ASSEMBLED, of rows that are sorted by conversation and turn."""
+    enc = encoder()
+    shown = {**enc.tokens, **{i: mark.encode() for i, mark in SHOWN.items()}}.__getitem__
+    now, position, tokens, chars = object(), 0, 0, 0
+    for b in slices(batches, 256):
+        places, packed, texts, spans = [], [], [], []
+        for conv, role, text, learned in zip(b.column(0).to_pylist(), listed(b.column(2)), listed(b.column(3)), b.column(4).to_pylist()):
+            if conv != now:
+                now, position, tokens, chars = conv, 0, 0, 0
+            places.append((conv, position, tokens, chars))
+            ids = [OPEN, *role, BODY, *text, CLOSE]
+            packed.append(np.array(ids, np.int32).tobytes())
+            spans.append((len(role) + 2, len(text) if learned else 0))
+            texts.append(b"".join(map(shown, ids)).decode())
+            position, tokens, chars = position + 1, tokens + len(ids), chars + len(texts[-1])
+        ids = packed_lists(packed)
+        # The mask: up where a learned text begins, down where it ends, summed along all tokens of the batch.
+        edges = np.zeros(len(ids.values) + 1, np.int8)
+        begins, lengths = np.array(spans, np.int64).reshape(-1, 2).T
+        begins = begins + ids.offsets.to_numpy()[:-1]
+        np.add.at(edges, begins, 1)
+        np.add.at(edges, begins + lengths, -1)
+        loss = pa.ListArray.from_arrays(ids.offsets, pa.array(edges.cumsum()[:-1].astype(bool)))
+        numbers = [pa.array(c, pa.int64()) for c in (list(zip(*places)) or [()] * 4)]
+        yield pa.RecordBatch.from_arrays([*numbers, ids, loss, pa.array(texts, pa.string())], _names(ASSEMBLED))
+
+
+def _read(batches):
+    """Arrow batches of READ, of batches of ASSEMBLED: roles and texts as the rendered turns say them, learned text as the ids under the mask do."""
+    enc = encoder()
+    now, seen = None, None
+
+    def close(rows):
+        if seen is not None:
+            rows.append((now, seen[0], seen[1].hexdigest(), seen[2], seen[3].hexdigest(), seen[4]))
+
+    def emit(rows):
+        columns = list(zip(*rows)) or [()] * 6
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _names(READ))
+
+    for b in batches:
+        rows: list[tuple] = []
+        ids, offsets = b.column(4).values.to_numpy(), b.column(4).offsets.to_numpy().tolist()
+        # Where the mask goes up and down, for all turns of the batch at once; a learned text is one run of a turn.
+        flags = b.column(5).values.to_numpy(zero_copy_only=False).astype(np.int8)
+        up, down = np.flatnonzero(np.diff(flags, prepend=0) == 1).tolist(), np.flatnonzero(np.diff(flags, append=0) == -1).tolist()
+        run = 0
+        for conv, rendered, end in zip(b.column(0).to_pylist(), b.column(6).to_pylist(), offsets[1:]):
+            if seen is None or conv != now:
+                close(rows)
+                now, seen = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            ((role, text),) = parse(rendered)
+            seen[0] += 1
+            seen[1].update(f"{role}\n{text}\n".encode())
+            while run < len(up) and up[run] < end:
+                learned = unescape(enc.decode(ids[up[run] : down[run] + 1].tolist()).decode())
+                seen[2] += len(learned)
+                seen[3].update(learned.encode())
+                run += 1
+            seen[4] += len(rendered)
+        if rows:
+            yield emit(rows)
+    rows = []
+    close(rows)
+    yield emit(rows)
+
+
+def _in_order(conversations: DataFrame) -> DataFrame:
+    return encode_turns(conversations).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role_ids", "text_ids")
 
 
 def assemble(conversations: DataFrame) -> DataFrame:
@@ -75,90 +153,25 @@ def assemble(conversations: DataFrame) -> DataFrame:
 
     conv_id, position, token_start, char_start, ids, loss (one flag a token) and rendered.
     token_start and char_start are the turn's offsets in the conversation. Turns
-    that share a number are ordered by role and text; a null turn comes first.
+    that share a number are ordered by the ids of role and text; a null turn
+    comes first.
     """
-
-    def run(batches):
-        enc = encoder()
-        now, position, tokens, chars = object(), 0, 0, 0
-        for b in slices(batches, 256):
-            places, packed, shown, spans = [], [], [], []
-            for conv, role, text, learned in zip(b.column(0).to_pylist(), listed(b.column(2)), listed(b.column(3)), b.column(4).to_pylist()):
-                if conv != now:
-                    now, position, tokens, chars = conv, 0, 0, 0
-                places.append((conv, position, tokens, chars))
-                packed.append(np.array([OPEN, *role, BODY, *text, CLOSE], np.int32).tobytes())
-                spans.append((len(role) + 2, len(text) if learned else 0))
-                shown.append("".join((SHOWN[OPEN], enc.decode(role).decode(), SHOWN[BODY], enc.decode(text).decode(), SHOWN[CLOSE])))
-                position, tokens, chars = position + 1, tokens + len(packed[-1]) // 4, chars + len(shown[-1])
-            ids = packed_lists(packed)
-            # The mask: up where a learned text begins, down where it ends, summed along all tokens of the batch.
-            edges = np.zeros(len(ids.values) + 1, np.int8)
-            begins, lengths = np.array(spans, np.int64).reshape(-1, 2).T
-            begins = begins + ids.offsets.to_numpy()[:-1]
-            np.add.at(edges, begins, 1)
-            np.add.at(edges, begins + lengths, -1)
-            loss = pa.ListArray.from_arrays(ids.offsets, pa.array(edges.cumsum()[:-1].astype(bool)))
-            numbers = [pa.array(c, pa.int64()) for c in (list(zip(*places)) or [()] * 4)]
-            yield pa.RecordBatch.from_arrays([*numbers, ids, loss, pa.array(shown, pa.string())], ["conv_id", "position", "token_start", "char_start", "ids", "loss", "rendered"])
-
-    turns = encode_turns(conversations).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role_ids", "text_ids")
-    return turns.mapInArrow(run, ASSEMBLED)
+    return _in_order(conversations).mapInArrow(_assembled, ASSEMBLED)
 
 
 def read_back(assembled: DataFrame) -> DataFrame:
     """What the assembled turns say, one row for each conversation; their order must be that of assemble()."""
-
-    def run(batches):
-        enc = encoder()
-        now, seen = None, None
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-
-        def close(rows):
-            if seen is not None:
-                rows.append((now, seen[0], seen[1].hexdigest(), seen[2], seen[3].hexdigest(), seen[4]))
-
-        def emit(rows):
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-        for b in slices(batches, 256):
-            rows: list[tuple] = []
-            masks = b.column(5)
-            flags, offsets = masks.values.to_numpy(zero_copy_only=False), masks.offsets.to_numpy()
-            for conv, ids, begin, end, size in zip(b.column(0).to_pylist(), listed(b.column(4)), offsets[:-1], offsets[1:], pc.utf8_length(b.column(6)).to_pylist()):
-                if seen is None or conv != now:
-                    close(rows)
-                    now, seen = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                body, close_at = ids.index(BODY), ids.index(CLOSE)
-                role = unescape(enc.decode(ids[1:body]).decode())
-                text = unescape(enc.decode(ids[body + 1 : close_at]).decode())
-                seen[0] += 1
-                seen[1].update(f"{role}\n{text}\n".encode())
-                on = np.flatnonzero(flags[begin:end])
-                if len(on):
-                    under = [ids[i] for i in on.tolist()]
-                    learned = text if under == ids[body + 1 : close_at] else unescape(enc.decode(under).decode())
-                    seen[2] += len(learned)
-                    seen[3].update(learned.encode())
-                seen[4] += size
-            if rows:
-                yield emit(rows)
-        rows = []
-        close(rows)
-        yield emit(rows)
-
-    return assembled.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return assembled.mapInArrow(lambda batches: _read(slices(batches, 256)), READ)
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the assembled tokens.
 
-    A null conv_id is a conversation of its own; repeated rows are turns of
-    their own; an empty table gives no rows. Other columns are ignored.
+    read_back() of assemble(), in one pass through Python. A null conv_id is a
+    conversation of its own; repeated rows are turns of their own; an empty
+    table gives no rows. Other columns are ignored.
     """
-    return read_back(assemble(conversations))
+    return _in_order(conversations).mapInArrow(lambda batches: _read(_assembled(batches)), READ)
 
 
 PROBE = r"\### Assistant: </turn> ok"

@@ -1,10 +1,14 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts that share a run of SEED tokens with a benchmark item are candidates.
-For each candidate the longest matches are marked first, by Karp-Rabin over
-shrinking lengths, each token in one tile at most; the share of the item's
-tokens that tiles cover decides. Tiles may stand in any order, so a reordered
-passage is covered as well as a verbatim one.
+The benchmark is held against all texts in blocks of bounded size. A block is
+an index of seeds, runs of SEED tokens by their hash, with their places in the
+items, kept in arrays. Texts join it by shared seeds: the tokens of an item
+that shared seeds cover bound what tiles can cover, so items below the
+threshold are left at once. For the others, the longest matches are marked
+first, by Karp-Rabin over shrinking lengths, each token in one tile at most;
+the share of the item's tokens that tiles cover decides. Tiles may stand in
+any order, so a reordered passage is covered as well as a verbatim one.
+Hashes only propose; tiles compare tokens.
 """
 
 from __future__ import annotations
@@ -18,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import Fence, slices
+from glyphlake.llm.common import fence, slices
 
 #: Tokens of the shortest tile; a text is contaminated if tiles cover this share of an item.
 SEED, COVERED = 5, 0.5
-#: A benchmark of up to so many UTF-8 bytes is sent to every executor; beyond it, seeds are joined by shuffling.
+#: UTF-8 bytes of the benchmark that are sent to the executors at once, and one item more; each such block is a pass over the texts.
 SENT_BYTES = 16 << 20
 TOKENS = re.compile(r"\w+")
 BASE, MODULUS = 1_000_003, (1 << 61) - 1
@@ -91,58 +95,145 @@ def tile(item: list[int], text: list[int], least: int = SEED) -> list[tuple[int,
     return sorted(tiles, key=lambda t: (-t[2], t[1]))
 
 
+def _seeds(tokens: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each run of ``seed`` tokens, given by their hashes."""
+    n = max(0, len(tokens) - seed + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(seed):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += tokens[k : k + n]
+    return out ^ (out >> np.uint64(29))
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    """Python's own hashes of the words: those of one process agree, and no others are compared."""
+    return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+
+
 class Items:
-    """The benchmark's rows as token numbers, and where each run of SEED tokens occurs. Rows are told apart by place: an item_id may repeat or be null."""
+    """A block of the benchmark: for each seed where it occurs. Rows are told apart by place: an item_id may repeat or be null.
+
+    A token of the benchmark takes 8 bytes for its seed's hash, 4 for the
+    seed's place and up to 8 for a table that most seeds of other texts fail.
+    """
 
     def __init__(self, rows: list[tuple[int | None, str]], seed: int = SEED):
-        self.seed, self.vocabulary = seed, {}
-        self.names = [item_id for item_id, _ in rows]
-        self.items: list[list[int]] = []
-        self.seeds: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        for row, (_, text) in enumerate(rows):
-            ids = [self.vocabulary.setdefault(t, len(self.vocabulary)) for t in tokens(text)]
-            self.items.append(ids)
-            for i in range(len(ids) - seed + 1):
-                self.seeds[tuple(ids[i : i + seed])].add(row)
-
-    def matches(self, text: str | None, least: float) -> list[tuple[int | None, float, int]]:
-        """(item_id, share covered, tiles) of each row that tiles cover to that share at least."""
-        ids = [self.vocabulary.get(t, -1) for t in tokens(text)]
-        n = self.seed
-        a = np.array(ids, np.int64)
-        spots: dict[int, list[int]] = defaultdict(list)
-        if len(a) >= n:
-            known = np.convolve(a >= 0, np.ones(n, int), "valid") == n
-            for i in np.flatnonzero(known).tolist():
-                for item in self.seeds.get(tuple(ids[i : i + n]), ()):
-                    spots[item].append(i)
+        self.seed = seed
+        self.names, self.texts = [item_id for item_id, _ in rows], [text for _, text in rows]
+        self.sizes = np.zeros(len(rows), np.int64)
+        parts = []
+        for row, text in enumerate(self.texts):
+            words = tokens(text)
+            self.sizes[row] = len(words)
+            parts.append(_seeds(_hashes(words), seed))
+        counts = np.array([len(p) for p in parts], np.int64)
+        #: Seeds are numbered through all items; seeds of item i begin at starts[i].
+        self.starts = np.r_[0, counts.cumsum()]
+        seeds = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        del parts
+        self.places = np.argsort(seeds, kind="stable").astype(np.uint32)
+        self.hashes = seeds[self.places]
+        self.shift = np.uint64(64 - min(26, max(10, int(len(seeds)).bit_length() + 3)))
+        self.table = np.zeros(1 << int(64 - self.shift), bool)
+        self.table[(self.hashes >> self.shift).astype(np.int64)] = True
+
+    def shared(self, seeds: np.ndarray) -> np.ndarray:
+        """Places, among ``seeds``, of those that the block has too."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64)
+        near = np.flatnonzero(self.table[(seeds >> self.shift).astype(np.int64)])
+        found = np.searchsorted(self.hashes, seeds[near])
+        return near[self.hashes[np.minimum(found, len(self.hashes) - 1)] == seeds[near]]
+
+    def candidates(self, seeds: np.ndarray, least: float) -> list[int]:
+        """Items of whose tokens shared seeds cover a share of ``least`` or more; no tile covers others."""
+        seeds = np.unique(seeds)
+        low, high = np.searchsorted(self.hashes, seeds, "left"), np.searchsorted(self.hashes, seeds, "right")
+        times = high - low
+        at = np.arange(times.sum()) + np.repeat(low - np.r_[0, times.cumsum()[:-1]], times)
+        places = np.sort(self.places[at]).astype(np.int64)
+        owner = np.searchsorted(self.starts, places, "right") - 1
+        # Each seed covers the tokens up to the next shared one of its item, its own length at most.
+        covers = np.full(len(places), self.seed)
+        same = owner[1:] == owner[:-1]
+        covers[:-1][same] = np.minimum(self.seed, np.diff(places)[same])
+        sums = np.bincount(owner, covers)
+        return np.flatnonzero((sums > 0) & (sums >= least * self.sizes[: len(sums)] - 1e-9)).tolist()
+
+    def tiled(self, item: int, words: list[str], starts: list[int]) -> tuple[float, int]:
+        """Share of the item's tokens that tiles cover, and their number; ``starts``: places of shared seeds in the text."""
+        want = tokens(self.texts[item])
+        number: dict[str, int] = {}
+        ids = [number.setdefault(t, len(number)) for t in want]
+        # Only runs of seeds can hold tiles: the rest of the text is cut down to one token between runs.
+        cut, end = [], -1
+        for i in starts:
+            begin = end if i <= end else i
+            if i > end:
+                cut.append(-2)
+            cut += [number.get(t, -1) for t in words[begin : i + self.seed]]
+            end = i + self.seed
+        tiles = tile(ids, cut, self.seed)
+        return sum(t[2] for t in tiles) / len(want), len(tiles)
+
+    def matches(self, texts: list[str | None], least: float) -> list[tuple[int, int | None, float, int]]:
+        """(place of the text, item_id, share covered, tiles) of each text and item that tiles cover to that share at least."""
+        words = [tokens(t) for t in texts]
+        ends = np.cumsum([len(w) for w in words])
+        seeds = _seeds(_hashes([w for part in words for w in part]), self.seed)
+        hits = self.shared(seeds)
+        own = np.searchsorted(ends, hits, "right")
+        inside = hits + self.seed <= ends[own] if len(hits) else np.zeros(0, bool)
+        hits, own = hits[inside], own[inside]
         out = []
-        for item, starts in spots.items():
-            # Only runs of seeds can hold tiles: the rest of the text is cut down to one token between runs.
-            cut, end = [], -1
-            for i in starts:
-                if i > end:
-                    cut += [-2]
-                    cut += ids[i : i + n]
-                else:
-                    cut += ids[end : i + n]
-                end = i + n
-            want = self.items[item]
-            tiles = tile(want, cut, n)
-            share = sum(t[2] for t in tiles) / len(want)
-            if share >= least:
-                out.append((self.names[item], share, len(tiles)))
-        return sorted(out, key=lambda m: (m[0] is None, m[0] or 0, *m[1:]))
+        for text in np.unique(own).tolist():
+            at = hits[own == text]
+            begin = int(ends[text]) - len(words[text])
+            found = []
+            for item in self.candidates(seeds[at], least):
+                its = self.hashes_of(item)
+                starts = (at[np.isin(seeds[at], its)] - begin).tolist()
+                share, tiles = self.tiled(item, words[text], starts)
+                if tiles and share >= least:
+                    found.append((text, self.names[item], share, tiles))
+            out += sorted(found, key=lambda m: (m[1] is None, m[1] or 0, *m[2:]))
+        return out
+
+    def hashes_of(self, item: int) -> np.ndarray:
+        return _seeds(_hashes(tokens(self.texts[item])), self.seed)
 
 
 _ITEMS: dict[str, Items] = {}
 SCHEMA = "doc_id long, item_id long, coverage double, tiles int"
+#: Texts that are looked at together.
+TOGETHER = 128
+
+
+def _blocks(benchmark: DataFrame, sent_bytes: int, seed: int):
+    """For each block of the benchmark, what gives a process its Items; the driver holds one block at a time."""
+    spark = benchmark.sparkSession
 
+    def send(rows):
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, rows))
 
-def _emit(rows):
-    columns = list(zip(*rows)) or [()] * 4
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "coverage", "tiles"])
+        def items() -> Items:
+            key, table = sent.value
+            if key not in _ITEMS:
+                _ITEMS.clear()
+                _ITEMS[key] = Items(table, seed)
+            return _ITEMS[key]
+
+        return items
+
+    rows, size = [], 0
+    for r in benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null").toLocalIterator():
+        rows.append((r["item_id"], r["text"]))
+        size += len(r["text"].encode())
+        if size > sent_bytes:
+            yield send(rows)
+            rows, size = [], 0
+    if rows:
+        yield send(rows)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, seed: int = SEED, sent_bytes: int = SENT_BYTES) -> DataFrame:
@@ -150,72 +241,29 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, se
 
     Items with fewer than ``seed`` tokens, and null or empty texts on either
     side, match nothing. Rows are compared each, whether an item_id or a whole
-    row repeats; a null item_id is returned as null. An empty table gives no rows. A benchmark beyond ``sent_bytes`` is joined by seed instead of
-    being sent; both ways give the same rows. Other columns are ignored.
+    row repeats; a null item_id is returned as null. An empty table gives no
+    rows. Texts are read once for each block of the benchmark, which ends where
+    it is larger than ``sent_bytes``; the size changes no row. Other columns
+    are ignored.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null")
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= sent_bytes:
-        return _sent(rows, items, covered, seed)
-    return _joined(rows, items, covered, seed)
-
 
-def _sent(rows: DataFrame, items: DataFrame, covered: float, seed: int) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r["item_id"], r["text"]) for r in items.collect()]))
+    def against(items):
+        def run(batches):
+            block = items()
+            for b in slices(batches, TOGETHER):
+                ids = b.column(0).to_pylist()
+                found = [(ids[text], *m) for text, *m in block.matches(b.column(1).to_pylist(), covered)]
+                columns = list(zip(*found)) or [()] * 4
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "coverage", "tiles"])
 
-    def run(batches):
-        key, table = sent.value
-        known = _ITEMS.get(key)
-        if known is None:
-            _ITEMS.clear()
-            known = _ITEMS[key] = Items(table, seed)
-        for b in slices(batches, 256):
-            found = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in known.matches(t, covered)]
-            yield _emit(found)
+        return rows.mapInArrow(run, SCHEMA)
 
-    return rows.mapInArrow(run, SCHEMA)
-
-
-def _seeds(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """(key, h): the distinct hashes of runs of ``seed`` tokens."""
-    name = df.columns[0]
-
-    def run(batches):
-        for b in slices(batches, 64):
-            ids, hashes = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = tokens(t)
-                own = {hash_run(words[k : k + seed]) for k in range(len(words) - seed + 1)}
-                ids += [i] * len(own)
-                hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], [key, "h"])
-
-    return df.select(F.col(name).cast("long").alias(key), "text").mapInArrow(run, f"{key} long, h long")
-
-
-def hash_run(words: list[str]) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest("\x00".join(words)) - (1 << 63)
-
-
-def _joined(rows: DataFrame, items: DataFrame, covered: float, seed: int) -> DataFrame:
-    """Seeds that the benchmark lacks are dropped by a semi join, pairs are made distinct, and each pair is tiled on its own."""
-    numbered = Fence(rows.withColumn("row", F.monotonically_increasing_id())).df
-    items = Fence(items.select(F.monotonically_increasing_id().alias("item"), "item_id", F.col("text").alias("item_text"))).df
-    wanted = Fence(_seeds(items.select("item", F.col("item_text").alias("text")), "item", seed)).df
-    have = _seeds(numbered.select("row", "text"), "row", seed)
-    pairs = have.join(wanted, "h").select("row", "item").distinct()
-    both = pairs.join(numbered, "row").join(items, "item").select("doc_id", "item_id", "text", "item_text")
-
-    def run(batches):
-        for b in slices(batches, 64):
-            found = []
-            for d, i, t, x in zip(*(c.to_pylist() for c in b.columns)):
-                found += [(d, *m) for m in Items([(i, x)], seed).matches(t, covered)]
-            yield _emit(found)
-
-    return both.mapInArrow(run, SCHEMA)
+    found = None
+    for items in _blocks(benchmark, sent_bytes, seed):
+        found = against(items) if found is None else found.unionByName(against(items))
+    return docs.sparkSession.createDataFrame([], SCHEMA) if found is None else found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -224,21 +272,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, seed: int = SEED, sent_bytes: int = SENT_BYTES) -> DataFrame:
-    """The rows of ``docs`` whose text no item's tiles cover, all columns."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text").filter("text is not null")
-    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > sent_bytes:
-        gone = _joined(docs.select(F.xxhash64("text").alias("doc_id"), "text"), items, covered, seed).select(F.col("doc_id").alias("__h")).distinct()
-        return docs.withColumn("__key", F.xxhash64("text")).join(gone, F.col("__key") == F.col("__h"), "left_anti").drop("__key")
-    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r["item_id"], r["text"]) for r in items.collect()]))
+    """The rows of ``docs`` whose text no item's tiles cover, all columns; filtered in place, block by block of the benchmark."""
     at = docs.columns.index("text")
 
-    def run(batches):
-        key, table = sent.value
-        known = _ITEMS.get(key)
-        if known is None:
-            _ITEMS.clear()
-            known = _ITEMS[key] = Items(table, seed)
-        for b in slices(batches, 256):
-            yield b.filter(pa.array([not known.matches(t, covered) for t in b.column(at).to_pylist()], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    def against(left, items):
+        def run(batches):
+            block = items()
+            for b in slices(batches, TOGETHER):
+                keep = np.ones(b.num_rows, bool)
+                keep[[text for text, *_ in block.matches(b.column(at).to_pylist(), covered)]] = False
+                yield b.filter(pa.array(keep))
+
+        return left.mapInArrow(run, docs.schema)
+
+    left, before = docs, None
+    for items in _blocks(benchmark, sent_bytes, seed):
+        if before is not None:  # one block in memory at a time
+            left = fence(left)
+        left = before = against(left, items)
+    return left

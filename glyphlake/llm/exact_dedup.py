@@ -1,17 +1,18 @@
 """Exact dedup over content-defined chunk recipes, with DataFrame functions only.
 
-A text is cut where its own content says so, each chunk gets an identifier that
-is verified against the chunk's characters, and texts are compared as ordered
-identifier lists. Only one copy of a distinct chunk per map task is shuffled
-for the verification; after that a long text travels as a short list of longs.
+A text is cut where its own content says so. A chunk's identifier is its
+64-bit hash, verified by its SHA-256: should different chunks share a hash,
+their rank tells them apart. Texts are compared as ordered identifier lists.
+Each text is read, cut and hashed once; what travels after that is one short
+row for each distinct chunk of a task, and for each text a list of longs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import fence
+from glyphlake.llm.common import Fence, fence, fresh, scope, sent_if_few
 
 #: At least 512 characters, then up to the first white space before a word of that shape; 16384 at most.
 #: The shape is rare enough that after an insertion cuts soon fall on the same places again.
@@ -23,43 +24,33 @@ def chunks(text: Column) -> Column:
     return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(CUT), F.lit(0)))
 
 
-def chunk_dictionary(pieces: DataFrame, hashed) -> DataFrame:
-    """(h, chunk): one row for each distinct chunk of the array column ``chunks``."""
-    one = pieces.select(F.explode("chunks").alias("chunk"))
-    return one.select(hashed(F.col("chunk")).alias("h"), "chunk").groupBy("h", "chunk").agg(F.count(F.lit(1)).alias("n"))
-
-
-def recipes(docs: DataFrame, hashed=F.xxhash64) -> DataFrame:
-    """(doc_id, text_sha256, recipe, row_uid) for each row, where recipe is a list of verified chunk identifiers.
+def recipes(docs: DataFrame, hashed=F.xxhash64) -> Fence:
+    """(row_uid, doc_id, text_sha256, recipe) for each row, where recipe is a list of verified chunk identifiers.
 
     A chunk's identifier is (h, k): its 64-bit hash and, should different
-    chunks share the hash, the chunk's rank among them. Nearly always no two
-    chunks do; then the list of hashes is the recipe.
+    chunks share the hash, the chunk's rank among them by SHA-256. Nearly
+    always no two chunks do; then the list of hashes is the recipe.
     """
-    pieces = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
-        "doc_id", F.sha2("text", 256).alias("text_sha256"), chunks(F.col("text")).alias("chunks")
-    )
-    plain = pieces.select(
-        "doc_id", "text_sha256", F.transform("chunks", lambda c: F.struct(hashed(c).alias("h"), F.lit(0).alias("k"))).alias("recipe")
-    ).withColumn("row_uid", F.monotonically_increasing_id())
-    known = chunk_dictionary(pieces, hashed)
-    shared = fence(known.groupBy("h").agg(F.count(F.lit(1)).alias("different")).filter("different > 1").select("h"), small=True)
-    if shared.isEmpty():
-        return fence(plain)
-    # Different chunks under one hash: rank them by content, and put the rank into the lists that hold them.
-    clash = known.join(shared, "h").select("h", "chunk", (F.rank().over(_by("h", "chunk")) - 1).alias("k"))
-    with_text = fence(pieces.withColumn("row_uid", F.monotonically_increasing_id()))
-    parts = with_text.select("row_uid", F.posexplode("chunks").alias("pos", "chunk")).withColumn("h", hashed(F.col("chunk")))
-    ranked = parts.join(clash, ["h", "chunk"], "left").select("row_uid", "pos", "h", F.coalesce("k", F.lit(0)).alias("k"))
-    lists = ranked.groupBy("row_uid").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "k"))).alias("all"))
-    lists = lists.select("row_uid", F.transform("all", lambda x: F.struct(x["h"].alias("h"), x["k"].alias("k"))).alias("recipe"))
-    return fence(with_text.select("row_uid", "doc_id", "text_sha256").join(lists, "row_uid"))
-
-
-def _by(key: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(order)
+    with scope() as keep:
+        text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        parts = F.transform(chunks(F.col("text")), lambda c: F.struct(hashed(c).alias("h"), F.unhex(F.sha2(c, 256)).alias("d")))
+        pieces = Fence(text.select(F.monotonically_increasing_id().alias("row_uid"), "doc_id", F.sha2("text", 256).alias("text_sha256"), parts.alias("parts")))
+        known = pieces.df.select(F.explode("parts").alias("p")).groupBy("p.h", "p.d").agg(F.count(F.lit(1)).alias("n"))
+        shared = fence(known.groupBy("h").agg(F.count(F.lit(1)).alias("different")).filter("different > 1").select("h"), small=True)
+        plain = pieces.df.select("row_uid", "doc_id", "text_sha256", F.transform("parts", lambda p: F.struct(p["h"].alias("h"), F.lit(0).alias("k"))).alias("recipe"))
+        if shared.isEmpty():
+            done = pieces, plain
+        else:
+            clash = known.join(shared, "h").select("h", "d", (F.rank().over(Window.partitionBy("h").orderBy("d")) - 1).alias("k"))
+            listed = pieces.df.select("row_uid", F.posexplode("parts").alias("pos", "p")).select("row_uid", "pos", "p.h", "p.d")
+            ranked = listed.join(clash, ["h", "d"], "left").select("row_uid", F.struct("pos", "h", F.coalesce("k", F.lit(0)).alias("k")).alias("x"))
+            lists = ranked.groupBy("row_uid").agg(F.sort_array(F.collect_list("x")).alias("all"))
+            lists = lists.select("row_uid", F.transform("all", lambda x: F.struct(x["h"].alias("h"), x["k"].alias("k"))).alias("recipe"))
+            whole = Fence(plain.drop("recipe").join(lists, "row_uid"))
+            done = whole, whole.df
+        keep(done[0])
+    done[0].df = done[1]
+    return done[0]
 
 
 def exact_dedup(docs: DataFrame, hashed=F.xxhash64) -> DataFrame:
@@ -70,15 +61,13 @@ def exact_dedup(docs: DataFrame, hashed=F.xxhash64) -> DataFrame:
     rows that repeat that doc_id, one stays). An empty table gives no rows;
     other columns are ignored, whatever their names.
     """
-    rows = recipes(docs, hashed)
-    groups = fence(
-        rows.groupBy("recipe")
-        .agg(F.max(F.struct("doc_id", "row_uid")).alias("top"), F.count(F.lit(1)).alias("group_size"))
-        .filter("group_size > 1"),
-        small=True,
-    )
+    with scope() as keep:
+        rows = recipes(docs, hashed)
+        tops = rows.df.groupBy("recipe").agg(F.max(F.struct("doc_id", "row_uid")).alias("top"), F.count(F.lit(1)).alias("group_size"))
+        groups = Fence(tops.filter("group_size > 1"), small=True)
+        keep(rows, groups)
     # With groups read anew, a hot recipe's rows are split by AQE's skew join; single texts match nothing and stay as they are.
-    joined = rows.join(groups, "recipe", "left")
+    joined = rows.df.join(groups.df, "recipe", "left")
     return joined.select(
         "doc_id",
         F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"),
@@ -91,22 +80,24 @@ def exact_dedup(docs: DataFrame, hashed=F.xxhash64) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that exact_dedup() keeps, all columns.
 
-    Rows that repeat both doc_id and text are the only ones that can't be told
-    apart by key; they go through dropDuplicates, and only they.
+    Texts to drop are known by doc_id and SHA-256; they are sent to the
+    documents where they are few. Rows that repeat both are the only ones that
+    can't be told apart so; they go through dropDuplicates, and only they.
     """
-    seen = fence(exact_dedup(docs.select("doc_id", "text")))
-    key = seen.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("copies"))
-    key = key.filter("not stays or copies > 1").withColumnsRenamed({"doc_id": "__id", "text_sha256": "__sha", "stays": "__stays", "copies": "__copies"})
-    marked = docs.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    on = marked["doc_id"].eqNullSafe(key["__id"]) & (marked["__key"] == key["__sha"])
-    gone = key.filter("not __stays")
-    left = marked.join(gone, on, "left_anti")
-    twice = fence(key.filter("__stays"), small=True)
+    sha, its_id, its_sha, stays, copies = fresh(docs, "text_key", "dropped_id", "dropped_key", "stays", "copies")
+    with scope() as keep:
+        seen = exact_dedup(docs.select("doc_id", "text")).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias(stays), F.count(F.lit(1)).alias(copies))
+        odd = Fence(seen.filter(~F.col(stays) | (F.col(copies) > 1)).select(F.col("doc_id").alias(its_id), F.col("text_sha256").alias(its_sha), stays), small=True)
+        keep(odd)
+    marked = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256))
+    on = marked["doc_id"].eqNullSafe(odd.df[its_id]) & (marked[sha] == odd.df[its_sha])
+    left = marked.join(sent_if_few(odd.df.filter(~F.col(stays))), on, "left_anti")
+    twice = odd.df.filter(F.col(stays))
     if not twice.isEmpty():
-        same = left["doc_id"].eqNullSafe(twice["__id"]) & (left["__key"] == twice["__sha"])
-        again = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__key"])
+        same = left["doc_id"].eqNullSafe(twice[its_id]) & (left[sha] == twice[its_sha])
+        again = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", sha])
         left = left.join(twice, same, "left_anti").unionByName(again)
-    return left.drop("__key")
+    return left.drop(sha)
 
 
 ORACLE = """

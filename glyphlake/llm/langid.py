@@ -81,6 +81,23 @@ def log_probability(ends, p: list[float]) -> float:
     return log(max(a[-1], 1e-300)) - scales[-1] * log(SCALE)
 
 
+def expected(ends: list[list[tuple[int, int]]], p: list[float], times: int, counts: dict[int, float]) -> None:
+    """Adds to ``counts`` how often each piece is expected in ``times`` such words, over all segmentations."""
+    a, scales = forward(ends, p)
+    if not a[-1]:
+        return
+    # b[i]: the sum over segmentations from i on, over the whole sum, in units of SCALE to the power of scales[i].
+    b = [0.0] * len(ends)
+    b[-1] = times / a[-1]
+    for end in range(len(ends) - 1, 0, -1):
+        for start, piece in ends[end]:
+            q = p[piece] * b[end]
+            if scales[start] != scales[end]:
+                q *= SCALE ** (scales[end] - scales[start])
+            counts[piece] += a[start] * q
+            b[start] += q
+
+
 def fit(words: dict[str, dict[str, int]], path: str | None = None, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages, and their piece probabilities with OTHER in the last place, from each language's word counts."""
     automaton, n = vocabulary(path)
@@ -88,21 +105,11 @@ def fit(words: dict[str, dict[str, int]], path: str | None = None, rounds: int =
     table = np.empty((len(languages), n + 1))
     for row, language in enumerate(languages):
         p = [1.0 / n] * n + [OTHER]
-        lattices = [(lattice(w, automaton), c) for w, c in words[language].items() if len(w) <= 100]
+        lattices = [(lattice(w, automaton), c) for w, c in words[language].items()]
         for _ in range(rounds):
-            counts = defaultdict(float)
+            counts: defaultdict[int, float] = defaultdict(float)
             for ends, c in lattices:
-                a, scales = forward(ends, p)
-                if scales[-1] or not a[-1]:
-                    continue
-                b = [0.0] * len(ends)
-                b[-1] = c / a[-1]
-                for end in range(len(ends) - 1, 0, -1):
-                    if b[end]:
-                        for start, piece in ends[end]:
-                            q = p[piece] * b[end]
-                            counts[piece] += a[start] * q
-                            b[start] += q
+                expected(ends, p, c, counts)
             total = sum(v for k, v in counts.items() if k >= 0) + ADDED * n
             p = [(counts.get(i, 0.0) + ADDED) / total for i in range(n)] + [OTHER]
         table[row] = p

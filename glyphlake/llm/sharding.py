@@ -2,20 +2,23 @@
 
 Groups (equal texts) are ordered by the SHA-256 of their text. The smallest
 shard capacity for which a greedy left-to-right filling needs no more shards
-than there are is found by binary search, and the order is cut there. The
-driver sees sums of key ranges, and single groups only near possible cuts, so
-what it holds grows with the square root of the number of groups.
+than there are is found by binary search. The order is cut at that capacity:
+each shard takes an even share of what is left, but never more than the
+capacity and never so little that the rest would not fit, so that one large
+group doesn't leave shards empty. The driver sees sums of key ranges, and
+single groups only near possible cuts, so what it holds grows with the square
+root of the number of groups.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import fence
+from glyphlake.llm.common import Fence, fence, scope
 
 #: Single groups fetched to the driver at once, at most; larger ranges are first divided further.
 DETAIL = 200_000
@@ -46,6 +49,29 @@ def smallest_capacity(sizes: list[int], shards: int, low: int = 0) -> int:
     return low
 
 
+def even_cuts(sizes: list[int], shards: int, capacity: int) -> list[int]:
+    """Item indexes at which shards end, none above ``capacity``, each as near an even share of what is left as that allows."""
+    prefix, ends, at = list(accumulate(sizes)), [], 0
+    for left in range(shards, 0, -1):
+        done = prefix[at - 1] if at else 0
+        most = bisect_right(prefix, done + capacity)
+        # The least end from which the rest still fits: fitting is monotonous in the end, and holds at the most.
+        low, high = at, most
+        while low < high:
+            mid = (low + high) // 2
+            if mid == len(prefix) or (left > 1 and greedy(prefix, mid, capacity, left - 1) is not None):
+                high = mid
+            else:
+                low = mid + 1
+        even = done + (prefix[-1] - done) / left if prefix else 0
+        after = bisect_left(prefix, even) + 1  # the first end that reaches the share; the one before may be nearer
+        if after - 1 > at and even - prefix[after - 2] <= prefix[min(after, len(prefix)) - 1] - even:
+            after -= 1
+        at = max(low, min(most, after))
+        ends.append(at)
+    return ends
+
+
 def _doubtful(items: list[tuple], shards: int, low: int, high: int) -> list[tuple]:
     """The ranges of several groups in which a cut may fall for some capacity from low to high."""
     prefix = [0, *accumulate(x[1] for x in items)]
@@ -60,7 +86,11 @@ def _doubtful(items: list[tuple], shards: int, low: int, high: int) -> list[tupl
 
 
 def cuts(groups: DataFrame, shards: int, total: int, largest: int, n: int, detail: int = DETAIL) -> list[bytes]:
-    """First keys of shards 1, 2, ... over ``groups`` (key binary, bytes), in key order; fewer if shards stay empty."""
+    """First keys of shards 1, 2, ... over ``groups`` (key binary, bytes), in key order; fewer if shards stay empty.
+
+    Ranges of keys are opened wherever the greedy filling may cut, so that the
+    capacity is that of single groups; cuts fall between groups or ranges.
+    """
     bits = 4
     while bits < 16 and 4**bits < 8 * n:
         bits += 1
@@ -85,58 +115,46 @@ def cuts(groups: DataFrame, shards: int, total: int, largest: int, n: int, detai
             fine = ranges(groups.filter(inside), 1 + max(len(x[3]) for x in open_))
         items = sorted({*items} - {*open_} | {*fine})
     sizes = [x[1] for x in items]
-    ends = greedy(list(accumulate(sizes)), 0, smallest_capacity(sizes, shards, floor), shards) or []
+    ends = even_cuts(sizes, shards, smallest_capacity(sizes, shards, floor))
     return [items[e][0] for e in ends[:-1] if e < len(items)]
 
 
-def shard(docs: DataFrame, shards: int = 8, rows_per_unit: int = 50_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of ``docs``.
 
     A row's size is the UTF-8 bytes of its text plus 1; a null text has none
-    and keeps size 1. Equal texts stay together. A group larger than an even
-    share gets a shard of its own, and the rest is shared by the others. Rows
-    that repeat are rows of their own. An empty table gives no rows; with fewer
-    groups than shards some shards stay empty. Other columns are ignored.
+    and keeps size 1. Equal texts stay together, so a shard is no larger than
+    the largest group or what an even share and one group come to. Slots
+    follow the SHA-256 of the text, then doc_id, nulls first. Rows that repeat
+    are rows of their own. An empty table gives no rows; with fewer groups
+    than shards some shards stay empty. Other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = fence(
-        docs.select(
+    with scope() as keep:
+        rows = docs.select(
             "doc_id",
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             F.unhex(F.sha2(text, 256)).alias("key"),
         )
-    )
-    groups = fence(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")))
-    row = groups.agg(F.sum("bytes"), F.max("bytes"), F.count(F.lit(1)), F.sum("n")).first()
-    total, largest, n, count = (int(x or 0) for x in row)
-    own: list[bytes] = []
-    left, even = groups, shards
-    while n and even > 1 and largest * even > total:
-        # Fewer than `even` groups can exceed an even share.
-        big = left.filter(F.col("bytes") * even > total).select("key", "bytes").collect()
-        own += sorted(bytes(r["key"]) for r in big)
-        even -= len(big)
-        left = groups.filter(~F.col("key").isin([bytearray(x) for x in own]))
-        total, largest, n = (int(x or 0) for x in left.agg(F.sum("bytes"), F.max("bytes"), F.count(F.lit(1))).first())
-    first = cuts(left, even, total, largest, n) if n and even > 1 else []
-    number = F.lit(len(own))
-    for key in first:
-        number = number + F.when(F.col("key") >= F.lit(bytearray(key)), 1).otherwise(0)
-    for i, key in enumerate(own):
-        number = F.when(F.col("key") == F.lit(bytearray(key)), i).otherwise(number)
-    placed = rows.withColumn("shard", number.cast("int"))
-    # Slots: rows are dealt to many small units by doc_id, so that no unit holds a whole hot group, and units follow one another.
-    units = max(1, min(4096, count // rows_per_unit + 1))
-    placed = placed.withColumn("unit", F.pmod(F.xxhash64("doc_id"), F.lit(units)).cast("int"))
-    sums = sorted((r["shard"], r["unit"], r["count"]) for r in placed.groupBy("shard", "unit").count().collect())
-    offsets, at = [0] * (shards * units), {}
-    for s, u, c in sums:
-        offsets[s * units + u] = at.get(s, 0)
-        at[s] = at.get(s, 0) + c
-    before = F.expr(f"split('{','.join(map(str, offsets))}', ',')")
-    order = Window.partitionBy("shard", "unit").orderBy("key", "doc_id")
-    slot = F.row_number().over(order) - 1 + F.element_at(before, F.col("shard") * units + F.col("unit") + 1).cast("long")
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+        # Sorted once; a hot text's rows are told apart by doc_id, so that no range holds them all.
+        placed = fence(rows).repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+        number = F.monotonically_increasing_id()
+        sorted_rows = Fence(placed.withColumns({"part": F.shiftright(number, 33).cast("int"), "at": number.bitwiseAND(F.lit((1 << 33) - 1))}))
+        groups = fence(sorted_rows.df.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")))
+        total, largest, n = (int(x or 0) for x in groups.agg(F.sum("bytes"), F.max("bytes"), F.count(F.lit(1))).first())
+        first = cuts(groups, shards, total, largest, n) if n and shards > 1 else []
+        number = sum((F.when(F.col("key") >= F.lit(bytearray(key)), 1).otherwise(0) for key in first), F.lit(0))
+        numbered = sorted_rows.df.withColumn("shard", number.cast("int"))
+        # A range's rows of one shard follow those of the ranges before it: a sum for each range and shard, of which there are few.
+        sums = numbered.groupBy("part", "shard").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("least")).collect()
+        before: dict[int, int] = {}
+        shift = []
+        for part, shard_, n, least in sorted(map(tuple, sums)):
+            shift.append((part, shard_, before.get(shard_, 0) - least))
+            before[shard_] = before.get(shard_, 0) + n
+        keep(sorted_rows)
+    spark = docs.sparkSession
+    offsets = spark.createDataFrame(shift, "of int, own int, shift long")
+    found = numbered.join(F.broadcast(offsets), (F.col("part") == F.col("of")) & (F.col("shard") == F.col("own")))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") + F.col("shift")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -4,8 +4,9 @@ Pages are written as gzip members, one a record, into archives below the shared
 folder. The capture index has a line for each record, sorted by the URL with
 its host reversed; lines are cut into blocks that are compressed each on their
 own, and a sparse directory holds a line for each block: first key, file,
-offset, length. A lookup searches the directory by bisection, reads and
-searches one block, and reads the record's byte range.
+offset, length. Directory lines are kept beside each index file, and one line
+a file with its first key. A lookup finds the file, the block and the line by
+bisection, and reads the record's byte range.
 
 Files are named by partition and a random part, and only those that a finished
 task lists count, so a task that runs twice does no harm.
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphlake.llm.common import Fence, scratch, slices
+from glyphlake.llm.common import Fence, scope, scratch, slices
 
 #: Payloads below so many bytes are always responses.
 LEAST = 100
@@ -151,12 +152,15 @@ def write_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> D
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.cdx"
         out, at, held = None, 0, []
 
+        lines_of: list[tuple] = []
+
         def block(rows):
             nonlocal at
             data = zlib.compress("\n".join(SEP.join("" if x is None else str(x) for x in r) for r in rows).encode(), 6)
             out.write(data)
             at += len(data)
-            return (rows[0][0], rows[0][1], rows[-1][0], rows[-1][1], name, at - len(data), len(data), len(rows))
+            lines_of.append((rows[0][0], rows[0][1], rows[-1][0], rows[-1][1], name, at - len(data), len(data), len(rows)))
+            return lines_of[-1]
 
         for b in slices(batches):
             held += zip(*(c.to_pylist() for c in b.columns))
@@ -177,6 +181,8 @@ def write_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> D
             yield _batch([block(held)], DIRECTORY)
         if out is not None:
             out.close()
+            with fs.open_output_stream(f"{root}/{name}.dir", compression=None) as beside:
+                beside.write(zlib.compress("\n".join(SEP.join("" if x is None else str(x) for x in (*r[:2], *r[5:7])) for r in lines_of).encode(), 6))
 
     # Sorted by key and page: equal URLs, however many, are spread over the ranges.
     ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
@@ -222,50 +228,50 @@ class Index:
         return [parse(gzip.decompress(read_range(self.archive_folder, c[2], c[3], c[4]))) for c in self.captures(url)]
 
 
-def look_up(queries: DataFrame, directory: DataFrame, index_folder: str, groups: int) -> DataFrame:
+def place(key: str, page_id: int | None) -> tuple:
+    """What captures are ordered by; a null page_id comes first."""
+    return key, page_id is not None, page_id or 0
+
+
+def read_directory(data: bytes) -> tuple[list[tuple], list[tuple[int, int]]]:
+    """Places at which an index file's blocks begin, and their (start, length)."""
+    lines = [line.rsplit(SEP, 3) for line in zlib.decompress(data).decode().split("\n")]
+    return [place(key, int(page) if page else None) for key, page, *_ in lines], [(int(a), int(n)) for *_, a, n in lines]
+
+
+def look_up(queries: DataFrame, directory: DataFrame, index_folder: str) -> DataFrame:
     """Captures of every (key, page_id) of ``queries``.
 
-    The directory's first keys cut the key order into ranges; a query goes to
-    the block whose range holds it. Blocks and queries are brought together by
-    a sorted merge (each row takes the last block that began before it), so
-    neither side is held whole: queries and directory lines are dealt by key
-    range, and each range starts with the last block of the range before it.
+    A task holds the first line of each index file, as many as the index had
+    partitions, and finds the file by bisection, then the block in the file's
+    directory, then the lines in the block. Queries are sorted, so each
+    directory and each block is read about once.
     """
-    lines = directory.select(F.col("first_key").alias("key"), F.col("first_page").alias("page_id"), F.lit(0).alias("what"), "file", "start", "length", "last_key", "last_page")
-    none = [F.lit(None).cast(k).alias(n) for n, k in (("file", "string"), ("start", "long"), ("length", "long"), ("last_key", "string"), ("last_page", "long"))]
-    asked = queries.select("key", "page_id", F.lit(1).alias("what"), *none)
-    dealt = lines.unionByName(asked).repartitionByRange(groups, "key", "page_id").sortWithinPartitions("key", "page_id", "what")
-    placed = Fence(dealt.withColumn("part", F.spark_partition_id())).df
-    # The last block that begins in a range serves the first queries of the ranges behind it.
-    ends = placed.filter("what = 0").groupBy("part").agg(F.max_by(F.struct("file", "start", "length"), F.struct("key", F.coalesce("page_id", F.lit(-(1 << 63))))).alias("b"))
-    last = {r["part"]: (r["b"]["file"], r["b"]["start"], r["b"]["length"]) for r in ends.collect()}
-    carried, before = {}, None
-    for part in range(groups):
-        carried[part] = before
-        before = last.get(part, before)
+    first = F.struct("first_key", F.col("first_page").isNotNull().alias("there"), F.coalesce("first_page", F.lit(0)).alias("page"))
+    files = sorted((tuple(r["first"]), r["file"]) for r in directory.groupBy("file").agg(F.min(first).alias("first")).collect())
+    begins, names = [f[0] for f in files], [f[1] for f in files]
 
     def run(batches):
-        block, where, rows, keys = None, None, [], []
-        out = []
+        fs, root = store(index_folder)
+        now, blocks, spans, where, rows, keys = None, [], [], None, [], []
         for b in slices(batches):
-            for key, page_id, what, file, start, length, part in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5, 8))):
-                if what == 0:
-                    block = (file, start, length)
-                    continue
-                if block is None:
-                    block = carried[part]
-                if block is None:
+            out = []
+            for key, page_id in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                want = place(key, page_id)
+                at = bisect_right(begins, want) - 1
+                if at < 0:
                     continue
-                if block != where:
-                    where, rows = block, read_block(read_range(index_folder, *block))
-                    keys = [(r[0], r[1] is not None, r[1] or 0) for r in rows]
-                want = (key, page_id is not None, page_id or 0)
+                if at != now:
+                    with fs.open_input_stream(f"{root}/{names[at]}.dir", compression=None) as f:
+                        now, (blocks, spans) = at, read_directory(f.read())
+                span = spans[bisect_right(blocks, want) - 1]
+                if (at, span) != where:
+                    where, rows = (at, span), read_block(read_range(index_folder, names[at], *span))
+                    keys = [place(*r[:2]) for r in rows]
                 out += rows[bisect_left(keys, want) : bisect_right(keys, want)]
             yield _batch(out, CAPTURES)
-            out = []
 
-    same = placed.repartitionByRange(groups, "part").sortWithinPartitions("part", "key", "page_id", "what")
-    return same.mapInArrow(run, CAPTURES)
+    return queries.select("key", "page_id").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, CAPTURES)
 
 
 READ = "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
@@ -306,18 +312,28 @@ def read_captures(captures: DataFrame, folder: str, payloads: bool = True) -> Da
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, refers_to, revisit: of equal payloads the smallest page_id is the response.
+    """page_id, url, payload, digest, refers_to, revisit: of equal payloads one row with the smallest page_id is the response, the others are revisits.
 
-    Only digests that occur more than once are joined back. Rows that repeat a
-    page_id with an equal payload are revisits of themselves but for one.
+    Only digests that occur more than once are joined back. Of several such
+    rows, that with the smallest url is the response; of rows that repeat all
+    three, one is. A null page_id is the largest.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    long = rows.filter(F.octet_length("payload") >= LEAST)
-    several = Fence(long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("same"), "first"), small=True).df
+    size = rows.filter(F.octet_length("payload") >= LEAST).groupBy("digest", "page_id", "url").agg(F.count(F.lit(1)).alias("times"))
+    groups = size.groupBy(F.col("digest").alias("same")).agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "times")).alias("first"), F.sum("times").alias("n"))
+    several = Fence(groups.filter("n > 1").select("same", "first.page_id", "first.url", "first.times").toDF("same", "first", "first_url", "times"), small=True).df
     joined = rows.join(several, rows["digest"] == several["same"], "left")
-    again = F.col("same").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.select("page_id", "url", "payload", "digest", F.when(again, F.col("first")).alias("refers_to"), again.alias("revisit"))
+    is_first = F.col("page_id").eqNullSafe(F.col("first")) & F.col("url").eqNullSafe(F.col("first_url"))
+    again = F.col("same").isNotNull() & ~is_first
+    shown = lambda df, revisit: df.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    if several.filter("times > 1").isEmpty():
+        return shown(joined, again)
+    repeated = is_first & (F.col("times") > 1)
+    # Such rows are the same in all that is kept: one of them is written as many times as there are.
+    one = joined.filter(repeated).dropDuplicates(["digest"])
+    each = one.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return shown(joined.filter(~F.coalesce(repeated, F.lit(False))), again).unionByName(shown(each, F.col("copy") > 1))
 
 
 def archive(pages: DataFrame) -> tuple[DataFrame, DataFrame, str, str]:
@@ -333,24 +349,18 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to for each page, read back by way of the index.
 
     A null html is an empty payload. Payloads under 100 bytes are responses,
-    equal ones too. A response's bytes and digest are computed from what is
-    read, a revisit's are those of the response that it names. Null urls have
-    the key ``)/``. An empty table gives no rows. Other columns are ignored.
+    equal ones too; of longer equal ones, in rows that repeat as well, one is.
+    A response's bytes and digest are computed from what is read, a revisit's
+    are those that its record names of the payload it stands for. Null urls
+    have the key ``)/``. An empty table gives no rows. Other columns are
+    ignored.
     """
-    captures, directory, archives, index = archive(pages)
-    spark = pages.sparkSession
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = look_up(captures.select("key", "page_id").distinct(), directory, index, groups)
-    back = Fence(read_captures(found, archives, payloads=False).drop("payload")).df
-    named = back.filter("record_type = 'response'").groupBy(F.col("page_id").alias("named"), F.col("payload_digest").alias("digest")).agg(F.max("payload_bytes").alias("bytes"))
-    joined = back.join(named, (back["record_type"] == "revisit") & (back["refers_to"] == named["named"]) & (back["payload_digest"] == named["digest"]), "left")
-    return joined.select(
-        "page_id",
-        F.coalesce("bytes", "payload_bytes").alias("payload_bytes"),
-        F.coalesce("digest", "payload_digest").alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    with scope() as keep:
+        captures, directory, archives, index = archive(pages)
+        found = look_up(captures.select("key", "page_id").distinct(), directory, index)
+        back = Fence(read_captures(found, archives, payloads=False).drop("payload"))
+        keep(back)
+    return back.df.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """

@@ -158,19 +158,38 @@ def test_smallest_capacity_is_minimal():
 
 
 @pytest.mark.parametrize("detail", [1, 7, 10**6])
-def test_cuts_over_ranges_equal_cuts_over_all_groups(spark, detail):
+def test_cuts_over_ranges_have_the_capacity_of_all_groups(spark, detail):
     rng = random.Random(3)
     items = sorted((hashlib.sha256(str(i).encode()).digest(), rng.randint(1, 400)) for i in range(700))
     groups = spark.createDataFrame([(bytearray(k), b) for k, b in items], "key binary, bytes long")
     sizes = [b for _, b in items]
     first = sharding.cuts(groups, 8, sum(sizes), max(sizes), len(items), detail)
     capacity = sharding.smallest_capacity(sizes, 8, max(sizes))
-    ends = sharding.greedy(list(__import__("itertools").accumulate(sizes)), 0, capacity, 8)
-    assert first == [items[e][0] for e in ends[:-1] if e < len(items)]
+    assert first == [items[e][0] for e in sharding.even_cuts(sizes, 8, capacity)[:-1]]
+
+
+def parts(sizes, ends):
+    return [sum(sizes[a:b]) for a, b in zip([0, *ends], ends)]
+
+
+def test_even_cuts_keep_to_the_capacity_and_fill_all_shards():
+    rng = random.Random(6)
+    for _ in range(200):
+        sizes = [rng.randint(1, 30) for _ in range(rng.randint(0, 40))]
+        if sizes and rng.random() < 0.5:
+            sizes[rng.randrange(len(sizes))] = sum(sizes) // 2 + 1
+        for shards in (1, 2, 5, 8):
+            capacity = sharding.smallest_capacity(sizes, shards, max(sizes, default=0))
+            ends = sharding.even_cuts(sizes, shards, capacity)
+            assert len(ends) == shards and ends == sorted(ends) and ends[-1] == len(sizes)
+            assert max(parts(sizes, ends), default=0) <= capacity
+            assert not sizes or max(parts(sizes, ends)) == brute_capacity(sizes, shards)
+    hot = [5] * 60 + [300] + [5] * 60
+    assert min(parts(hot, sharding.even_cuts(hot, 8, sharding.smallest_capacity(hot, 8, 300)))) > 40
 
 
 def test_shard_law(spark, docs):
-    rows = sharding.shard(docs, rows_per_unit=2).collect()
+    rows = sharding.shard(docs).collect()
     assert len(rows) == len(ROWS)
     shards = {}
     for r in rows:

@@ -25,7 +25,7 @@ def test_pipeline_equals_the_stages_by_brute_force(spark):
                     root[i], changed = root[j], True
     rows = {i: t for i, t in rows.items() if root[i] == i}
     items = decontaminate.Items([(r.item_id, r.text) for r in load(spark, SMALL, "benchmark").collect()])
-    rows = {i: t for i, t in rows.items() if not items.matches(t, decontaminate.COVERED)}
+    rows = {i: t for i, t in rows.items() if not items.matches([t], decontaminate.COVERED)}
     assert got.keys() == rows.keys()
     assert all(got[i][0] == len(bpe.encoder().encode(t)) for i, t in rows.items())
 
