@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphlake.llm import bpe, decontaminate, exact_dedup, simhash, toxicity
-from glyphlake.llm.common import fence, load
+from glyphlake.llm.common import Fence, load, scope
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -47,7 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    """Each stage's rows are written and reread; what a stage reads is deleted when the next one's rows are there."""
+    docs, before = load(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = fence(stage(spark, docs, sf_dir))
+        with scope() as keep:
+            written = Fence(stage(spark, docs, sf_dir))
+            keep(written)
+        if before is not None:
+            before.release()
+        docs, before = written.df, written
     return STAGES[-1][1](spark, docs, sf_dir)
