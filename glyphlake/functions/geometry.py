@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: what a skew or determinant must exceed to count.
+EPSILON = 1e-12
 POINTS = ("x1", "y1", "x2", "y2", "x3", "y3", "x4", "y4")
 
 
@@ -132,17 +134,26 @@ class Perspective:
 
     @classmethod
     def of(cls, quad: list[Column]) -> Perspective:
+        """The unit square's corners go to the quad's.
+
+        With corner weights 1, 1 + g, 1 + g + h, 1 + h, the third corner's
+        image gives g (p1 - p2) + h (p3 - p2) = p0 - p1 + p2 - p3, two equations
+        solved by Cramer's rule. A parallelogram has no right side, and g and h
+        are zero, whatever the determinant.
+        """
         p = points(quad)
         width = F.floor(F.greatest(distance(p[0], p[1]), distance(p[2], p[3])))
         height = F.floor(F.greatest(distance(p[0], p[3]), distance(p[1], p[2])))
-        (x0, y0), (x1, y1), (x2, y2), (x3, y3) = p
-        sx, sy = x0 - x1 + x2 - x3, y0 - y1 + y2 - y3
-        dx1, dy1, dx2, dy2 = x1 - x2, y1 - y2, x3 - x2, y3 - y2
-        below = dx1 * dy2 - dx2 * dy1
-        safe = F.when(F.abs(below) > 1e-12, below)
-        g, h = (sx * dy2 - dx2 * sy) / safe, (dx1 * sy - sx * dy1) / safe
+        towards = [tuple(p[k][i] - p[2][i] for i in (0, 1)) for k in (1, 3)]
+        skew = tuple(p[0][i] - p[1][i] + p[2][i] - p[3][i] for i in (0, 1))
+        det = lambda u, v: u[0] * v[1] - v[0] * u[1]
+        flat = (F.abs(skew[0]) <= EPSILON) & (F.abs(skew[1]) <= EPSILON)
+        whole = F.when(F.abs(det(*towards)) > EPSILON, det(*towards))
+        g = F.when(flat, 0.0).otherwise(det(skew, towards[1]) / whole)
+        h = F.when(flat, 0.0).otherwise(det(towards[0], skew) / whole)
         valid = (width >= 1) & (height >= 1) & g.isNotNull()
-        return cls(width.cast("int"), height.cast("int"), height >= 1.5 * width, valid, x1 - x0 + g * x1, x3 - x0 + h * x3, x0, y1 - y0 + g * y1, y3 - y0 + h * y3, y0, g, h)
+        rows = [c for i in (0, 1) for c in (p[1][i] - p[0][i] + g * p[1][i], p[3][i] - p[0][i] + h * p[3][i], p[0][i])]
+        return cls(width.cast("int"), height.cast("int"), height >= 1.5 * width, valid, *rows, g, h)
 
     def size(self) -> tuple[Column, Column]:
         """Width and height of the crop, which stands upright quads on their side."""

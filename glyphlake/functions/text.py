@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,19 +12,49 @@ from pyspark.sql import types as T
 FNV_START, FNV_PRIME = 14695981039346656037, 1099511628211
 
 
+#: Texts that are hashed side by side, at least.
+ABREAST = 24
+
+
+def fnv1a(texts: list[bytes]) -> np.ndarray:
+    """64-bit FNV-1a of each, byte by byte for all that are long enough; the few longest are finished one by one."""
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    lengths = np.array([len(texts[i]) for i in order], np.int64)
+    joined = np.frombuffer(b"".join(texts[i] for i in order), np.uint8)
+    starts = np.r_[0, lengths.cumsum()[:-1]].astype(np.int64) if len(order) else np.zeros(0, np.int64)
+    h = np.full(len(order), FNV_START, np.uint64)
+    at, live = 0, len(order)
+    while live >= ABREAST:
+        live = int(np.searchsorted(-lengths, -at, "left"))  # those longer than ``at``
+        if live < ABREAST:
+            break
+        h[:live] = (h[:live] ^ joined[starts[:live] + at]) * np.uint64(FNV_PRIME)
+        at += 1
+    for k in range(min(live, len(order))):
+        x = int(h[k])
+        for byte in texts[order[k]][at:]:
+            x = (x ^ byte) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
+        h[k] = x
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
 @F.pandas_udf(T.StringType())
 def fnv1a_hex(text: pd.Series) -> pd.Series:
     """64-bit FNV-1a over UTF-8, 16 hex digits. JVM longs can't hold the unsigned products, so this is an Arrow function."""
-
-    def one(s):
-        if s is None:
-            return None
-        h = FNV_START
-        for b in s.encode():
-            h = (h ^ b) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
-        return f"{h:016x}"
-
-    return text.map(one)
+    known = text.notna()
+    out = pd.Series([None] * len(text), dtype=object)
+    out[known.to_numpy()] = [f"{h:016x}" for h in fnv1a([s.encode() for s in text[known]]).tolist()]
+    return out
+
+
+def utf16_units(text: Column) -> Column:
+    """The text with each character beyond 16 bits as two, one for each of its UTF-16 units, so that lengths and edit distances count units."""
+    spaced = F.regexp_replace(F.hex(F.encode(text, "UTF-16BE")), "(.{4})", "0000$1 ")
+    # Surrogates can't stand alone in a text; their places in a private plane can.
+    wide = F.regexp_replace(spaced, "0000(D[89A-F][0-9A-F]{2}) ", "000F$1 ")
+    return F.when(text.rlike("[\\x{10000}-\\x{10FFFF}]"), F.decode(F.unhex(F.replace(wide, F.lit(" "), F.lit(""))), "UTF-32")).otherwise(text)
 
 
 def page_text(lines: DataFrame, page: str = "page", line: str = "line_no", text: str = "text") -> DataFrame:

@@ -74,6 +74,18 @@ def captured(lines: DataFrame, found: DataFrame, line: str = "line") -> DataFram
     return lines.join(listed, line, "left").withColumn("spans", F.coalesce("spans", empty))
 
 
+def with_spans(lines: DataFrame, labels: list[str], steps: str = "steps") -> DataFrame:
+    """Adds ``spans`` to rows that hold their steps in an array: the runs of spans(), an empty array where there are none; nothing is shuffled."""
+    table, n = F.array(*map(F.lit, labels)), F.size(steps)
+    at = lambda i: F.get(F.col(steps), i)
+    breaks = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (at(i)["cls"] != at(i - 1)["cls"]))
+    cut = lambda a, b: F.struct(at(a)["cls"].alias("cls"), at(a)["prob"].alias("prob"), a.alias("a"), b.alias("b"))
+    runs = F.filter(F.zip_with(F.slice(breaks, 1, F.size(breaks) - 1), F.slice(breaks, 2, F.size(breaks)), cut), lambda r: r["cls"] != 0)
+    named = F.transform(runs, lambda r, i: F.struct(i.alias("span"), F.element_at(table, r["cls"]).alias("text"), r["prob"].alias("score"), r["a"].alias("start"), r["b"].alias("end")))
+    empty = F.expr("cast(array() as array<struct<span:int,text:string,score:double,start:int,end:int>>)")
+    return lines.withColumn("spans", F.when(n > 0, named).otherwise(empty))
+
+
 def head(features: DataFrame, vector: str, weights: list[list[float]], bias: list[float]) -> DataFrame:
     """Adds label and score of a linear head: softmax of A.W + b, the lowest index of equal ones; 2 to 64 columns."""
     if not 2 <= len(bias) <= 64:

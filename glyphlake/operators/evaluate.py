@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphlake.functions.geometry import iou
+from glyphlake.functions.text import utf16_units
+from glyphlake.operators.scan import null_safe, running
 
 #: The order of stages in reports; others follow by name.
 STAGE_ORDER = ["det_preprocess", "det_graph", "det_postprocess", "det_unclip", "crop", "cls_preprocess", "cls_graph", "cls_postprocess", "rec_preprocess", "rec_graph", "rec_postprocess"]
@@ -24,26 +26,29 @@ RULES = {
 }
 
 
-def ranked(rows: DataFrame, keys: list[str], value: str, picks: dict[str, str]) -> DataFrame:
+def ranked(rows: DataFrame, keys: list[str], value: str, picks: dict[str, str], few: bool = False) -> DataFrame:
     """(keys, picks): exact order statistics of groups of any size; ``picks`` names a column and a rule of RULES.
 
     Equal values are counted before anything is shuffled, and the counts are
-    summed in order of value, by a sort that may spill; no group is listed.
+    summed in order of value over ranges of it. ``few`` says that a group has
+    few distinct values at any size, as channels of a colour have: then a
+    window over its counts does.
     """
-    over = Window.partitionBy(*keys)
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    placed = counts.withColumns({"_upto": F.sum("_c").over(over.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(over)})
+    if few:
+        upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        upto = running(counts, keys, ["_v"], sums={"_upto": "_c"})
+    sizes = rows.groupBy(*keys).agg(F.count(value).alias("_n"))
+    placed = _beside(upto, sizes, keys)
     at = {name: RULES[rule](F.col("_n")) for name, rule in picks.items()}
     return placed.groupBy(*keys).agg(*(F.max(F.when((F.col("_upto") > k) & (F.col("_upto") - F.col("_c") <= k), F.col("_v"))).alias(name) for name, k in at.items()))
 
 
-def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], kind: str = "left") -> DataFrame:
     """Left join on keys, null keys included."""
-    there = right.withColumnsRenamed({k: f"_{k}" for k in keys})
-    on = F.lit(True)
-    for k in keys:
-        on = on & left[k].eqNullSafe(there[f"_{k}"])
-    return left.join(there, on, "left").drop(*(f"_{k}" for k in keys))
+    there = right.withColumnsRenamed({k: f"_at_{k}" for k in keys})
+    return left.join(there, null_safe(left, there, [(k, f"_at_{k}") for k in keys]), kind).drop(*(f"_at_{k}" for k in keys))
 
 
 def stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -55,27 +60,36 @@ def stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def upper_median(value: Column) -> Column:
-    """sorted[n / 2]."""
+    """sorted[n / 2] of a group of bounded size; ranked() takes any."""
     return F.element_at(_sorted(value), (F.floor(F.count(value) / 2) + 1).cast("int"))
 
 
 def warmup(rows: DataFrame, keys: list[str], order: list[str], count: int = 1) -> DataFrame:
-    """Adds ``warmup``: the first min(count, n - 1) rows of each run."""
-    over = Window.partitionBy(*keys)
-    n = F.row_number().over(over.orderBy(*order))
-    return rows.withColumn("warmup", n <= F.least(F.lit(count), F.count(F.lit(1)).over(over) - 1))
+    """Adds ``warmup``: the first min(count, n - 1) rows of each run; ``order`` tells the rows of a run apart.
+
+    Only the first rows of each run are gathered, and the last of them is held against all.
+    """
+    place = Window.partitionBy(*keys).orderBy(*order)
+    first = rows.select(*keys, *order).withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= count)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    last = _beside(first, sizes, keys).filter("_n < _size").groupBy(*keys).agg(F.max(F.struct(*order)).alias("_last"))
+    return _beside(rows, last, keys).select(*rows.columns, F.coalesce(F.struct(*order) <= F.col("_last"), F.lit(False)).alias("warmup"))
 
 
-def build_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A line for each run of rows (file, seq, warmup, total_ms, lines, working_set_mb); warm-up rows don't count in timing.
+def build_summary(rows: DataFrame, keys: list[str], meta: DataFrame | None = None) -> DataFrame:
+    """A line for each run of rows (file, seq, warmup, total_ms, lines); warm-up rows don't count in timing.
 
-    Of equally slow rows the first (least seq) is the slowest.
+    Of equally slow rows the first (least seq) is the slowest. Rows may have
+    maps stage_ms, operator_ms and conv_class_ms: their means by key are maps
+    of the same names with _mean, null where no row has any. ``meta`` (keys,
+    ws_loaded, ws_last) gives working_set_delta, null where either is.
     """
     timed = F.when(~F.col("warmup"), F.col("total_ms"))
     mean = F.coalesce(F.avg(timed), F.lit(0.0))
     measured = F.count(timed)
     lines = F.coalesce(F.sum(F.when(~F.col("warmup"), F.col("lines"))), F.lit(0))
-    sums = rows.groupBy(*keys).agg(
+    slowest = F.max_by(F.struct("file", "total_ms"), F.when(~F.col("warmup"), F.struct("total_ms", -F.col("seq"))))
+    out = rows.groupBy(*keys).agg(
         measured.alias("n"),
         F.count(F.when(F.col("warmup"), 1)).alias("warmup"),
         mean.alias("mean"),
@@ -86,12 +100,21 @@ def build_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.when(measured > 0, lines / measured).otherwise(0.0).alias("lines_mean"),
         lines.alias("lines_total"),
         F.avg(F.when(F.col("warmup"), F.col("total_ms"))).alias("warmup_ms"),
-        F.max_by("file", F.when(~F.col("warmup"), F.struct("total_ms", -F.col("seq")))).alias("slowest_file"),
-        (F.max_by("working_set_mb", "seq") - F.min_by("working_set_mb", "seq")).alias("working_set_delta"),
+        slowest["file"].alias("slowest_file"),
+        slowest["total_ms"].alias("slowest_ms"),
     )
-    order = ranked(rows.filter("not warmup"), keys, "total_ms", {"_lo": "lower_median", "_hi": "upper_median", "p95": "p95_rounded"})
-    both = _beside(sums, order, keys)
-    return both.withColumns({"median": F.coalesce((F.col("_lo") + F.col("_hi")) / 2, F.lit(0.0)), "p95": F.coalesce("p95", F.lit(0.0))}).drop("_lo", "_hi")
+    kept = rows.filter("not warmup")
+    order = ranked(kept, keys, "total_ms", {"_lo": "lower_median", "_hi": "upper_median", "p95": "p95_rounded"})
+    out = _beside(out, order, keys).withColumns({"median": F.coalesce((F.col("_lo") + F.col("_hi")) / 2, F.lit(0.0)), "p95": F.coalesce("p95", F.lit(0.0))}).drop("_lo", "_hi")
+    for column, means in (("stage_ms", key_means), ("operator_ms", metric_means), ("conv_class_ms", metric_means)):
+        if column in rows.columns:
+            # A run has as many keys as there are stages or operators.
+            listed = means(kept, keys, column).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("position", "key", "mean"))).alias("_l"))
+            shown = F.map_from_entries(F.transform("_l", lambda x: F.struct(x["key"], x["mean"])))
+            out = _beside(out, listed.select(*keys, shown.alias(f"{column}_mean")), keys)
+    if meta is not None:
+        out = _beside(out, meta.select(*keys, (F.col("ws_last") - F.col("ws_loaded")).alias("working_set_delta")), keys)
+    return out
 
 
 def key_means(rows: DataFrame, keys: list[str], metrics: str) -> DataFrame:
@@ -114,12 +137,15 @@ def stage_counters(rows: DataFrame, keys: list[str]) -> DataFrame:
     return flat.groupBy(*keys, "stage").agg(F.sum("ms").alias("ms"), F.sum(F.coalesce(F.try_element_at("stage_calls", F.col("stage")), F.lit(0))).alias("calls"))
 
 
-def result_document(meta: DataFrame, summary: DataFrame, rows: DataFrame, run: str = "run") -> DataFrame:
-    """(run, meta, summary, rows): a document for each run, its rows by seq."""
+def result_document(meta: DataFrame, summary: DataFrame, rows: DataFrame, run: str = "run", most: int = 10_000) -> DataFrame:
+    """(run, part, meta, summary, rows): documents of each run, its rows by seq; a part has the rows of ``most`` numbers of seq."""
     pack = lambda df: F.struct(*(c for c in df.columns if c != run))
-    listed = rows.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("seq", pack(rows).alias("row")))).alias("_r"))
-    listed = listed.select(run, F.transform("_r", lambda x: x["row"]).alias("rows"))
-    return meta.select(run, pack(meta).alias("meta")).join(summary.select(run, pack(summary).alias("summary")), run).join(listed, run)
+    part = F.floor(F.col("seq") / most).alias("part")
+    by_seq = lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)
+    listed = rows.groupBy(run, part).agg(F.array_sort(F.collect_list(F.struct("seq", pack(rows).alias("row"))), by_seq).alias("_r"))
+    listed = listed.select(run, "part", F.transform("_r", lambda x: x["row"]).alias("rows"))
+    both = meta.select(run, pack(meta).alias("meta")).join(summary.select(run, pack(summary).alias("summary")), run)
+    return listed.join(both, run).select(run, "part", "meta", "summary", "rows")
 
 
 def metric_value(raw: Column) -> Column:
@@ -129,14 +155,14 @@ def metric_value(raw: Column) -> Column:
 
 def counter_deltas(snapshots: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Differences of cumulative (ms, calls) between rows in order; rows without new calls are dropped."""
-    over = Window.partitionBy(*keys).orderBy(order)
-    back = lambda c: F.col(c) - F.coalesce(F.lag(c).over(over), F.lit(0))
-    return snapshots.withColumns({"delta_ms": back("ms"), "delta_calls": back("calls")}).filter("delta_calls > 0")
+    seen = running(snapshots, keys, [order], previous={"_ms": "ms", "_calls": "calls"})
+    back = lambda c: F.col(c) - F.coalesce(F.col(f"_{c}"), F.lit(0))
+    return seen.withColumns({"delta_ms": back("ms"), "delta_calls": back("calls")}).drop("_ms", "_calls").filter("delta_calls > 0")
 
 
 def running_peak(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    over = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("peak", F.max(value).over(over))
+    """Adds ``peak``: the largest value of the run so far."""
+    return running(rows, keys, [order], peaks={"peak": value})
 
 
 def steady_tail(rows: DataFrame, keys: list[str], order: str, value: str, last: int = 50) -> DataFrame:
@@ -145,45 +171,56 @@ def steady_tail(rows: DataFrame, keys: list[str], order: str, value: str, last:
     return rows.withColumn("_n", n).filter(F.col("_n") <= last).groupBy(*keys).agg(upper_median(F.col(value)).alias("steady"))
 
 
-def exact_matches(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Truth lines (file, line, text) with ``exact``: whether an equal predicted line is left for it, in line order.
-
-    Files are told apart without case; a file that was not predicted is left out.
+def line_errors(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Truth lines (file, line, text, ...) with exact, chars and errors, in UTF-16 units.
+
+    A line is exact if an equal predicted line of its file is left for it, in
+    line order; then errors is 0, else the least edit distance to any predicted
+    line of the file, at most chars. Files are told apart without case; a file
+    that was not predicted is left out, one predicted without lines may have a
+    row with a null text. Both sides are brought together by file once; a file
+    is a page, whose lines are as many as a detector finds.
     """
-    t, p = truth.withColumn("_f", F.lower("file")), predicted.withColumn("_f", F.lower("file"))
-    number = lambda d: F.row_number().over(Window.partitionBy("_f", "text").orderBy("line"))
-    t, p = t.withColumn("_k", number(t)), p.withColumn("_k", number(p)).select("_f", "text", "_k", F.lit(True).alias("_hit"))
-    ran = predicted.select(F.lower("file").alias("_f")).distinct()
-    return t.join(ran, "_f", "left_semi").join(p, ["_f", "text", "_k"], "left").select(*truth.columns, F.coalesce("_hit", F.lit(False)).alias("exact"))
+    t = truth.select(F.lower("file").alias("_f"), F.struct("line", F.coalesce("text", F.lit("")).alias("_text"), F.struct(*truth.columns).alias("_row")).alias("_t"), F.lit(None).cast("struct<text:string>").alias("_p"))
+    p = predicted.select(F.lower("file").alias("_f"), F.lit(None).cast(t.schema["_t"].dataType).alias("_t"), F.struct(F.col("text").alias("text")).alias("_p"))
+    pages = t.unionByName(p).groupBy("_f").agg(F.array_sort(F.collect_list("_t")).alias("_t"), F.collect_list("_p").alias("_p")).filter((F.size("_t") > 0) & (F.size("_p") > 0))
+    said = F.filter(F.transform("_p", lambda x: x["text"]), lambda x: x.isNotNull())
+    pages = pages.select("_f", "_t", said.alias("_said"), F.transform(F.array_distinct(said), utf16_units).alias("_units"))
 
+    def judged(x: Column, i: Column) -> Column:
+        equal = F.size(F.filter("_said", lambda s: s == x["_text"]))
+        before = F.size(F.filter(F.slice("_t", 1, i), lambda y: y["_text"] == x["_text"]))
+        return F.struct(x["_row"].alias("_row"), (equal > before).alias("exact"), utf16_units(x["_text"]).alias("_u"))
 
-def line_errors(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """exact_matches() with ``chars`` and ``errors``: 0 if exact, else the least edit distance to any line of the file, at most chars.
+    lines = pages.select("_units", F.explode(F.transform("_t", judged)).alias("_l")).select("_units", "_l.*")
+    chars = F.length("_u")
+    least = F.array_min(F.transform("_units", lambda s: F.levenshtein(F.col("_u"), s)))
+    errors = F.when(F.col("exact"), 0).otherwise(F.least(chars, F.coalesce(least, chars)))
+    return lines.select("_row.*", "exact", chars.alias("chars"), errors.alias("errors"))
 
-    The join is on the file, never across files, and only lines without an exact match take part.
-    """
-    found = exact_matches(truth, predicted).withColumn("chars", F.length("text"))
-    rest = found.filter("not exact").withColumn("_f", F.lower("file"))
-    guesses = predicted.select(F.lower("file").alias("_f"), F.col("text").alias("_p")).distinct()
-    best = rest.join(guesses, "_f").groupBy("_f", "line").agg(F.min(F.levenshtein("text", "_p")).alias("_d"))
-    joined = found.withColumn("_f", F.lower("file")).join(best, ["_f", "line"], "left")
-    return joined.select(*found.columns, F.when(F.col("exact"), 0).otherwise(F.least(F.col("chars"), F.coalesce("_d", "chars"))).alias("errors"))
+
+def exact_matches(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Truth lines with ``exact``, as line_errors() has it."""
+    return line_errors(truth, predicted).select(*truth.columns, "exact")
 
 
-def nearest_texts(rows: DataFrame, blocks: int = 32) -> DataFrame:
-    """Adds ``best``: the least edit distance of ``text`` to that of any other row, whatever its other columns.
+def nearest_texts(rows: DataFrame, asked: Column | None = None, blocks: int = 32) -> DataFrame:
+    """``best``: the least edit distance, in UTF-16 units, of the ``text`` of each row that is asked for (all by default) to that of any other row.
 
-    Equal texts are compared once, and each text meets the others block by
-    block, a task each: the rows are few and the work is in their pairs. Null texts are compared with nothing: they, and a row that has no
-    other, get null.
+    Equal texts are compared once, and each text that is asked for meets the
+    others block by block, a task each: the work is in the pairs, of which
+    there are as many as rows asked for times rows. Null texts are compared
+    with nothing: they, and a row that has no other, get null.
     """
+    wanted = rows if asked is None else rows.filter(asked)
     texts = rows.filter("text is not null").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
-    asked = texts.filter("n = 1").select("text", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).repartition(blocks, "_block")
-    others = texts.select(F.col("text").alias("_other"), F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int").alias("_block"))
-    pairs = asked.join(others, "_block").filter("text != _other")
-    least = pairs.groupBy("text").agg(F.min(F.levenshtein("text", "_other")).alias("_least"))
-    found = texts.join(least, "text", "left").select(F.col("text").alias("_text"), F.when(F.col("n") > 1, 0).otherwise(F.col("_least")).alias("best"))
-    return rows.join(found, rows["text"] == found["_text"], "left").drop("_text")
+    single = texts.filter("n = 1").join(wanted.select("text").distinct(), "text", "left_semi")
+    queries = single.select(F.col("text").alias("_text"), utf16_units(F.col("text")).alias("_u"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).repartition(blocks, "_block")
+    others = texts.select(F.col("text").alias("_other"), utf16_units(F.col("text")).alias("_v"), F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int").alias("_block"))
+    least = queries.join(others, "_block").filter("_text != _other").groupBy("_text").agg(F.min(F.levenshtein("_u", "_v")).alias("_least"))
+    many = texts.filter("n > 1").select(F.col("text").alias("_text"), F.lit(0).alias("_least"))
+    found = least.unionByName(many)
+    return wanted.join(found, wanted["text"] == found["_text"], "left").select(*rows.columns, F.col("_least").alias("best"))
 
 
 def accuracy(errors: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -264,12 +301,16 @@ def rotation_score(assigned: DataFrame, truth: DataFrame, predicted: DataFrame,
 
 
 def rotation_score_by_text(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """The same where boxes are lacking: k-th truth line of a text against the k-th predicted one."""
-    number = Window.partitionBy("_f", "text").orderBy("line")
-    t = truth.withColumn("_f", F.lower("file")).withColumn("_k", F.row_number().over(number)).select("_f", "text", "_k", "cls_degrees")
-    p = predicted.withColumn("_f", F.lower("file")).withColumn("_k", F.row_number().over(number)).select("_f", "text", "_k", "rotation")
-    both = t.join(p, ["_f", "text", "_k"])
-    return both.agg(F.coalesce(F.sum((F.col("cls_degrees") == F.col("rotation")).cast("int")), F.lit(0)).alias("cls_correct"), F.count(F.lit(1)).alias("cls_total"))
+    """The same where boxes are lacking: k-th truth line of a text against the k-th predicted one; both sides meet once, by file and text."""
+    t = truth.select(F.lower("file").alias("_f"), "text", "line", F.lit(True).alias("_truth"), F.col("cls_degrees").alias("_d"))
+    p = predicted.select(F.lower("file").alias("_f"), "text", "line", F.lit(False).alias("_truth"), F.col("rotation").alias("_d"))
+    number = Window.partitionBy("_f", "text").orderBy("_truth", "line")
+    both = t.unionByName(p).filter("text is not null")
+    placed = both.withColumn("_n", F.row_number().over(number)).withColumn("_first", F.min(F.when(F.col("_truth"), F.col("_n"))).over(Window.partitionBy("_f", "text")))
+    placed = placed.withColumn("_k", F.when(F.col("_truth"), F.col("_n") - F.col("_first") + 1).otherwise(F.col("_n")))
+    side = lambda truth: F.max(F.when(F.col("_truth") == truth, F.col("_d")))
+    pairs = placed.groupBy("_f", "text", "_k").agg(side(True).alias("_t"), side(False).alias("_p")).filter("_t is not null and _p is not null")
+    return pairs.agg(F.coalesce(F.sum((F.col("_t") == F.col("_p")).cast("int")), F.lit(0)).alias("cls_correct"), F.count(F.lit(1)).alias("cls_total"))
 
 
 def width_batches(lines: DataFrame, most: int, page: str = "page", line: str = "line_no", width: str = "target_width") -> DataFrame:
@@ -291,8 +332,17 @@ def zip_lines(rows: DataFrame, arrays: list[str]) -> DataFrame:
 
 
 def longest_first(lines: DataFrame, page: str = "page", line: str = "line_no") -> DataFrame:
-    """Adds ``turn``: lines by width over height, widest first, ties by line."""
-    return lines.withColumn("turn", F.row_number().over(Window.partitionBy(page).orderBy((F.col("width") / F.greatest(F.lit(1), F.col("height"))).desc(), line)))
+    """Adds ``turn``: lines by width over height, widest first, ties by line.
+
+    Quotients of whole numbers are compared exactly: by their whole part and
+    62 binary places, in which any two that differ do (sides are ints).
+    """
+    h = F.greatest(F.lit(1), F.col("height")).cast("long")
+    keys, rest = [], F.col("width").cast("long")
+    for _ in range(3):
+        keys.append(F.call_function("div", rest, h))
+        rest = F.pmod(rest, h) * (1 << 31)
+    return lines.withColumn("turn", F.row_number().over(Window.partitionBy(page).orderBy(*(k.desc() for k in keys), line)))
 
 
 def background_color(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -313,5 +363,10 @@ def ink_color(pixels: DataFrame, backgrounds: DataFrame, keys: list[str]) -> Dat
     back = backgrounds.select(*keys, *(F.col(c).alias(f"_{c}") for c in "rgb"))
     away = F.sqrt(sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in "rgb"), F.lit(0.0)))
     far = pixels.join(back, keys).withColumn("_d", away).filter("_d >= 16")
-    middle = far.groupBy(*keys).agg(upper_median(F.col("_d")).alias("_m"))
-    return far.join(middle, keys).filter("_d >= _m").groupBy(*keys).agg(*(upper_median(F.col(c)).alias(c) for c in "rgb"))
+    middle = ranked(far, keys, "_d", {"_m": "upper_median"})
+    kept = _beside(far, middle, keys).filter("_d >= _m")
+    out = None
+    for c in "rgb":  # a channel has 256 values at most
+        one = ranked(kept, keys, c, {c: "upper_median"}, few=True)
+        out = one if out is None else _beside(out, one, keys)
+    return out

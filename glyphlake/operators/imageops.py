@@ -6,12 +6,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from glyphlake.functions.geometry import EPSILON
+from glyphlake.functions.sizing import MAX_CROP_PIXELS, MAX_IMAGE_PIXELS
+
 #: Means and deviations by channel in the order B, G, R of the detector and R, G, B of the page classifier.
 MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
 
 def pixels(data: bytes, width: int, height: int, stride: int = 0, pixel_format: int = 0) -> np.ndarray:
     """(height, width, 3) in B, G, R from packed or padded rows; alpha is left out."""
+    if width * height > MAX_IMAGE_PIXELS:
+        raise ValueError(f"a page of more than {MAX_IMAGE_PIXELS} pixels")
     channels = 3 if pixel_format in (0, 1) else 4
     row = width * channels
     stride = stride or row
@@ -102,11 +107,11 @@ def perspective(quad) -> tuple[int, int, bool, np.ndarray]:
     width, height = int(max(side(0, 1), side(2, 3))), int(max(side(0, 3), side(1, 2)))
     skew = q[0] - q[1] + q[2] - q[3]
     system = np.stack([q[1] - q[2], q[3] - q[2]], 1)
-    below = np.linalg.det(system)
-    if not np.isfinite(q).all() or width < 1 or height < 1 or abs(below) <= 1e-12:
+    flat = (np.abs(skew) <= EPSILON).all()  # a parallelogram, also one without area
+    if not np.isfinite(q).all() or width < 1 or height < 1 or not flat and abs(np.linalg.det(system)) <= EPSILON:
         raise ValueError("invalid quadrilateral")
-    g, h = np.linalg.solve(system, skew)
-    return width, height, height >= 1.5 * width, np.array([[*((q[1] - q[0] + g * q[1])[[0]]), *((q[3] - q[0] + h * q[3])[[0]]), q[0, 0]], [*((q[1] - q[0] + g * q[1])[[1]]), *((q[3] - q[0] + h * q[3])[[1]]), q[0, 1]], [g, h, 1.0]])
+    g, h = (0.0, 0.0) if flat else np.linalg.solve(system, skew)
+    return width, height, height >= 1.5 * width, np.vstack([np.stack([q[1] - q[0] + g * q[1], q[3] - q[0] + h * q[3], q[0]], 1), [g, h, 1.0]])
 
 
 def _cubic(t: np.ndarray) -> list[np.ndarray]:
@@ -123,6 +128,8 @@ def crop(image: np.ndarray, quad, rows: tuple[int, int] | None = None) -> np.nda
     ``rows`` gives a band of the crop as it is sampled, for work in parts.
     """
     width, height, vertical, m = perspective(quad)
+    if width * height > MAX_CROP_PIXELS:
+        raise ValueError(f"a crop of more than {MAX_CROP_PIXELS} pixels")
     first, last = rows or (0, height)
     u, v = np.meshgrid(np.arange(width) / width, np.arange(first, last) / height)
     below = m[2, 0] * u + m[2, 1] * v + 1
@@ -156,3 +163,17 @@ def crop_lines(lines: DataFrame) -> DataFrame:
 
     names = ["page", "line_no", "page_width", "page_height", "stride", "pixel_format", "data", "x1", "y1", "x2", "y2", "x3", "y3", "x4", "y4"]
     return lines.select(*names).mapInPandas(run, CROPS)
+
+
+INPUTS = "page long, channels int, height int, width int, values array<float>"
+
+
+def model_inputs(pages: DataFrame, prepare) -> DataFrame:
+    """(page, channels, height, width, values): the tensor that ``prepare`` makes of each page's pixels, flat."""
+
+    def run(batches):
+        for pdf in batches:
+            made = [prepare(pixels(r.data, r.width, r.height, r.stride, r.pixel_format)) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame({"page": pdf["page"], **{n: np.array([m.shape[i] for m in made], np.int32) for i, n in enumerate(("channels", "height", "width"))}, "values": [m.ravel() for m in made]})
+
+    return pages.select("page", "width", "height", "stride", "pixel_format", "data").mapInPandas(run, INPUTS)

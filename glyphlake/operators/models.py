@@ -7,6 +7,7 @@ stands in for them in tests and claims no accuracy.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 from functools import lru_cache
 from typing import Protocol
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphlake.functions.text import page_text
 from glyphlake.operators import ctc, dbpost, imageops
 
 
@@ -34,29 +36,43 @@ class Models(Protocol):
 
 @dataclass(frozen=True)
 class OnnxModels:
-    """Model files that are at the same place on every machine, and their dictionary."""
+    """Model files and their dictionary. A path is one on every machine, or, where ``shipped``, names a file that addFile() has sent."""
 
     detector: str
     recogniser: str
     dictionary: tuple[str, ...]
     classifier: str | None = None
+    shipped: bool = False
 
     @property
     def labels(self) -> list[str]:
         return ctc.labels_of(list(self.dictionary))
 
-    def _run(self, path: str, tensor: np.ndarray) -> np.ndarray:
-        session = _session(path)
-        return session.run(None, {session.get_inputs()[0].name: tensor.astype(np.float32)})[0]
+    def _run(self, path: str, tensor: np.ndarray, width: int | None = None) -> np.ndarray:
+        """The output whose last axis has ``width`` elements, or else the first."""
+        session = _session(_local(path) if self.shipped else path)
+        outputs = session.run(None, {session.get_inputs()[0].name: tensor.astype(np.float32)})
+        return next((o for o in outputs if width is not None and o.shape[-1] == width), outputs[0])
 
     def detect(self, tensor):
         return self._run(self.detector, tensor[None]).reshape(tensor.shape[1:])
 
     def turn(self, tensors):
-        return self._run(self.classifier, tensors) if self.classifier else np.tile(np.float32([1, 0]), (len(tensors), 1))
+        """Batches are filled up to a multiple of eight with zeros, so that a session sees few shapes."""
+        if not self.classifier:
+            return np.tile(np.float32([1, 0]), (len(tensors), 1))
+        full = np.zeros((-(-len(tensors) // 8) * 8, *tensors.shape[1:]), np.float32)
+        full[: len(tensors)] = tensors
+        return self._run(self.classifier, full, 2)[: len(tensors)]
 
     def read(self, tensors):
-        return self._run(self.recogniser, tensors)
+        return self._run(self.recogniser, tensors, len(self.dictionary) + 2)
+
+
+def _local(path: str) -> str:
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(os.path.basename(path))
 
 
 @lru_cache(8)
@@ -88,14 +104,27 @@ class StubModels:
 LINES = "page long, line_no int, x1 double, y1 double, x2 double, y2 double, x3 double, y3 double, x4 double, y4 double, box_score double, label int, label_score double, rotation int, target_width int, content_width int, steps array<struct<cls:int,prob:double>>"
 
 
-def lines_of(image: np.ndarray, models: Models, options: dbpost.Options, classifier_threshold: float = 0.0) -> list[tuple]:
-    """One tuple of LINES' fields, the page left out, for each line of a page."""
-    tensor = imageops.detector_input(image)
+#: Lines that a model is given at once, at most.
+BATCH = 16
+#: Bytes of all crops of a page, at most.
+CROPS = (1 << 31) - 1
+
+
+def _batches(members: list[int], size: int):
+    return (members[i : i + size] for i in range(0, len(members), size))
+
+
+def lines_of(image: np.ndarray, models: Models, options: dbpost.Options, classifier_threshold: float = 0.0, batch: int = BATCH) -> list[tuple]:
+    """One tuple of LINES' fields, the page left out, for each line of a page; models see ``batch`` lines at once."""
+    if not (0 <= classifier_threshold <= 1 and batch >= 1):
+        raise ValueError("option out of range")
+    tensor = imageops.detector_input(image, options.limit)
     boxes = dbpost.detect_boxes(models.detect(tensor), image.shape[1], image.shape[0], options)
-    if not boxes:
-        return []
+    sizes = [imageops.perspective(corners)[:2] for corners, _ in boxes]
+    if sum(3 * w * h for w, h in sizes) > CROPS:
+        raise ValueError("the lines of a page take too many bytes")
     crops = [imageops.crop(image, corners) for corners, _ in boxes]
-    turns = models.turn(np.stack([imageops.classifier_input(c) for c in crops]))
+    turns = [p for part in _batches(list(range(len(crops))), batch) for p in models.turn(np.stack([imageops.classifier_input(crops[i]) for i in part]))]
     out, by_width = [], {}
     for i, (crop, p) in enumerate(zip(crops, turns)):
         label = int(p.argmax())
@@ -107,11 +136,12 @@ def lines_of(image: np.ndarray, models: Models, options: dbpost.Options, classif
         by_width.setdefault(target, []).append(i)  # never padded to another line's width: that changes what is read
         out.append([i, *map(float, boxes[i][0].reshape(-1)), boxes[i][1], label, float(p[label]), rotation, target, min(target, natural), None])
     for target, members in by_width.items():
-        logits = models.read(np.stack([imageops.recogniser_input(crops[i], target) for i in members]))
-        for i, rows in zip(members, logits):
-            cls = rows.argmax(1)
-            prob = 1 / np.exp(rows.astype(np.float64) - rows.max(1, keepdims=True)).sum(1)
-            out[i][-1] = [{"cls": int(c), "prob": float(q)} for c, q in zip(cls, prob)]
+        for part in _batches(members, batch):
+            logits = models.read(np.stack([imageops.recogniser_input(crops[i], target) for i in part]))
+            for i, rows in zip(part, logits):
+                cls = rows.argmax(1)
+                prob = 1 / np.exp(rows.astype(np.float64) - rows.max(1, keepdims=True)).sum(1)
+                out[i][-1] = [{"cls": int(c), "prob": float(q)} for c, q in zip(cls, prob)]
     return [tuple(x) for x in out]
 
 
@@ -141,9 +171,16 @@ def _names(ddl: str) -> list[str]:
     return out
 
 
-def recognise(pages: DataFrame, models: Models, options: dbpost.Options = dbpost.Options()) -> DataFrame:
-    """read_lines() with text, score and emitted decoded on the JVM."""
-    return ctc.decode(read_lines(pages, models, options), list(models.labels))
+def recognise(pages: DataFrame, models: Models, options: dbpost.Options = dbpost.Options(), alignment: bool = False) -> DataFrame:
+    """read_lines() with text, score and emitted decoded on the JVM; with ``alignment`` also spans, an array that may be empty but isn't null."""
+    found = ctc.decode(read_lines(pages, models, options), list(models.labels))
+    return ctc.with_spans(found, list(models.labels)) if alignment else found
+
+
+def page_texts(lines: DataFrame) -> DataFrame:
+    """(page, lines, text, packed_text) of recognised lines."""
+    counts = lines.groupBy("page").agg(F.count(F.lit(1)).alias("lines"))
+    return counts.join(page_text(lines), "page")
 
 
 def page_orientation(pages: DataFrame, classify) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphlake.functions import text as fmt
 from glyphlake.operators.evaluate import STAGE_ORDER
+from glyphlake.operators.scan import running
 
 
 def with_baseline(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,21 +54,35 @@ def compare(stages: DataFrame, runs: list[str], keys: str = "key", run: str = "r
 
 
 def key_union(stages: DataFrame, key: str = "key") -> DataFrame:
-    return stages.select(key).distinct()
+    """(key, position): the keys of all runs, those of STAGE_ORDER in that order and the others by name; there are as many as stages."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, STAGE_ORDER)), F.col(key)), F.lit(0)), F.lit(len(STAGE_ORDER) + 1))
+    return stages.select(key).distinct().withColumn("position", F.row_number().over(Window.orderBy(place, key)))
+
+
+#: What report tables are ordered by.
+RUN_ORDER, SMOKE_ORDER, FILE_ORDER = ["replica", "case_id", "label"], ["rid", "case_id", "label"], ["sort_key"]
 
 
 def run_order(runs: DataFrame) -> DataFrame:
-    return runs.orderBy("replica", "case_id", "label")
+    return runs.orderBy(*RUN_ORDER)
 
 
 def smoke_order(runs: DataFrame) -> DataFrame:
-    return runs.orderBy("rid", "case_id", "label")
+    return runs.orderBy(*SMOKE_ORDER)
 
 
 def sort_key_order(runs: DataFrame) -> DataFrame:
+    """By sort_key without case."""
     return runs.orderBy(F.lower("sort_key"), "sort_key")
 
 
+def with_places(runs: DataFrame, orders: dict[str, list[str]]) -> DataFrame:
+    """Adds, for each name, the row's place in that order of all rows, from 1."""
+    for name, order in orders.items():
+        runs = running(runs, [], order, number=name)
+    return runs
+
+
 #: Column heads of the report's tables.
 HEADS = ["RID", "case", "engine", "model", "n", "effective ISA", "median ms", "P95 ms", "vs replica baseline", "cls", "exact_lines", "CER", "WS peak", "Δ WS", "CPU"]
 

@@ -50,21 +50,21 @@ found AS (SELECT line, run, cls, min(step) AS start, max(step) + 1 AS "end", arg
 """
 
 
-def _one_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return load(spark, sf_dir, "lineitem").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
-
-
-def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows; those of an order are numbered anew, so that rows that share a line number become lines of their own."""
     li = load(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", *sorted(set(li.columns) - {"l_orderkey", "l_linenumber"}))
     return li.withColumn("l_linenumber", F.row_number().over(order))
 
 
-def truth_boxes(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    """(image, line, x0, y0, x1, y1, cls_degrees): one box for each order line, or for every row."""
-    li = _every(spark, sf_dir) if every else _one_each(spark, sf_dir)
+LINEITEM = """
+li AS (SELECT * REPLACE (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_discount, l_extendedprice, l_linestatus, l_partkey, l_quantity, l_returnflag, l_shipdate, l_suppkey, l_tax) AS l_linenumber) FROM lineitem)
+"""
+
+
+def truth_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image, line, x0, y0, x1, y1, cls_degrees): a box for every row."""
+    li = _lineitem(spark, sf_dir)
     x, y = F.col("l_partkey") % 400, (F.col("l_suppkey") * 4) % 1000
     return li.select(
         F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("line"), x.cast("double").alias("x0"), y.cast("double").alias("y0"),
@@ -72,9 +72,9 @@ def truth_boxes(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFr
     )
 
 
-def predicted_boxes(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+def predicted_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image, line, x0, y0, x1, y1, rotation): the boxes, moved a little."""
-    li = _every(spark, sf_dir) if every else _one_each(spark, sf_dir)
+    li = _lineitem(spark, sf_dir)
     x, y = F.col("l_partkey") % 400 + F.col("l_suppkey") % 7, (F.col("l_suppkey") * 4) % 1000 + F.col("l_partkey") % 5
     return li.select(
         F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("line"), x.cast("double").alias("x0"), y.cast("double").alias("y0"),
@@ -83,8 +83,7 @@ def predicted_boxes(spark: SparkSession, sf_dir: str, every: bool = False) -> Da
     )
 
 
-BOXES = """
-li AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1),
+BOXES = f"""{LINEITEM.strip()},
 gt AS (SELECT l_orderkey AS image, l_linenumber AS line, (l_partkey % 400)::DOUBLE AS x0, ((l_suppkey * 4) % 1000)::DOUBLE AS y0, l_partkey % 400 + 40 + l_quantity AS x1,
               ((l_suppkey * 4) % 1000 + 12 + l_suppkey % 9)::DOUBLE AS y1, CASE WHEN l_returnflag = 'R' THEN 180 ELSE 0 END AS cls_degrees FROM li),
 pr AS (SELECT l_orderkey AS image, l_linenumber AS line, (l_partkey % 400 + l_suppkey % 7)::DOUBLE AS x0, ((l_suppkey * 4) % 1000 + l_partkey % 5)::DOUBLE AS y0,
@@ -111,18 +110,23 @@ q AS (SELECT image, line, size, x AS x1, y AS y1, x + w AS x2, y + s AS y2, x +
 
 
 def bench_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(run, file, seq, total_ms, lines, working_set_mb): events as timed pages, a run for each event type."""
-    e = load(spark, sf_dir, "events")
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return e.select(
-        F.col("event_type").alias("run"), F.concat(F.lit("img-"), F.col("event_id").cast("string")).alias("file"), F.row_number().over(order).alias("seq"),
-        F.col("value").alias("total_ms"), (F.col("event_id") % 17).alias("lines"), (F.col("value") * 2 + F.col("user_id")).alias("working_set_mb"),
+    """(run, file, seq, total_ms, lines, working_set_mb, stage_ms, operator_ms, conv_class_ms): events as timed pages, a run for each event type."""
+    k, v = F.col("event_id"), F.col("value")
+    return load(spark, sf_dir, "events").select(
+        F.col("event_type").alias("run"), F.concat(F.lit("img-"), k.cast("string")).alias("file"), k.alias("seq"), v.alias("total_ms"), (k % 17).alias("lines"), (v * 2 + F.col("user_id")).alias("working_set_mb"),
+        F.map_concat(F.create_map(F.lit("crop"), v / 2), F.when(k % 3 == 0, F.create_map(F.lit("zeta"), v / 4, F.lit("det_graph"), v / 8)).otherwise(F.create_map(F.lit("rec_graph"), v / 16))).alias("stage_ms"),
+        F.create_map(F.concat(F.lit("op"), (k % 3).cast("string")), v).alias("operator_ms"), F.create_map(F.concat(F.lit("conv"), (k % 2).cast("string")), v).alias("conv_class_ms"),
     )
 
 
+def bench_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run, ws_loaded, ws_last): memory as a run's own record gives it; one kind of run has no last value."""
+    e = load(spark, sf_dir, "events").groupBy(F.col("event_type").alias("run")).agg(F.min("value").alias("ws_loaded"), F.max("value").alias("ws_last"))
+    return e.select("run", "ws_loaded", F.when(F.col("run") != "error", F.col("ws_last")).alias("ws_last"))
+
+
 BENCH = """
-br AS (SELECT event_type AS run, 'img-' || event_id AS file, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq, value AS total_ms,
-              event_id % 17 AS lines, value * 2 + user_id AS working_set_mb FROM events)
+br AS (SELECT event_type AS run, 'img-' || event_id AS file, event_id AS seq, value AS total_ms, event_id % 17 AS lines, value * 2 + user_id AS working_set_mb FROM events)
 """
 
 
@@ -155,20 +159,20 @@ def truth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, line, text, cls_degrees): words of order lines as ground truth."""
     b = truth_boxes(spark, sf_dir)
     word = F.concat(F.lit("w"), (F.col("x0").cast("long") % 23).cast("string"), F.lit("-"), (F.col("y0").cast("long") % 5).cast("string"))
-    return b.select(F.concat(F.lit("IMG-"), F.col("image").cast("string")).alias("file"), "line", word.alias("text"), "cls_degrees").filter("substring(file, -1) <> '7'")
+    return b.select(F.concat(F.lit("IMG-"), F.col("image").cast("string")).alias("file"), "line", word.alias("text"), "cls_degrees")
 
 
 def predicted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = predicted_boxes(spark, sf_dir)
     word = F.concat(F.lit("w"), (F.col("x0").cast("long") % 23).cast("string"), F.lit("-"), (F.col("y0").cast("long") % 5).cast("string"))
-    return b.select(F.concat(F.lit("img-"), F.col("image").cast("string")).alias("file"), "line", word.alias("text"), "rotation").filter("substring(file, -1) <> '3'")
+    return b.select(F.concat(F.lit("img-"), F.col("image").cast("string")).alias("file"), "line", word.alias("text"), "rotation")
 
 
 LINES = (
     BOXES
     + """,
-tl AS (SELECT 'IMG-' || image AS file, line, 'w' || (x0::BIGINT % 23) || '-' || (y0::BIGINT % 5) AS text, cls_degrees FROM gt WHERE right(image::VARCHAR, 1) <> '7'),
-pl AS (SELECT 'img-' || image AS file, line, 'w' || (x0::BIGINT % 23) || '-' || (y0::BIGINT % 5) AS text, rotation FROM pr WHERE right(image::VARCHAR, 1) <> '3'),
+tl AS (SELECT 'IMG-' || image AS file, line, 'w' || (x0::BIGINT % 23) || '-' || (y0::BIGINT % 5) AS text, cls_degrees FROM gt),
+pl AS (SELECT 'img-' || image AS file, line, 'w' || (x0::BIGINT % 23) || '-' || (y0::BIGINT % 5) AS text, rotation FROM pr),
 t AS (SELECT *, lower(file) AS f, row_number() OVER (PARTITION BY lower(file), text ORDER BY line) AS k FROM tl WHERE lower(file) IN (SELECT lower(file) FROM pl)),
 p AS (SELECT *, lower(file) AS f, row_number() OVER (PARTITION BY lower(file), text ORDER BY line) AS k FROM pl),
 em AS (SELECT t.file, t.line, t.text, t.f, length(t.text) AS chars, p.f IS NOT NULL AS exact FROM t LEFT JOIN p ON t.f = p.f AND t.text = p.text AND t.k = p.k),
@@ -192,13 +196,12 @@ g AS (SELECT user_id AS page, event_id % 11 AS y, (event_id // 11) % 13 AS x, ma
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image, seq, r, g, b): colours of an order's lines."""
-    li = _one_each(spark, sf_dir)
-    return li.select(F.col("l_suppkey").alias("image"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.col("l_partkey") % 40).alias("r"), (F.col("l_quantity").cast("long") % 30).alias("g"), (F.col("l_partkey") % 251).alias("b"))
+    li = _lineitem(spark, sf_dir)
+    return li.select(F.col("l_suppkey").alias("image"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("seq"), (F.col("l_partkey") % 40).alias("r"), (F.col("l_quantity").cast("long") % 30).alias("g"), (F.col("l_partkey") % 251).alias("b"))
 
 
-PIXELS = """
-li AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1),
-px AS (SELECT l_suppkey AS image, l_orderkey * 10 + l_linenumber AS seq, l_partkey % 40 AS r, l_quantity::BIGINT % 30 AS g, l_partkey % 251 AS b FROM li)
+PIXELS = f"""{LINEITEM.strip()},
+px AS (SELECT l_suppkey AS image, l_orderkey * 1000 + l_linenumber AS seq, l_partkey % 40 AS r, l_quantity::BIGINT % 30 AS g, l_partkey % 251 AS b FROM li)
 """
 
 
@@ -206,3 +209,21 @@ def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page, label), spread over the cluster: each row becomes a page of pixels, which is far more work than the row is bytes."""
     rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page"), "label")
     return rows.repartition(4 * spark.sparkContext.defaultParallelism, "page")
+
+
+def patterns(spark: SparkSession, sf_dir: str, width, height, table: str = "nation", key: str = "n_nationkey") -> DataFrame:
+    """(page, width, height, stride, pixel_format, data): a page of BGR pixels for each row of a small table; byte k is (7 k + 3 page) mod 256."""
+    n = load(spark, sf_dir, table).select(F.col(key).cast("long").alias("page"))
+    sized = n.select("page", width(F.col("page")).cast("int").alias("width"), height(F.col("page")).cast("int").alias("height"))
+    byte = lambda k: F.lpad(F.hex((k * 7 + F.col("page") * 3) % 256), 2, "0")
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") * 3 - 1), byte), ""))
+    return sized.select("page", "width", "height", F.lit(0).alias("stride"), F.lit(0).alias("pixel_format"), data.alias("data"))
+
+
+def vector_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page, width, height, map_width, map_height, probability): maps of 40 x 40 with three bars each, their ends by the vector's label and number."""
+    e = page_labels(spark, sf_dir)
+    row, column = lambda k: F.floor(k / 40) % 13, lambda k: k % 40
+    on = lambda k: (row(k) >= 3) & (row(k) < 9) & (column(k) >= F.col("label") + 2) & (column(k) <= F.col("page") % 7 + 30)
+    cell = lambda k: F.when(on(k), 0.9).otherwise(0.05).cast("float")
+    return e.select("page", *(F.lit(v).alias(n) for n, v in (("width", 80), ("height", 80), ("map_width", 40), ("map_height", 40))), F.transform(F.sequence(F.lit(0), F.lit(1599)), cell).alias("probability"))

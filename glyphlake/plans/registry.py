@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from glyphlake.functions import geometry as geo
 from glyphlake.functions import sizing
 from glyphlake.functions import text as fmt
-from glyphlake.operators import charboxes, ctc, dbpost, evaluate, raster, report
+from glyphlake.operators import charboxes, ctc, dbpost, evaluate, imageops, models, raster, report
 from glyphlake.plans import inputs
+from glyphlake.sources import bench, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,12 +88,17 @@ def ctc_captured_lines(spark, sf_dir):
     return lines.select("line", F.size("spans").alias("spans"), best.alias("best"), length.alias("steps"))
 
 
-@query("line:i label:i score:d turned:i", """
-h AS (SELECT vec_id AS line, embedding[1]::DOUBLE * 0.5 + embedding[2]::DOUBLE * -1.0 + 0.1 AS a, embedding[1]::DOUBLE * -0.25 + embedding[2]::DOUBLE * 2.0 - 0.1 AS b FROM embeddings)""", """
+_WEIGHTS = [[((i * 7) % 11 - 5) / 8, ((i * 5) % 13 - 6) / 8] for i in range(64)]
+_HEAD = """
+h AS (SELECT vec_id AS line, 0.1::DOUBLE + list_sum(list_transform(range(0, 64), lambda i: embedding[i + 1]::DOUBLE * (((i * 7) % 11 - 5) / 8.0::DOUBLE))) AS a,
+             -0.1::DOUBLE + list_sum(list_transform(range(0, 64), lambda i: embedding[i + 1]::DOUBLE * (((i * 5) % 13 - 6) / 8.0::DOUBLE))) AS b FROM embeddings)"""
+
+
+@query("line:i label:i score:d turned:i", _HEAD, """
 SELECT line, CASE WHEN b > a THEN 1 ELSE 0 END AS label, 1 / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))) AS score,
        CASE WHEN b > a AND 1 / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))) > 0.55 THEN 180 ELSE 0 END AS turned FROM h""")
 def linear_head(spark, sf_dir):
-    out = ctc.head(inputs.logits(spark, sf_dir), "logits", [[0.5, -0.25], [-1.0, 2.0]], [0.1, -0.1])
+    out = ctc.head(inputs.logits(spark, sf_dir), "logits", _WEIGHTS, [0.1, -0.1])
     return out.withColumn("turned", ctc.turned(F.col("label"), F.col("score"), 0.55))
 
 
@@ -196,27 +202,28 @@ def pixel_layouts(spark, sf_dir):
     return p.withColumn("row", row).select("part", sizing.bytes_per_pixel(F.col("f")).alias("bytes"), sizing.swaps_red_blue(F.col("f")).alias("swaps"), "row", sizing.fits_buffer(F.lit(5000), F.col("row"), F.col("w"), F.col("h"), F.col("f")).alias("fits"), sizing.checked_pixels(F.col("w"), F.col("h")).alias("area"), sizing.drawn_degrees(angle).alias("drawn"))
 
 
-_UNIQUE = "u AS (SELECT page, line_no, max(w) AS w, max(h) AS h FROM li GROUP BY 1, 2), tw AS (SELECT *, greatest(32, ((ceil(w * 48.0::DOUBLE / h)::BIGINT + 31) // 32) * 32) AS target FROM u)"
+_EACH = f"{inputs.LINEITEM.strip()}, u AS (SELECT l_orderkey AS page, l_linenumber AS line_no, (l_partkey % 700 + 1)::INT AS w, (l_suppkey % 90 + 1)::INT AS h FROM li), tw AS (SELECT *, greatest(32, ((ceil(w * 48.0::DOUBLE / h)::BIGINT + 31) // 32) * 32) AS target FROM u)"
 
 
-def _unique(spark, sf_dir):
-    return _lines(spark, sf_dir).groupBy("page", "line_no").agg(F.max("w").alias("width"), F.max("h").alias("height"))
+def _each_line(spark, sf_dir):
+    li = inputs._lineitem(spark, sf_dir)
+    return li.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line_no"), (F.col("l_partkey") % 700 + 1).cast("int").alias("width"), (F.col("l_suppkey") % 90 + 1).cast("int").alias("height"))
 
 
-@query("page:i line_no:i target_width:i batch:i slot:i", f"{_LINES}, {_UNIQUE}", "SELECT page, line_no, target AS target_width, (row_number() OVER w - 1) // 2 AS batch, (row_number() OVER w - 1) % 2 AS slot FROM tw WINDOW w AS (PARTITION BY page, target ORDER BY line_no)")
+@query("page:i line_no:i target_width:i batch:i slot:i", _EACH, "SELECT page, line_no, target AS target_width, (row_number() OVER w - 1) // 2 AS batch, (row_number() OVER w - 1) % 2 AS slot FROM tw WINDOW w AS (PARTITION BY page, target ORDER BY line_no)")
 def width_batches(spark, sf_dir):
-    lines = _unique(spark, sf_dir)
+    lines = _each_line(spark, sf_dir)
     return evaluate.width_batches(lines.withColumn("target_width", sizing.recogniser_target(F.col("width"), F.col("height"))), 2)
 
 
-@query("page:i line_no:i turn:i", f"{_LINES}, {_UNIQUE}", "SELECT page, line_no, row_number() OVER (PARTITION BY page ORDER BY w::DOUBLE / h DESC, line_no) AS turn FROM tw")
+@query("page:i line_no:i turn:i", _EACH, "SELECT page, line_no, row_number() OVER (PARTITION BY page ORDER BY w::DOUBLE / h DESC, line_no) AS turn FROM tw")
 def longest_first(spark, sf_dir):
-    return evaluate.longest_first(_unique(spark, sf_dir))
+    return evaluate.longest_first(_each_line(spark, sf_dir))
 
 
-@query("page:i line_no:i bytes:i offset:i", f"{_LINES}, {_UNIQUE}", """SELECT page, line_no, w * h * 3 AS bytes, coalesce(sum(w * h * 3) OVER (PARTITION BY page ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM u""")
+@query("page:i line_no:i bytes:i offset:i", _EACH, """SELECT page, line_no, w * h * 3 AS bytes, coalesce(sum(w * h * 3) OVER (PARTITION BY page ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset" FROM u""")
 def crop_offsets(spark, sf_dir):
-    lines = _unique(spark, sf_dir).withColumn("bytes", F.col("width") * F.col("height") * 3)
+    lines = _each_line(spark, sf_dir).withColumn("bytes", F.col("width") * F.col("height") * 3)
     return evaluate.prefix_offsets(lines, ["page"], "line_no", "bytes")
 
 
@@ -302,20 +309,32 @@ def iou_matches(spark, sf_dir):
     return evaluate.iou_pairs(inputs.truth_boxes(spark, sf_dir), inputs.predicted_boxes(spark, sf_dir))
 
 
-@query("image:i gi:i pi:i iou:d")
+_GREEDY = f"""{_IOU},
+listed AS (SELECT image, list([{{'g': gi::BIGINT, 'p': pi::BIGINT, 'o': iou}}] ORDER BY iou DESC, gi, pi) AS l FROM pairs GROUP BY image),
+taken AS (SELECT image, unnest(list_reduce(l, lambda s, x: CASE WHEN len(list_filter(s, lambda t: t.g = x[1].g OR t.p = x[1].p)) = 0 THEN s || x ELSE s END, [])) AS t FROM listed),
+ga AS (SELECT image, t.g AS gi, t.p AS pi, t.o AS iou FROM taken)"""
+
+
+@query("image:i gi:i pi:i iou:d", _GREEDY, "SELECT * FROM ga")
 def greedy_assignment(spark, sf_dir):
-    return evaluate.greedy_assignment(evaluate.iou_pairs(inputs.truth_boxes(spark, sf_dir, every=True), inputs.predicted_boxes(spark, sf_dir, every=True)))
+    return evaluate.greedy_assignment(evaluate.iou_pairs(inputs.truth_boxes(spark, sf_dir), inputs.predicted_boxes(spark, sf_dir)))
 
 
-@query("cls_correct:i cls_total:i")
+@query("cls_correct:i cls_total:i", _GREEDY, "SELECT coalesce(sum((cls_degrees = rotation)::INT), 0) AS cls_correct, count(*) AS cls_total FROM ga JOIN gt ON ga.image = gt.image AND ga.gi = gt.line JOIN pr ON ga.image = pr.image AND ga.pi = pr.line")
 def rotation_by_box(spark, sf_dir):
-    t, p = inputs.truth_boxes(spark, sf_dir, every=True), inputs.predicted_boxes(spark, sf_dir, every=True)
+    t, p = inputs.truth_boxes(spark, sf_dir), inputs.predicted_boxes(spark, sf_dir)
     return evaluate.rotation_score(evaluate.greedy_assignment(evaluate.iou_pairs(t, p)), t, p)
 
 
-@query("page:i line_no:i place:i")
+# Each box in turn is put behind the last one, from the right, that it may not pass.
+_BEHIND = "coalesce(list_max(list_filter(range(1, len(s) + 1), lambda k: NOT (abs(e[1].y - s[k].y) < 10 AND e[1].x < s[k].x))), 0)"
+
+
+@query("page:i line_no:i place:i", f"""{inputs.BOXES.strip()},
+listed AS (SELECT image, list([{{'n': line::BIGINT, 'x': x0, 'y': y0}}] ORDER BY y0, x0, line) AS l FROM gt GROUP BY image),
+ordered AS (SELECT image, list_reduce(l, lambda s, e: s[1 : {_BEHIND}] || e || s[{_BEHIND} + 1 :]) AS l FROM listed)""", "SELECT image AS page, unnest(l).n AS line_no, unnest(range(0, len(l))) AS place FROM ordered")
 def reading_order(spark, sf_dir):
-    boxes = inputs.truth_boxes(spark, sf_dir, every=True).select(F.col("image").alias("page"), F.col("line").alias("line_no"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
+    boxes = inputs.truth_boxes(spark, sf_dir).select(F.col("image").alias("page"), F.col("line").alias("line_no"), F.col("x0").alias("x1"), F.col("y0").alias("y1"))
     return dbpost.sort_reading_order(boxes)
 
 
@@ -336,16 +355,21 @@ def percentile_rules(spark, sf_dir):
 
 _SUMMARY = f"""{inputs.BENCH.strip()},
 wu AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seq) <= least(3, count(*) OVER (PARTITION BY run) - 1) AS warm FROM br),
-me AS (SELECT run, count(*) AS n, avg(total_ms) AS mean, median(total_ms) AS median, list_sort(list(total_ms)) AS v, min(total_ms) AS min, max(total_ms) AS max, sum(total_ms) AS sum, sum(lines) AS lt FROM wu WHERE NOT warm GROUP BY run),
-al AS (SELECT run, count(*) FILTER (warm) AS warmup, avg(total_ms) FILTER (warm) AS warmup_ms, arg_max(working_set_mb, seq) - arg_min(working_set_mb, seq) AS delta FROM wu GROUP BY run),
-sl AS (SELECT run, file FROM wu WHERE NOT warm QUALIFY row_number() OVER (PARTITION BY run ORDER BY total_ms DESC, seq) = 1)"""
+me AS (SELECT run, count(*) AS n, avg(total_ms) AS mean, median(total_ms) AS median, list_sort(list(total_ms)) AS v, min(total_ms) AS min, max(total_ms) AS max, sum(total_ms) AS sum, sum(lines) AS lt,
+              avg(total_ms / 2) AS crop, avg(total_ms / 8) FILTER (seq % 3 = 0) AS det, count(*) FILTER (seq % 3 = 0) AS third,
+              avg(total_ms) FILTER (seq % 3 = 1) AS op1, avg(total_ms) FILTER (seq % 2 = 1) AS conv1 FROM wu WHERE NOT warm GROUP BY run),
+al AS (SELECT run, count(*) FILTER (warm) AS warmup, avg(total_ms) FILTER (warm) AS warmup_ms, max(total_ms) - min(total_ms) AS delta FROM wu GROUP BY run),
+sl AS (SELECT run, file, total_ms AS slowest_ms FROM wu WHERE NOT warm QUALIFY row_number() OVER (PARTITION BY run ORDER BY total_ms DESC, seq) = 1)"""
 
 
-@query("run:s n:i warmup:i mean:d median:d p95:d min:d max:d sum:d img_per_s:d lines_mean:d lines_total:i warmup_ms:d slowest_file:s working_set_delta:d", _SUMMARY, """
+@query("run:s n:i warmup:i mean:d median:d p95:d min:d max:d sum:d img_per_s:d lines_mean:d lines_total:i warmup_ms:d slowest_file:s slowest_ms:d working_set_delta:d stages:s crop:d det:d op1:d conv1:d", _SUMMARY, """
 SELECT run, n, warmup, mean, median, v[least(n - 1, floor(0.95::DOUBLE * (n - 1) + 0.5))::BIGINT + 1] AS p95, min, max, sum, 1000 / mean AS img_per_s, lt::DOUBLE / n AS lines_mean, lt AS lines_total,
-       warmup_ms, file AS slowest_file, delta AS working_set_delta FROM me JOIN al USING (run) JOIN sl USING (run)""")
+       warmup_ms, file AS slowest_file, slowest_ms, CASE WHEN run <> 'error' THEN delta END AS working_set_delta, 'det_graph,crop,rec_graph,zeta' AS stages, crop, det, op1, conv1 FROM me JOIN al USING (run) JOIN sl USING (run)""")
 def build_summary(spark, sf_dir):
-    return evaluate.build_summary(evaluate.warmup(inputs.bench_rows(spark, sf_dir), ["run"], ["seq"], 3), ["run"])
+    rows = evaluate.warmup(inputs.bench_rows(spark, sf_dir), ["run"], ["seq"], 3)
+    out = evaluate.build_summary(rows, ["run"], inputs.bench_meta(spark, sf_dir))
+    mean = lambda column, key: F.try_element_at(f"{column}_mean", F.lit(key))
+    return out.select("*", F.array_join(F.map_keys("stage_ms_mean"), ",").alias("stages"), mean("stage_ms", "crop").alias("crop"), mean("stage_ms", "det_graph").alias("det"), mean("operator_ms", "op1").alias("op1"), mean("conv_class_ms", "conv1").alias("conv1"))
 
 
 @query("user:i key:s mean:d position:i", """
@@ -357,12 +381,11 @@ def stage_means(spark, sf_dir):
     return evaluate.key_means(rows, ["user"], "stage_ms")
 
 
-@query("run:s seq:i delta_ms:d delta_calls:i", f"{inputs.BENCH.strip()}, cu AS (SELECT run, seq, sum(total_ms) OVER w AS ms, sum(CASE WHEN lines % 3 = 0 THEN 0 ELSE lines END) OVER w AS calls FROM br WINDOW w AS (PARTITION BY run ORDER BY seq ROWS UNBOUNDED PRECEDING)), de AS (SELECT run, seq, ms - coalesce(lag(ms) OVER w, 0) AS delta_ms, calls - coalesce(lag(calls) OVER w, 0) AS delta_calls FROM cu WINDOW w AS (PARTITION BY run ORDER BY seq))", "SELECT * FROM de WHERE delta_calls > 0")
+@query("run:s seq:i delta_ms:d delta_calls:i", f"{inputs.BENCH.strip()}, cu AS (SELECT run, seq, seq * 3 + total_ms AS ms, seq // 9 AS calls FROM br), de AS (SELECT run, seq, ms - coalesce(lag(ms) OVER w, 0) AS delta_ms, calls - coalesce(lag(calls) OVER w, 0) AS delta_calls FROM cu WINDOW w AS (PARTITION BY run ORDER BY seq))", "SELECT * FROM de WHERE delta_calls > 0")
 def counter_deltas(spark, sf_dir):
-    over = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = inputs.bench_rows(spark, sf_dir)
-    calls = F.when(F.col("lines") % 3 == 0, 0).otherwise(F.col("lines"))
-    return evaluate.counter_deltas(rows.select("run", "seq", F.sum("total_ms").over(over).alias("ms"), F.sum(calls).over(over).alias("calls")), ["run"], "seq")
+    snapshots = rows.select("run", "seq", (F.col("seq") * 3 + F.col("total_ms")).alias("ms"), F.floor(F.col("seq") / 9).alias("calls"))
+    return evaluate.counter_deltas(snapshots, ["run"], "seq")
 
 
 @query("run:s seq:i peak:d", inputs.BENCH, "SELECT run, seq, max(working_set_mb) OVER (PARTITION BY run ORDER BY seq ROWS UNBOUNDED PRECEDING) AS peak FROM br")
@@ -402,11 +425,11 @@ def _stage_rows(spark, sf_dir):
     return inputs.load(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.create_map(key, F.col("value")).alias("stage_ms"), F.create_map(key, F.col("event_id") % 4).alias("stage_calls"))
 
 
-@query("run:s rows:i first_file:s mean:d", f"{inputs.BENCH.strip()}", """SELECT run, count(*) AS rows, arg_min(file, seq) AS first_file, avg(total_ms) AS mean FROM br GROUP BY run""")
+@query("run:s part:i rows:i first_file:s mean:d", f"{inputs.BENCH.strip()}, av AS (SELECT run, avg(total_ms) AS mean FROM br GROUP BY run)", """SELECT run, seq // 1000 AS part, count(*) AS rows, arg_min(file, seq) AS first_file, any_value(mean) AS mean FROM br JOIN av USING (run) GROUP BY ALL""")
 def result_documents(spark, sf_dir):
     rows = inputs.bench_rows(spark, sf_dir)
-    document = evaluate.result_document(rows.select("run").distinct().withColumn("rid", F.lit("x")), evaluate.stats(rows, ["run"], "total_ms"), rows)
-    return document.select("run", F.size("rows").alias("rows"), F.col("rows")[0]["file"].alias("first_file"), F.col("summary.mean").alias("mean"))
+    document = evaluate.result_document(rows.select("run").distinct().withColumn("rid", F.lit("x")), evaluate.stats(rows, ["run"], "total_ms"), rows, most=1000)
+    return document.select("run", "part", F.size("rows").alias("rows"), F.col("rows")[0]["file"].alias("first_file"), F.col("summary.mean").alias("mean"))
 
 
 # --- accuracy
@@ -436,11 +459,11 @@ def accuracy_measured_only(spark, sf_dir):
     return evaluate.measured_accuracy(evaluate.line_errors(truth, inputs.predicted_lines(spark, sf_dir)), rows)
 
 
-@query("image:i mode:s", f"{inputs.BOXES.strip()}, tm AS (SELECT image, max((x1 > x0 AND image % 5 <> 0)::INT) AS t FROM gt WHERE image % 3 <> 0 GROUP BY image), pm AS (SELECT image, max((image % 7 <> 0)::INT) AS p FROM pr WHERE image % 4 <> 0 GROUP BY image)", """
+@query("image:i mode:s", f"{inputs.BOXES.strip()}, tm AS (SELECT image, max((x1 > x0 AND image % 5 <> 0)::INT) AS t FROM gt GROUP BY image), pm AS (SELECT image, max((image % 7 <> 0)::INT) AS p FROM pr GROUP BY image)", """
 SELECT coalesce(tm.image, pm.image) AS image, CASE WHEN t IS NULL OR p IS NULL THEN 'none' WHEN t = 1 AND p = 1 THEN 'boxes' ELSE 'text' END AS mode FROM tm FULL JOIN pm ON tm.image = pm.image""")
 def match_modes(spark, sf_dir):
-    t = inputs.truth_boxes(spark, sf_dir).filter("image % 3 <> 0").withColumn("x1", F.when(F.col("image") % 5 == 0, F.col("x0")).otherwise(F.col("x1")))
-    p = inputs.predicted_boxes(spark, sf_dir).filter("image % 4 <> 0").withColumn("x0", F.when(F.col("image") % 7 != 0, F.col("x0")))
+    t = inputs.truth_boxes(spark, sf_dir).withColumn("x1", F.when(F.col("image") % 5 == 0, F.col("x0")).otherwise(F.col("x1")))
+    p = inputs.predicted_boxes(spark, sf_dir).withColumn("x0", F.when(F.col("image") % 7 != 0, F.col("x0")))
     return evaluate.match_modes(t, p)
 
 
@@ -467,16 +490,30 @@ def case_rollup(spark, sf_dir):
     return report.case_rollup(inputs.runs(spark, sf_dir))
 
 
-@query("key:s position:i click:s view:s", "pv AS (SELECT 'k' || (event_id % 40) AS key, avg(value * 1.00013::DOUBLE) FILTER (event_type = 'click') AS c, avg(value * 1.00013::DOUBLE) FILTER (event_type = 'view' AND event_id % 3 = 0) AS v FROM events WHERE event_type = 'click' OR (event_type = 'view' AND event_id % 3 = 0) GROUP BY 1)", "SELECT key, 12 AS position, coalesce(printf('%.2f', c), '-') AS click, coalesce(printf('%.2f', v), '-') AS view FROM pv")
+_KINDS = ["click", "error", "purchase", "signup", "view"]
+_CELLS = ", ".join(f"coalesce(printf('%.2f', avg(value * 1.00013::DOUBLE) FILTER (event_type = '{k}')), '-') AS {k}" for k in _KINDS)
+_STAGE = "CASE event_id % 40 WHEN 0 THEN 'crop' WHEN 1 THEN 'det_graph' WHEN 2 THEN 'rec_graph' ELSE 'k' || (event_id % 40) END"
+
+
+def _keyed(spark, sf_dir):
+    k = F.col("event_id") % 40
+    key = F.when(k == 0, "crop").when(k == 1, "det_graph").when(k == 2, "rec_graph").otherwise(F.concat(F.lit("k"), k.cast("string")))
+    return inputs.load(spark, sf_dir, "events").select(key.alias("key"), F.col("event_type").alias("run"), (F.col("value") * 1.00013).alias("value"))
+
+
+@query("key:s position:i click:s error:s purchase:s signup:s view:s", "", f"SELECT {_STAGE} AS key, CASE {_STAGE} WHEN 'det_graph' THEN 2 WHEN 'crop' THEN 5 WHEN 'rec_graph' THEN 10 ELSE 12 END AS position, {_CELLS} FROM events GROUP BY 1, 2")
 def compare_runs(spark, sf_dir):
-    e = inputs.load(spark, sf_dir, "events").filter("event_type = 'click' or (event_type = 'view' and event_id % 3 = 0)")
-    rows = e.select(F.concat(F.lit("k"), (F.col("event_id") % 40).cast("string")).alias("key"), F.col("event_type").alias("run"), (F.col("value") * 1.00013).alias("value"))
-    return report.compare(rows, ["click", "view"])
+    return report.compare(_keyed(spark, sf_dir), _KINDS)
 
 
-@query("key:s", "", "SELECT DISTINCT 'k' || (event_id % 40) AS key FROM events")
+@query("key:s position:i", f"ks AS (SELECT DISTINCT {_STAGE} AS key FROM events)", "SELECT key, row_number() OVER (ORDER BY CASE key WHEN 'det_graph' THEN 2 WHEN 'crop' THEN 5 WHEN 'rec_graph' THEN 10 ELSE 12 END, key) AS position FROM ks")
 def key_union(spark, sf_dir):
-    return report.key_union(inputs.load(spark, sf_dir, "events").select(F.concat(F.lit("k"), (F.col("event_id") % 40).cast("string")).alias("key")))
+    return report.key_union(_keyed(spark, sf_dir))
+
+
+@query("run:i bench:i smoke:i", inputs.RUNS_TABLE, "SELECT run, row_number() OVER (ORDER BY replica, case_id, label) AS bench, row_number() OVER (ORDER BY rid, case_id, label) AS smoke FROM rn")
+def report_orders(spark, sf_dir):
+    return report.with_places(inputs.runs(spark, sf_dir), {"bench": report.RUN_ORDER, "smoke": report.SMOKE_ORDER})
 
 
 _LABEL = f"""{inputs.RUNS_TABLE.strip()}, sd AS (SELECT *, CASE WHEN contains(lower(library), 'netstandard') THEN 'ns2' WHEN hwintrinsic = '0' THEN 'scalar' WHEN avx = '0' THEN 'noavx' WHEN avx2 = '0' THEN 'noavx2' WHEN avx512 = '0' THEN 'noavx512' ELSE '' END AS simd FROM rn)"""
@@ -504,37 +541,31 @@ def report_format(spark, sf_dir):
 # --- text
 
 @query("page:i text:s hash:s", """
-ln AS (SELECT conv_id AS page, string_agg(substr(regexp_replace(text, '[^ -~]', '?', 'g'), 1, 32), chr(10) ORDER BY turn) AS text, string_agg(substr(regexp_replace(text, '[^ -~]', '?', 'g'), 1, 32) || '~', '' ORDER BY turn) AS packed FROM conversations GROUP BY conv_id),
-hs AS (SELECT page, text, list_reduce(list_transform(range(1, length(packed) + 1), lambda i: ascii(substr(packed, i, 1))::HUGEINT), lambda h, b: (xor(h, CASE WHEN b = 126 THEN 0::HUGEINT ELSE b END) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT) AS h FROM ln)""", """
+ln AS (SELECT conv_id AS page, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text, hex(encode(string_agg(coalesce(text, '') || chr(0), '' ORDER BY turn))) AS packed FROM conversations GROUP BY conv_id),
+hs AS (SELECT page, text, list_reduce(list_transform(range(1, length(packed), 2), lambda i: ('0x' || substr(packed, i, 2))::HUGEINT), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT) AS h FROM ln)""", """
 SELECT page, text, lower(lpad(hex((h // 4294967296)::BIGINT), 8, '0')) || lower(lpad(hex((h % 4294967296)::BIGINT), 8, '0')) AS hash FROM hs""")
 def packed_text_hash(spark, sf_dir):
     c = inputs.load(spark, sf_dir, "conversations")
-    short = F.replace(F.substring(fmt.ascii_fold(F.col("text")), 1, 32), F.lit("~"), F.lit("\x00"))
-    lines = c.select(F.col("conv_id").alias("page"), F.col("turn").alias("line_no"), short.alias("text"))
-    return fmt.page_text(lines).select("page", F.replace("text", F.lit("\x00"), F.lit("~")).alias("text"), fmt.fnv1a_hex("packed_text").alias("hash"))
+    lines = c.select(F.col("conv_id").alias("page"), F.col("turn").alias("line_no"), "text")
+    return fmt.page_text(lines).select("page", "text", fmt.fnv1a_hex("packed_text").alias("hash"))
 
 
-@query("item:i best:i", """
-t AS (SELECT item_id, substr(regexp_replace(text, '[^ -~]', '?', 'g'), 1, 32) AS s FROM benchmark)""", "SELECT a.item_id AS item, min(levenshtein(a.s, b.s)) AS best FROM t a JOIN t b ON a.item_id % 8 = b.item_id % 8 AND a.item_id <> b.item_id GROUP BY 1")
+@query("page:i line:i distance:i", """
+f AS (SELECT conv_id AS page, turn AS line, regexp_replace(coalesce(text, ''), '[^ -~]', '?', 'g') AS t FROM conversations),
+w AS (SELECT *, lag(t) OVER (PARTITION BY page ORDER BY line) AS b FROM f)""", "SELECT page, line, levenshtein(t, b) AS distance FROM w WHERE b IS NOT NULL")
 def edit_distance(spark, sf_dir):
-    t = inputs.load(spark, sf_dir, "benchmark").select("item_id", F.substring(fmt.ascii_fold(F.col("text")), 1, 32).alias("s"), (F.col("item_id") % 8).alias("k"))
-    o = t.select(F.col("item_id").alias("o"), F.col("s").alias("os"), "k")
-    return t.join(o, "k").filter("item_id <> o").groupBy(F.col("item_id").alias("item")).agg(F.min(F.levenshtein("s", "os")).alias("best"))
-
-
-@query("page:i text:s hash:s")
-def packed_text_hash_whole(spark, sf_dir):
-    """packed_text_hash() is held to its SQL's 32 characters of each text; this one joins and hashes the whole texts as they are."""
+    """Each turn's whole text against the turn before; folded to ASCII, as the other engine counts bytes."""
     c = inputs.load(spark, sf_dir, "conversations")
-    lines = c.select(F.col("conv_id").alias("page"), F.col("turn").alias("line_no"), "text")
-    return fmt.page_text(lines).select("page", "text", fmt.fnv1a_hex("packed_text").alias("hash"))
+    turns = c.select(F.col("conv_id").alias("page"), F.col("turn").alias("line"), fmt.ascii_fold(F.coalesce("text", F.lit(""))).alias("t"))
+    before = turns.withColumn("b", F.lag("t").over(Window.partitionBy("page").orderBy("line"))).filter("b is not null")
+    return before.select("page", "line", F.levenshtein(fmt.utf16_units(F.col("t")), fmt.utf16_units(F.col("b"))).alias("distance"))
 
 
-@query("item:i best:i")
-def edit_distance_whole(spark, sf_dir):
-    """edit_distance() is held to its SQL's 32 characters and eighth of the partners; this one compares whole texts with those of all other rows."""
-    rows = inputs.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), "text")
-    return evaluate.nearest_texts(rows)
+@query("item:i best:i", "t AS (SELECT item_id, regexp_replace(text, '[^ -~]', '?', 'g') AS s FROM benchmark)", "SELECT a.item_id AS item, min(levenshtein(a.s, b.s)) AS best FROM t a JOIN t b ON a.item_id <> b.item_id WHERE a.item_id % 50 = 0 GROUP BY 1")
+def nearest_texts(spark, sf_dir):
+    """Every row whose id is divisible by 50, against all rows."""
+    rows = inputs.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), fmt.ascii_fold(F.col("text")).alias("text"))
+    return evaluate.nearest_texts(rows, F.col("item") % 50 == 0)
 
 
 # --- pixels
@@ -590,11 +621,17 @@ def distinct_fonts(spark, sf_dir):
     return distinct(inputs.load(spark, sf_dir, "part").select(F.when(F.col("p_size") % 2 == 0, F.lower("p_brand")).otherwise(F.col("p_brand")).alias("font")))
 
 
-@query("file:s line:i text:s x0:i y0:i x1:i y1:i cls_degrees:i")
-def generated_truth(spark, sf_dir):
-    from glyphlake.sources.generate import pages
+_FREE = f"""{inputs.BOXES.strip()},
+listed AS (SELECT image AS page, list([{{'n': line::BIGINT, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] ORDER BY line) AS l FROM gt GROUP BY image),
+kept AS (SELECT page, unnest(list_reduce(l, lambda s, e: CASE WHEN len(list_filter(s, lambda t: greatest(0, e[1].x0 - 2) < t.x1 AND t.x0 < least(460, e[1].x1 + 2) AND greatest(0, e[1].y0 - 2) < t.y1 AND t.y0 < least(1000, e[1].y1 + 2))) = 0 THEN s || e ELSE s END, [])) AS t FROM listed)"""
 
-    return pages(spark, 100)
+
+@query("page:i line:i x0:d y0:d x1:d y1:d", _FREE, "SELECT page, t.n AS line, t.x0 AS x0, t.y0 AS y0, t.x1 AS x1, t.y1 AS y1 FROM kept")
+def free_rectangles(spark, sf_dir):
+    from glyphlake.sources.generate import free_boxes
+
+    boxes = inputs.truth_boxes(spark, sf_dir).withColumnRenamed("image", "page")
+    return free_boxes(boxes, 460, 1000)
 
 
 _BACK = f"""{inputs.PIXELS.strip()},
@@ -619,22 +656,119 @@ def ink_colors(spark, sf_dir):
     return evaluate.ink_color(px, evaluate.background_color(px, ["image"]), ["image"])
 
 
-@query("page:i line_no:i x1:d y1:d x2:d y2:d x3:d y3:d x4:d y4:d score:d")
+# --- pages
+
+# A bar of 0.9 is found as its rectangle, grown on all sides by area x ratio / perimeter, rounded and scaled by two.
+_BARS = """
+br AS (SELECT vec_id AS page, unnest([0, 1, 2]) AS line_no, label + 2 AS l, 30 + vec_id % 7 AS r FROM embeddings),
+gr AS (SELECT *, 3 + 13 * line_no AS t, 8 + 13 * line_no AS b, (r - l) * 5 * 1.4::DOUBLE / (2 * (r - l + 5)) AS d FROM br),
+bx AS (SELECT page, line_no, greatest(0, 2 * round(l - d)) AS x0, least(80, 2 * round(r + d)) AS x1, greatest(0, 2 * round(t - d)) AS y0, least(80, 2 * round(b + d)) AS y1 FROM gr)"""
+
+
+@query("page:i line_no:i x1:d y1:d x2:d y2:d x3:d y3:d x4:d y4:d score:d", _BARS, "SELECT page, line_no, x0 AS x1, y0 AS y1, x1 AS x2, y0 AS y2, x1 AS x3, y1 AS y3, x0 AS x4, y1 AS y4, 0.9::FLOAT AS score FROM bx")
 def detect_boxes(spark, sf_dir):
-    """Maps of 40 x 40 with a few bright bars each, placed by the vectors' labels."""
-    e = inputs.page_labels(spark, sf_dir)
-    cell = lambda k: F.when((F.floor(k / 40) % 13 >= 3) & (F.floor(k / 40) % 13 < 9) & (k % 40 >= F.col("label") + 2) & (k % 40 < 34), 0.9).otherwise(0.05).cast("float")
-    maps = e.select("page", F.lit(80).alias("width"), F.lit(80).alias("height"), F.lit(40).alias("map_width"), F.lit(40).alias("map_height"), F.transform(F.sequence(F.lit(0), F.lit(1599)), cell).alias("probability"))
-    return dbpost.detect(maps)
+    return dbpost.detect(inputs.vector_maps(spark, sf_dir))
+
+
+@query("page:i line_no:i text:s score:d rotation:i")
+def recognise_pages(spark, sf_dir):
+    """Pages of two bars through stub models; tested against plain Python."""
+    return models.recognise(models.synthetic_pages(inputs.page_labels(spark, sf_dir)), models.StubModels())
+
+
+def _pixel_sql(width: str, height: str, full_width: str, full_height: int, pad: str, table: str = "nation", key: str = "n_nationkey") -> str:
+    """The pixel behind each value of a tensor of planes, ``pad`` beyond the page."""
+    return f"""
+SELECT page, c AS channel, y, x, CASE WHEN x < w AND y < h THEN (7 * ((y * w + x) * 3 + c) + 3 * page) % 256 ELSE {pad} END AS pixel
+FROM (SELECT {key}::BIGINT AS page, {width} AS w, {height} AS h, {full_width} AS fw FROM {table}), (SELECT unnest(range(0, 3)) AS c), (SELECT unnest(range(0, {full_height})) AS y), (SELECT unnest(range(0, 160)) AS x) WHERE x < fw"""
+
+
+def _pixels_of(tensors, back):
+    """(page, channel, y, x, pixel): ``back`` takes a value and its channel to the pixel."""
+    flat = tensors.select("page", "height", "width", F.posexplode("values").alias("i", "v"))
+    area = F.col("height") * F.col("width")
+    channel = F.floor(F.col("i") / area).cast("int")
+    return flat.select("page", channel.alias("channel"), (F.floor(F.col("i") / F.col("width")) % F.col("height")).alias("y"), (F.col("i") % F.col("width")).alias("x"), F.rint(back(F.col("v").cast("double"), channel)).alias("pixel"))
+
+
+@query("page:i channel:i y:i x:i pixel:i", "", _pixel_sql("CASE WHEN n_nationkey % 2 = 0 THEN 32 ELSE 20 END", "CASE WHEN n_nationkey % 2 = 0 THEN 32 ELSE 11 END", "32", 32, "0"))
+def detector_pixels(spark, sf_dir):
+    """Detector inputs of pages that need no scaling, the odd ones tiny and padded."""
+    pick = lambda a, b: lambda page: F.when(page % 2 == 0, a).otherwise(b)
+    pages = inputs.patterns(spark, sf_dir, pick(32, 20), pick(32, 11))
+    of = lambda values, c: F.element_at(F.array(*map(F.lit, values)), c + 1)
+    return _pixels_of(imageops.model_inputs(pages, imageops.detector_input), lambda v, c: (v * of(imageops.DEVIATION, c) + of(imageops.MEAN, c)) * 255)
+
+
+@query("page:i channel:i y:i x:i pixel:i", "", _pixel_sql("40 + 25 * r_regionkey", "80", "160", 80, "0", "region", "r_regionkey"))
+def classifier_pixels(spark, sf_dir):
+    """Classifier inputs of lines as high as it takes them; beyond the line values are -1, as of black."""
+    pages = inputs.patterns(spark, sf_dir, lambda page: page * 25 + 40, lambda page: F.lit(80), "region", "r_regionkey")
+    return _pixels_of(imageops.model_inputs(pages, imageops.classifier_input), lambda v, c: (v + 1) * 127.5)
+
+
+@query("page:i channel:i y:i x:i pixel:i", "", _pixel_sql("5 + 4 * n_nationkey", "48", "((5 + 4 * n_nationkey + 31) // 32) * 32", 48, "128"))
+def recogniser_pixels(spark, sf_dir):
+    """Recogniser inputs of lines as high as it takes them; beyond the line values are 0, of which half a pixel is rounded up to 128."""
+    pages = inputs.patterns(spark, sf_dir, lambda page: page * 4 + 5, lambda page: F.lit(48))
+
+    def prepare(image):
+        return imageops.recogniser_input(image, -(-image.shape[1] // 32) * 32)
+
+    return _pixels_of(imageops.model_inputs(pages, prepare), lambda v, c: F.when(v == 0, 128).otherwise((v + 1) * 127.5))
+
+
+@query("page:i label:i score:d degrees:i", "", "SELECT n_nationkey AS page, (3 * n_nationkey) // 20 AS label, 0.7 AS score, 90 * ((3 * n_nationkey) // 20) AS degrees FROM nation")
+def orientation_pages(spark, sf_dir):
+    """A stand-in classifier that reads the class from the level of pages of one colour."""
+    n = inputs.load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page"))
+    data = F.unhex(F.repeat(F.lpad(F.hex(F.col("page") * 3), 2, "0"), F.lit(3 * 30 * 40)))
+    pages = n.select("page", F.lit(30).alias("width"), F.lit(40).alias("height"), F.lit(0).alias("stride"), F.lit(0).alias("pixel_format"), data.alias("data"))
+
+    def classify(tensor):
+        level = round(float(tensor[0].mean() * imageops.DEVIATION[0] + imageops.MEAN[0]) * 255)
+        return [0.7 if k == level // 20 else 0.1 for k in range(4)]
+
+    return models.page_orientation(pages, classify)
+
+
+# --- files
+
+@query("run:s position:i file:s total_ms:d crop:d op:d", f"""{inputs.BENCH.strip()}, nb AS (SELECT *, row_number() OVER (PARTITION BY run, seq // 1000 ORDER BY seq) - 1 AS position FROM br)""", """
+SELECT run, position, file, total_ms, total_ms / 2 AS crop, total_ms AS op FROM nb""")
+def result_files(spark, sf_dir):
+    """Result documents written as JSON files and scanned again; operator times are numbers or objects."""
+    rows = inputs.bench_rows(spark, sf_dir).drop("conv_class_ms")
+    mixed = F.transform_values("operator_ms", lambda k, v: F.struct(v.alias("ms"), F.lit(1).alias("calls")))
+    rows = rows.withColumn("operator_ms", mixed)
+    document = evaluate.result_document(rows.select("run").distinct().withColumn("rid", F.col("run")), evaluate.stats(rows, ["run"], "total_ms"), rows, most=1000)
+    folder = store.scratch(spark)
+    bench.write_results(document.select("meta", "summary", "rows"), folder)
+    found = bench.meta_columns(bench.read_results(spark, folder))
+    return found.select(F.col("rid").alias("run"), F.col("seq").alias("position"), "row.file", "row.total_ms", F.col("row.stage_ms")["crop"].alias("crop"), evaluate.metric_value(F.element_at(F.map_values("row.operator_ms"), 1)).alias("op"))
+
+
+def _truth_files(spark, sf_dir, degrees):
+    """Ground truth of the order lines as JSON files of a thousand pages each."""
+    b = inputs.truth_boxes(spark, sf_dir)
+    line = F.struct(F.concat(F.lit("t"), F.col("line").cast("string")).alias("text"), F.array(*(F.col(c).cast("int") for c in ("x0", "y0", "x1", "y1"))).alias("bbox"), degrees.alias("cls_degrees"))
+    pages = b.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("line", line.alias("l")))).alias("v"))
+    image = F.struct(F.concat(F.lit("IMG-"), F.col("image").cast("string")).alias("file"), F.lit(460).alias("width"), F.lit(1000).alias("height"), F.transform("v", lambda x: x["l"]).alias("lines"))
+    files = pages.groupBy(F.floor(F.col("image") / 1000).alias("k")).agg(F.collect_list(image).alias("images")).select(F.lit(1).alias("version"), "images")
+    folder = store.scratch(spark)
+    files.write.option("maxRecordsPerFile", 1).json(folder)
+    return folder
+
 
+_TRUTH = "SELECT 'img-' || image AS file, row_number() OVER (PARTITION BY image ORDER BY line) - 1 AS line, 't' || line AS text, x0::INT AS x0, y0::INT AS y0, x1::INT AS x1, y1::INT AS y1, {0} AS cls_degrees FROM gt"
 
-def register_models() -> None:
-    from glyphlake.operators import models
 
-    @query("page:i line_no:i text:s score:d rotation:i")
-    def recognise_pages(spark, sf_dir):
-        pages = models.synthetic_pages(inputs.page_labels(spark, sf_dir))
-        return models.recognise(pages, models.StubModels())
+@query("file:s line:i text:s x0:i y0:i x1:i y1:i cls_degrees:i", inputs.BOXES, _TRUTH.format("cls_degrees"))
+def truth_files(spark, sf_dir):
+    return bench.read_truth(spark, _truth_files(spark, sf_dir, F.col("cls_degrees")))
 
 
-register_models()
+@query("file:s line:i text:s x0:i y0:i x1:i y1:i cls_degrees:i", inputs.BOXES, _TRUTH.format("CASE WHEN line % 2 = 0 THEN cls_degrees ELSE 0 END"))
+def truth_files_lenient(spark, sf_dir):
+    """Degrees are missing in every other line."""
+    return bench.read_truth(spark, _truth_files(spark, sf_dir, F.when(F.col("line") % 2 == 0, F.col("cls_degrees"))), lenient=True)

@@ -55,8 +55,8 @@ def meta_columns(results: DataFrame) -> DataFrame:
 
 
 def write_results(document: DataFrame, path: str) -> None:
-    """Result documents (meta, summary, rows) as JSON lines."""
-    document.write.mode("overwrite").json(path)
+    """Result documents (meta, summary, rows), each a JSON file of its own."""
+    document.write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def read_truth(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
@@ -90,23 +90,64 @@ def dictionary_table(spark: SparkSession, labels: list[str]) -> DataFrame:
     return spark.createDataFrame([(0, ""), *enumerate([*labels, " "], 1)], "cls int, label string")
 
 
-def scan_images(spark: SparkSession, folder: str, numbered: bool = True, count: int | None = None) -> DataFrame:
-    """Image files of a folder by name without case: ``img-*.jpg``, or any ``*.jpg``; ``count`` is a limit on the ordered list."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "img-*.jpg" if numbered else "*.jpg").load(folder)
-    ordered = files.orderBy(F.lower("path"), "path")
+#: Pages of the generated set, and the file that tells it from other folders.
+GENERATED, METADATA = 100, "metadata.json"
+
+
+def scan_images(spark: SparkSession, folder: str, count: int | None = None) -> DataFrame:
+    """Image files of a folder by name without case; ``count`` is a limit on the ordered list.
+
+    A folder with metadata.json is a generated set: its ``img-*.jpg`` must be
+    100. Of any other folder it's all ``*.jpg``; none is an error.
+    """
+    files = spark.read.format("binaryFile").load(folder).select("path", "modificationTime", "length")
+    name = F.element_at(F.split("path", "/"), -1)
+    found = files.select(name.alias("name")).filter(F.lower("name").endswith(".jpg") | (F.col("name") == METADATA))
+    generated, numbered, pictures = found.agg(
+        F.count(F.when(F.col("name") == METADATA, 1)), F.count(F.when(F.col("name").like("img-%.jpg"), 1)), F.count(F.when(F.col("name").like("%.jpg"), 1))
+    ).first()
+    if generated and numbered != GENERATED:
+        raise ValueError(f"a generated set has {GENERATED} pages, not {numbered}")
+    if not pictures:
+        raise FileNotFoundError(f"no *.jpg in {folder}")
+    images = spark.read.format("binaryFile").option("pathGlobFilter", "img-*.jpg" if generated else "*.jpg").load(folder)
+    ordered = images.orderBy(F.lower("path"), "path")
     return ordered if count is None else ordered.limit(count)
 
 
 def decode_images(spark: SparkSession, folder: str) -> DataFrame:
-    """Packed BGR pixels of images, without EXIF rotation."""
-    i = "image"
-    images = spark.read.format("image").option("dropInvalid", True).load(folder)
-    return images.select(F.col(f"{i}.origin").alias("path"), F.col(f"{i}.width").alias("width"), F.col(f"{i}.height").alias("height"), (F.col(f"{i}.width") * F.col(f"{i}.nChannels")).alias("stride"), F.col(f"{i}.data").alias("data"))
+    """(page, path, width, height, stride, pixel_format, data) of images, packed BGR, without EXIF rotation; read_lines() takes them.
+
+    Pages are numbered by path's hash. Grey images, one channel, become three
+    equal ones; four channels are BGRA; others are an error.
+    """
+    images = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
+    channels = F.col("nChannels")
+    kind = F.when(channels.isin(1, 3), 0).when(channels == 4, 2).otherwise(F.raise_error(F.concat(F.lit("an image of channels: "), channels.cast("string"))).cast("int"))
+    grey = F.unhex(F.regexp_replace(F.hex("data"), "(..)", "$1$1$1"))
+    stride = F.col("width") * F.when(channels == 1, 3).otherwise(channels)
+    return images.select(F.xxhash64("origin").alias("page"), F.col("origin").alias("path"), "width", "height", stride.alias("stride"), kind.alias("pixel_format"), F.when(channels == 1, grey).otherwise(F.col("data")).alias("data"))
 
 
 def response_json(pages: DataFrame) -> DataFrame:
-    """A JSON answer for each page: its size and lines."""
-    return pages.select(F.to_json(F.struct(*pages.columns)).alias("json"))
+    """A JSON answer for each page (text, model, elapsed struct<decode,ocr,total>, lines) of recognised lines.
+
+    ``lines``: an array of structs with text, score, x1 ... y4, box_score,
+    label_score, rotation and, where characters were asked for, ``characters``
+    of (text, score, x1 ... y4); left out where null.
+    """
+    corners = lambda x: F.array(*(F.array(x[f"x{k}"], x[f"y{k}"]) for k in range(1, 5)))
+    kind = pages.schema["lines"].dataType.elementType
+    sign = lambda c: F.struct(c["text"].alias("text"), c["score"].alias("score"), corners(c).alias("box"))
+
+    def line(x: Column) -> Column:
+        shown = {"text": x["text"], "recognitionScore": x["score"], "box": corners(x), "detectionScore": x["box_score"], "classificationScore": x["label_score"], "appliedRotationDegrees": x["rotation"]}
+        if "characters" in kind.names:
+            shown["characters"] = F.transform(x["characters"], sign)
+        return F.struct(*(v.alias(k) for k, v in shown.items()))
+
+    answer = F.struct(F.col("text").alias("text"), F.size("lines").alias("detectedCount"), F.col("model").alias("model"), F.col("elapsed").alias("elapsedMs"), F.transform("lines", line).alias("lines"))
+    return pages.select(F.to_json(answer).alias("json"))
 
 
 def check_request(length: int, width: int, height: int, model: str) -> None:

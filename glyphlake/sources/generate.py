@@ -25,6 +25,21 @@ def placed(box: tuple[int, int, int, int], taken: list[tuple[int, int, int, int]
     return not any(overlaps(wide, t) for t in taken)
 
 
+def free_boxes(boxes: DataFrame, width: int, height: int, page: str = "page", line: str = "line", pad: int = 2) -> DataFrame:
+    """Boxes (page, line, x0, y0, x1, y1) that placed() takes when those of a page come in order of line; one row each."""
+    sides = ("x0", "y0", "x1", "y1")
+    listed = boxes.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(F.col(line).alias("line"), *sides))).alias("_all"))
+    empty = F.expr(f"cast(array() as {listed.schema['_all'].dataType.simpleString()})")
+    low, high = lambda v: F.greatest(F.lit(0), v - pad), lambda v, most: F.least(F.lit(most), v + pad)
+
+    def take(taken, b):
+        meets = F.exists(taken, lambda t: (low(b["x0"]) < t["x1"]) & (t["x0"] < high(b["x1"], width)) & (low(b["y0"]) < t["y1"]) & (t["y0"] < high(b["y1"], height)))
+        return F.when(meets, taken).otherwise(F.concat(taken, F.array(b)))
+
+    kept = listed.select(page, F.explode(F.aggregate("_all", empty, take)).alias("_b"))
+    return kept.select(page, F.col("_b.line").alias(line), *(F.col(f"_b.{c}").alias(c) for c in sides))
+
+
 def cls_degrees(orientation: int) -> int:
     return {0: 0, 180: 180, -180: 180, 90: 180, -90: 0, 270: 0}[orientation]
 

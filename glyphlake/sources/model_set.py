@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import tempfile
+from dataclasses import dataclass, replace
 from enum import Enum
 from functools import lru_cache
+from io import BytesIO
 from pathlib import Path
 from typing import BinaryIO, Protocol
 
@@ -67,23 +70,50 @@ def from_paths(detector: str, recogniser: str, dictionary: str, classifier: str
     return OnnxModels(detector, recogniser, tuple(parse_dictionary(Path(dictionary).read_bytes())), classifier)
 
 
-def from_bundle(bundle: Bundle, folder: str) -> OnnxModels:
-    """Writes a bundle's models below ``folder`` (shared, or shipped with addFile) and loads them."""
-    names = {}
-    for slot in ("detection", "recognition", "dictionary", "classification"):
-        provider = getattr(bundle, slot)
-        if provider is not None:
-            names[slot] = str(Path(folder, f"{slot}.bin"))
-            with provider.open() as source:
-                Path(names[slot]).write_bytes(source.read())
-    return from_paths(names["detection"], names["recognition"], names["dictionary"], names.get("classification"))
+def from_streams(detector: BinaryIO, recogniser: BinaryIO, dictionary: BinaryIO, classifier: BinaryIO | None = None, folder: str | None = None) -> OnnxModels:
+    """Models read from open streams, which stay open and are the caller's to close; see from_bundle()."""
 
+    @dataclass(frozen=True)
+    class Given:
+        kind: Kind
+        stream: BinaryIO
 
-def ship(spark, models: OnnxModels) -> None:
-    """Sends the model files along with the application."""
+        def open(self) -> BinaryIO:
+            return BytesIO(self.stream.read())
+
+    parts = [Given(k, x) for k, x in zip((Kind.DETECTION, Kind.RECOGNITION, Kind.DICTIONARY), (detector, recogniser, dictionary))]
+    return from_bundle(Bundle(*parts, Given(Kind.CLASSIFICATION, classifier) if classifier else None), folder)
+
+
+def from_bundle(bundle: Bundle, folder: str | None = None) -> OnnxModels:
+    """Writes a bundle's models below ``folder``, a new temporary one by default, and loads them there.
+
+    Files have names of their own, so that several sets can be sent: ship()
+    takes them to the executors. A set that fails to load leaves no file.
+    """
+    base = Path(folder or tempfile.mkdtemp(prefix="glyphlake-models-"))
+    names: dict[str, str] = {}
+    try:
+        for slot in ("detection", "recognition", "dictionary", "classification"):
+            provider = getattr(bundle, slot)
+            if provider is not None:
+                with provider.open() as source:
+                    data = source.read()
+                names[slot] = str(base / f"{slot}-{hashlib.sha256(data).hexdigest()[:16]}.bin")
+                Path(names[slot]).write_bytes(data)
+        return from_paths(names["detection"], names["recognition"], names["dictionary"], names.get("classification"))
+    except Exception:
+        for name in names.values():
+            Path(name).unlink(missing_ok=True)
+        raise
+
+
+def ship(spark, models: OnnxModels) -> OnnxModels:
+    """Sends the model files along with the application; returns the models as every machine finds them."""
     for path in (models.detector, models.recogniser, models.classifier):
         if path:
             spark.sparkContext.addFile(path)
+    return replace(models, shipped=True)
 
 
 def normalized(name: str | None) -> str:

@@ -172,6 +172,105 @@ def test_unclip_of_a_box():
     assert grown[:, 0].min() == round(10 - d) and grown[:, 1].max() == round(30 + d)
 
 
+def inside(p, polygon):
+    """Whether a point is in a convex polygon, in either direction."""
+    turns = [(b - a)[0] * (p - a)[1] - (b - a)[1] * (p - a)[0] for a, b in zip(polygon, np.roll(polygon, -1, 0))]
+    return min(turns) >= -1e-9 or max(turns) <= 1e-9
+
+
+@pytest.mark.parametrize("d", [0.2, 1.0, 6.3, 47.0])
+def test_offset_is_the_polygon_and_a_disc(d):
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        x, y, w, h = rng.integers(0, 400, 4) + [0, 0, 60, 12]
+        angle = rng.uniform(0, 2 * np.pi)
+        turn = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+        box = np.rint(np.array([[0, 0], [w, 0], [w, h], [0, h]]) @ turn.T + [x, y])
+        if rng.random() < 0.5:
+            box = box[::-1]
+        grown = dbpost.offset(box, d)
+        assert (grown == np.rint(grown)).all()
+        # Every vertex is about d away from the box, and so is every point on the way.
+        for p in np.concatenate([grown, (grown + np.roll(grown, -1, 0)) / 2]):
+            edges = [(a, b) for a, b in zip(box, np.roll(box, -1, 0))]
+            gap = min(np.linalg.norm(p - (a + np.clip(np.dot(p - a, b - a) / max(1e-9, np.dot(b - a, b - a)), 0, 1) * (b - a))) for a, b in edges)
+            assert abs(gap - d) < 1.3
+        assert all(inside(c, grown) for c in box) or d < 2  # rounding may dent a narrow rim
+
+
+def test_offset_of_few_corners_and_of_repeats():
+    assert len(dbpost.offset(np.array([[0, 0], [5, 0], [5, 0], [0.2, 0.1]]), 3)) == 0
+    square = np.array([[0, 0], [10, 0], [10, 10], [0, 10]], float)
+    assert (dbpost.offset(np.concatenate([square, square[:1]]), 3) == dbpost.offset(square, 3)).all()
+    assert dbpost.whole(np.array([-2.5, -0.4, 0.5, 1.5])).tolist() == [-3, 0, 1, 2]
+    dent = np.array([[0, 0], [40, 0], [40, 40], [20, 8], [0, 40]], float)
+    assert [20, 8] in dbpost.offset(dent, 4).tolist()
+
+
+def test_parallelograms_have_a_perspective_without_area(spark):
+    flat = [0, 0, 10, 0, 12, 0, 2, 0]
+    width, height, _, m = imageops.perspective([0, 0, 30, 6, 28, 16, -2, 10])
+    assert (width, height, m[2].tolist()) == (30, 10, [0, 0, 1])
+    p = geometry.Perspective.of([F.lit(float(v)) for v in flat])
+    row = spark.range(1).select(p.valid.alias("valid"), p.g.alias("g"), p.h.alias("h"), p.map(F.lit(1.0), F.lit(0.5))[0].alias("x")).first()
+    assert (row.valid, row.g, row.h, row.x) == (True, 0.0, 0.0, 11.0)
+    bent = geometry.Perspective.of([F.lit(float(v)) for v in (0, 0, 10, 0, 20, 0, 5, 0)])
+    assert spark.range(1).select(F.coalesce(bent.valid, F.lit(False)).alias("v")).first().v is False
+
+
+def plain_warp(image, quad):
+    """Bicubic sampling, a pixel and a tap at a time."""
+    width, height, vertical, m = imageops.perspective(quad)
+
+    def weight(t):
+        t = abs(t)
+        return (1.25 * t - 2.25) * t * t + 1 if t <= 1 else ((-0.75 * t + 3.75) * t - 6) * t + 3 if t < 2 else 0.0
+
+    out = np.zeros((height, width, 3), np.uint8)
+    for v in range(height):
+        for u in range(width):
+            x, y, z = m @ [u / width, v / height, 1]
+            x, y = x / z, y / z
+            total = np.zeros(3)
+            for j in range(int(np.floor(y)) - 1, int(np.floor(y)) + 3):
+                for i in range(int(np.floor(x)) - 1, int(np.floor(x)) + 3):
+                    total += weight(x - i) * weight(y - j) * image[min(max(j, 0), image.shape[0] - 1), min(max(i, 0), image.shape[1] - 1)]
+            out[v, u] = np.clip(np.floor(total + 0.5), 0, 255)
+    return np.rot90(out, -1) if vertical else out
+
+
+@pytest.mark.parametrize("quad", [[4, 5, 43, 6, 42, 17, 5, 16], [10, 3, 21, 9, 12, 36, 2, 30], [-3, -2, 30, 4, 26, 20, -4, 11]])
+def test_slanted_crops_equal_sampling_pixel_by_pixel(quad):
+    image = np.random.default_rng(9).integers(0, 256, (40, 48, 3), dtype=np.uint8)
+    got, want = imageops.crop(image, quad), plain_warp(image, quad)
+    assert got.shape == want.shape and np.abs(got.astype(int) - want).max() <= 1 and (got == want).mean() > 0.999
+
+
+def test_guards_of_sizes_and_options(monkeypatch):
+    monkeypatch.setattr(imageops, "MAX_CROP_PIXELS", 100)
+    with pytest.raises(ValueError, match="crop"):
+        imageops.crop(np.zeros((40, 40, 3), np.uint8), [0, 0, 30, 0, 30, 10, 0, 10])
+    monkeypatch.setattr(imageops, "MAX_IMAGE_PIXELS", 100)
+    with pytest.raises(ValueError, match="page"):
+        imageops.pixels(b"\0" * 3000, 100, 10)
+    for bad in ({"limit": 16}, {"limit": 5000}, {"max_candidates": 0}, {"bitmap_threshold": 1.5}):
+        with pytest.raises(ValueError):
+            dbpost.Options(**bad)
+    blank = np.zeros((32, 32, 3), np.uint8)
+    for bad in ((1.5, 4), (0.0, 0)):
+        with pytest.raises(ValueError):
+            models.lines_of(blank, models.StubModels(), dbpost.Options(), *bad)
+
+
+def test_batches_don_t_change_what_is_read():
+    rng = np.random.default_rng(3)
+    image = np.full((200, 160, 3), 10, np.uint8)
+    for y in range(8, 190, 26):
+        image[y : y + 12, 10 : 60 + int(rng.integers(0, 90))] = 250
+    one, many = (models.lines_of(image, models.StubModels(), dbpost.Options(), 0.0, n) for n in (1, 16))
+    assert len(one) > 4 and one == many
+
+
 def test_reading_order_is_not_transitive(spark):
     corner = lambda x, y: (np.array([[x, y]]), (x, y))
     assert [b[1] for b in dbpost.reading_order([corner(30, 0), corner(20, 8), corner(10, 16)])] == [(20, 8), (30, 0), (10, 16)]
