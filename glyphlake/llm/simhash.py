@@ -84,9 +84,11 @@ def links(nodes: DataFrame, long: int = LONG) -> DataFrame:
     listed = F.sort_array(F.collect_list("fp")).alias("m")
     with scope() as keep:
         fixed = F.array(*(F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(F.lit(~_mask(free, 8))).alias("v")) for c, free in enumerate(FREE)))
-        index = nodes.select("fp", F.explode(fixed).alias("key")).select("fp", "key.c", "key.v")
+        # Dealt out anew: a fingerprint becomes 28 rows, so the few files that hold them are too few tasks.
+        dealt = nodes.select("fp").repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+        index = dealt.select("fp", F.explode(fixed).alias("key")).select("fp", "key.c", "key.v")
         # A posting has at most 65,536 members, as many as two bytes have values; nearly all have one and are dropped.
-        postings = Fence(index.groupBy("c", "v").agg(listed).filter(F.size("m") > 1), small=True).df
+        postings = Fence(index.groupBy("c", "v").agg(listed).filter(F.size("m") > 1)).df
         short = postings.filter(F.size("m") <= long).select("c", "m")
         # The half bytes of two free bytes, any two of which may be the shared ones.
         shared = [[_mask(two, 4) for two in combinations((2 * i, 2 * i + 1, 2 * j, 2 * j + 1), 2)] for i, j in FREE]
