@@ -119,9 +119,12 @@ def _read(batches):
 
     for b in batches:
         rows: list[tuple] = []
-        ids, offsets = b.column(4).values.to_numpy(), b.column(4).offsets.to_numpy().tolist()
+        offsets = b.column(4).offsets.to_numpy()
+        first, last = (int(offsets[0]), int(offsets[-1])) if len(offsets) else (0, 0)
+        ids, offsets = b.column(4).values.to_numpy()[first:last], (offsets - first).tolist()
         # Where the mask goes up and down, for all turns of the batch at once; a learned text is one run of a turn.
-        flags = b.column(5).values.to_numpy(zero_copy_only=False).astype(np.int8)
+        begin = b.column(5).offsets[0].as_py() if b.num_rows else 0
+        flags = b.column(5).values.slice(begin, last - first).to_numpy(zero_copy_only=False).astype(np.int8)
         up, down = np.flatnonzero(np.diff(flags, prepend=0) == 1).tolist(), np.flatnonzero(np.diff(flags, append=0) == -1).tolist()
         run = 0
         for conv, rendered, end in zip(b.column(0).to_pylist(), b.column(6).to_pylist(), offsets[1:]):
@@ -182,3 +185,14 @@ def with_probe(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     rows = [(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)]
     return conversations.select("conv_id", "turn", "role", "text").unionByName(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+
+
+ORACLE = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'),
+s AS (SELECT *, length('<turn><text></turn>') + length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text, '\\\\|<turn>|<text>|</turn>')) AS shown FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = '{LEARNED}'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = '{LEARNED}'), '')) AS loss_sha256, sum(shown)::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id
+"""

@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_url_filter": url_filter.oracle()}
+    return {"op3_warc": warc.ORACLE, "op4_exact_dedup": exact_dedup.ORACLE, "op5_url_filter": url_filter.oracle(), "op9_chat": chat.ORACLE}
