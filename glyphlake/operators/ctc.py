@@ -36,8 +36,8 @@ def decode(lines: DataFrame, labels: list[str], steps: str = "steps") -> DataFra
     """Adds text, score and emitted to rows that hold their steps in an array; nothing is shuffled.
 
     A step is emitted when its class is not blank and differs from the step
-    before. The score is the mean probability of the emitted steps, 0 if there
-    are none.
+    before. The score is the mean probability of the emitted steps, summed in
+    double and kept in single precision, 0 if there are none.
     """
     table = F.array(*map(F.lit, labels))
     number = F.transform(F.col(steps), lambda x, i: F.struct(x["cls"].alias("cls"), x["prob"].alias("prob"), i.alias("i")))
@@ -47,7 +47,7 @@ def decode(lines: DataFrame, labels: list[str], steps: str = "steps") -> DataFra
     return out.select(
         *lines.columns,
         F.array_join(F.transform("_emitted", lambda x: F.element_at(table, x["cls"])), "").alias("text"),
-        F.when(F.size("_emitted") > 0, total / F.size("_emitted")).otherwise(0.0).alias("score"),
+        F.when(F.size("_emitted") > 0, total / F.size("_emitted")).otherwise(0.0).cast("float").alias("score"),
         F.size("_emitted").alias("emitted"),
     )
 

@@ -69,6 +69,52 @@ class OnnxModels:
         return self._run(self.recogniser, tensors, len(self.dictionary) + 2)
 
 
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    """A whole number and where it ends."""
+    value = shift = 0
+    while data[at] > 127:
+        value |= (data[at] & 127) << shift
+        at, shift = at + 1, shift + 7
+    return value | data[at] << shift, at + 1
+
+
+def _fields(data: bytes):
+    """(number, value) of each field of a message: whole numbers, or bytes."""
+    at = 0
+    while at < len(data):
+        key, at = _varint(data, at)
+        if key & 7 == 0:
+            value, at = _varint(data, at)
+        else:
+            size, at = {1: (8, at), 5: (4, at)}.get(key & 7) or _varint(data, at)
+            value, at = data[at : at + size], at + size
+        yield key >> 3, value
+
+
+def first_channels(model: bytes) -> int | None:
+    """Output channels of a model file's first convolution, by its weight's shape; None if it has none."""
+    graph = next((v for k, v in _fields(model) if k == 7), b"")
+    weights: dict[bytes, int] = {}
+    kernel = None
+    for number, value in _fields(graph):
+        if number == 5:  # a weight: dimensions, one by one or packed, and a name
+            parts = list(_fields(value))
+            dims = next((d if isinstance(d, int) else _varint(d, 0)[0] for k, d in parts if k == 1), 0)
+            weights[next((v for k, v in parts if k == 8), b"")] = dims
+        elif number == 1 and kernel is None:
+            parts = list(_fields(value))
+            if (4, b"Conv") in parts:
+                kernel = [v for k, v in parts if k == 1][1]
+    return weights.get(kernel) if kernel is not None else None
+
+
+def options_for(path: str, **given) -> dbpost.Options:
+    """Detector options with the box threshold that its model file calls for, unless it is given."""
+    with open(path, "rb") as f:
+        channels = first_channels(f.read())
+    return dbpost.Options(**given) if channels is None else dbpost.Options.for_channels(channels, **given)
+
+
 def _local(path: str) -> str:
     from pyspark import SparkFiles
 

@@ -60,7 +60,7 @@ def key_union(stages: DataFrame, key: str = "key") -> DataFrame:
 
 
 #: What report tables are ordered by.
-RUN_ORDER, SMOKE_ORDER, FILE_ORDER = ["replica", "case_id", "label"], ["rid", "case_id", "label"], ["sort_key"]
+RUN_ORDER, SMOKE_ORDER, FILE_ORDER = ["replica", "case_id", "label"], ["rid", "case_id", "label"], ["folded", "sort_key"]
 
 
 def run_order(runs: DataFrame) -> DataFrame:
@@ -72,8 +72,8 @@ def smoke_order(runs: DataFrame) -> DataFrame:
 
 
 def sort_key_order(runs: DataFrame) -> DataFrame:
-    """By sort_key without case."""
-    return runs.orderBy(F.lower("sort_key"), "sort_key")
+    """By sort_key without case, which FILE_ORDER calls folded."""
+    return runs.withColumn("folded", F.lower("sort_key")).orderBy(*FILE_ORDER).drop("folded")
 
 
 def with_places(runs: DataFrame, orders: dict[str, list[str]]) -> DataFrame:

@@ -59,7 +59,7 @@ lines AS (SELECT DISTINCT line FROM scored)
 
 
 @query("line:i text:s score:d emitted:i", f"{inputs.LOGITS.strip()}, {_EMITTED.strip()}", """
-SELECT l.line, coalesce(string_agg(['a', 'b', ' '][k.cls], '' ORDER BY k.step), '') AS text, coalesce(avg(k.prob), 0) AS score, count(k.cls) AS emitted
+SELECT l.line, coalesce(string_agg(['a', 'b', ' '][k.cls], '' ORDER BY k.step), '') AS text, coalesce(avg(k.prob), 0)::FLOAT AS score, count(k.cls) AS emitted
 FROM lines l LEFT JOIN kept k ON l.line = k.line GROUP BY l.line""")
 def ctc_decode(spark, sf_dir):
     dense = ctc.steps_of(inputs.logits(spark, sf_dir), "logits", inputs.CLASSES)
@@ -511,9 +511,10 @@ def key_union(spark, sf_dir):
     return report.key_union(_keyed(spark, sf_dir))
 
 
-@query("run:i bench:i smoke:i", inputs.RUNS_TABLE, "SELECT run, row_number() OVER (ORDER BY replica, case_id, label) AS bench, row_number() OVER (ORDER BY rid, case_id, label) AS smoke FROM rn")
+@query("run:i bench:i smoke:i files:i", inputs.RUNS_TABLE, "SELECT run, row_number() OVER (ORDER BY replica, case_id, label) AS bench, row_number() OVER (ORDER BY rid, case_id, label) AS smoke, row_number() OVER (ORDER BY lower(rid || label), rid || label) AS files FROM rn")
 def report_orders(spark, sf_dir):
-    return report.with_places(inputs.runs(spark, sf_dir), {"bench": report.RUN_ORDER, "smoke": report.SMOKE_ORDER})
+    runs = inputs.runs(spark, sf_dir).withColumn("sort_key", F.concat("rid", "label"))
+    return report.with_places(runs.withColumn("folded", F.lower("sort_key")), {"bench": report.RUN_ORDER, "smoke": report.SMOKE_ORDER, "files": report.FILE_ORDER})
 
 
 _LABEL = f"""{inputs.RUNS_TABLE.strip()}, sd AS (SELECT *, CASE WHEN contains(lower(library), 'netstandard') THEN 'ns2' WHEN hwintrinsic = '0' THEN 'scalar' WHEN avx = '0' THEN 'noavx' WHEN avx2 = '0' THEN 'noavx2' WHEN avx512 = '0' THEN 'noavx512' ELSE '' END AS simd FROM rn)"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import asyncio
 import hashlib
 import tempfile
 from dataclasses import dataclass, replace
@@ -108,6 +109,11 @@ def from_bundle(bundle: Bundle, folder: str | None = None) -> OnnxModels:
         raise
 
 
+async def load_async(load, *args, **named) -> OnnxModels:
+    """from_paths(), from_streams() or from_bundle() beside other work: files are read in a thread."""
+    return await asyncio.to_thread(load, *args, **named)
+
+
 def ship(spark, models: OnnxModels) -> OnnxModels:
     """Sends the model files along with the application; returns the models as every machine finds them."""
     for path in (models.detector, models.recogniser, models.classifier):

@@ -139,6 +139,28 @@ def test_pages_are_read_through_model_files(spark, tmp_path):
     assert loaded.classifier is None and not any(x.closed for x in streams) and open(loaded.detector, "rb").read() == files["det.onnx"]
 
 
+def test_box_threshold_follows_the_model_file(tmp_path):
+    weight = lambda name, dims, packed: field(5, (field(1, b"".join(varint(d) for d in dims)) if packed else b"".join(field(1, d) for d in dims)) + field(2, 1) + field(8, name) + field(9, b"\0" * 4))
+    for channels, packed, want in ((16, False, 0.4), (24, True, 0.45), (300, True, 0.45)):
+        nodes = [node("Neg", ["x"], "n"), node("Conv", ["n", "w1"], "c", strides=[2, 2]), node("Conv", ["c", "w2"], "y")]
+        data = onnx(nodes, "y")
+        graph = next(v for k, v in models._fields(data) if k == 7) + weight("w2", [8, 3, 3, 3], packed) + weight("w1", [channels, 3, 3, 3], packed)
+        path = tmp_path / "det.onnx"
+        path.write_bytes(field(1, 6) + field(7, graph))
+        assert models.first_channels(path.read_bytes()) == channels and models.options_for(str(path)).box_threshold == want
+        assert models.options_for(str(path), box_threshold=0.6).box_threshold == 0.6
+    assert models.first_channels(onnx([node("Neg", ["x"], "y")], "y")) is None
+
+
+def test_sets_load_beside_other_work(tmp_path):
+    import asyncio
+
+    for name, data in (("d", b"d"), ("r", b"r"), ("t", b"a\n")):
+        (tmp_path / name).write_bytes(data)
+    loaded = asyncio.run(model_set.load_async(model_set.from_paths, *(str(tmp_path / n) for n in "drt")))
+    assert loaded.labels == ["a", " "]
+
+
 def test_a_set_that_fails_to_load_leaves_no_file(tmp_path):
     (tmp_path / "d").write_bytes(b"x")
     part = lambda kind: FileProvider(kind, str(tmp_path / "d"))
