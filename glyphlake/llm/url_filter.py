@@ -50,25 +50,36 @@ def bucket(gram: str) -> int:
     return int(md5(gram.encode()).hexdigest()[:4], 16) % BUCKETS
 
 
-@lru_cache
-def weights(rounds: int = 200, rate: float = 0.5, decay: float = 1e-3) -> tuple[tuple[int, ...], int]:
-    """Weights in UNITs for each bucket, and the bias; gradient descent over the labelled table."""
-    rows = []
-    for label, urls in ((1, BLOCKED), (0, PASSED)):
-        for u in urls:
-            host, _, path = u.partition("/")
-            rows.append((label, [bucket(g) for g in grams(host, f"/{path}")]))
+def table() -> list[tuple[int, str]]:
+    """(label, host and path) of the labelled table; 1 is to be blocked."""
+    return [(label, u) for label, urls in ((1, BLOCKED), (0, PASSED)) for u in urls]
+
+
+def fit(rows: list[tuple[int, str]], rounds: int = 200, rate: float = 0.5, decay: float = 1e-3) -> tuple[tuple[int, ...], int]:
+    """Weights in UNITs for each bucket, and the bias; gradient descent over labelled hosts and paths."""
+    hits = [(y, buckets_of(u)) for y, u in rows]
     w, bias = [0.0] * BUCKETS, -1.0
     for _ in range(rounds):
-        for y, hit in rows:
+        for y, hit in hits:
             p = 1 / (1 + exp(-max(-30.0, min(30.0, bias + sum(w[b] for b in hit)))))
             step = rate * (p - y) / len(hit)
             for b in hit:
-                w[b] -= step + decay * rate * w[b] / len(rows)
+                w[b] -= step + decay * rate * w[b] / len(hits)
             bias -= step
     return tuple(round(x * UNIT) for x in w), round(bias * UNIT)
 
 
+def buckets_of(url: str) -> list[int]:
+    host, _, path = url.partition("/")
+    return [bucket(g) for g in grams(host, f"/{path}")]
+
+
+@lru_cache
+def weights() -> tuple[tuple[int, ...], int]:
+    """fit() of the labelled table."""
+    return fit(table())
+
+
 def _table() -> Column:
     return F.split(F.lit(",".join(map(str, weights()[0]))), ",").cast("array<int>")
 

@@ -108,8 +108,13 @@ def test_urls_that_repeat_or_are_very_long(spark):
     assert {r.page_id: len(r.path) for r in got}[2] == 60_001
 
 
-def plain_shares(item, text, seed):
-    return sum(t[2] for t in decontaminate.tile(item, text, seed)) / len(item)
+def test_urls_that_the_fit_has_not_seen():
+    rows = random.Random(5).sample(url_filter.table(), len(url_filter.table()))
+    right = 0
+    for k in range(5):
+        w, bias = url_filter.fit([r for i, r in enumerate(rows) if i % 5 != k])
+        right += sum((bias + sum(w[b] for b in url_filter.buckets_of(u)) > 0) == y for y, u in rows[k::5])
+    assert right / len(rows) >= 0.7  # 47 of 60
 
 
 def test_items_equal_tiling_against_every_item():
