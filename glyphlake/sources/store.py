@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that aren't deleted yet, with their sessions.
 _OPEN: dict[str, SparkSession] = {}
 
 
@@ -24,13 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def scratch(spark: SparkSession) -> str:
+def scratch(spark: SparkSession, kind: str = "table") -> str:
     """A new folder name in the shared folder, deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/glyphlake-table-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/glyphlake-{kind}-{uuid.uuid4().hex}"
     _OPEN[path] = spark
     return path
 
 
+def holder(path: str) -> SparkSession | None:
+    """The session of a folder that isn't deleted yet."""
+    return _OPEN.get(path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     _OPEN.pop(path, None)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
