@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import contextvars
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Paths below the shared folder that aren't deleted yet, with their sessions.
-_OPEN: dict[str, SparkSession] = {}
+from glyphlake.sources import store
+from glyphlake.sources.store import delete, shared_dir
+
+__all__ = ["Fence", "crc_mod", "delete", "fence", "fresh", "load", "scope", "scratch", "sent_if_few", "shared_dir", "slices"]
+
 _SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
@@ -21,33 +20,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, spark.checkpoint.dir. Where it is unset, local mode gets a temporary one and a cluster an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        master = spark.sparkContext.master
-        if not re.match(r"local(\[|$)", master):
-            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
-        path = "file://" + tempfile.mkdtemp(prefix="glyphlake-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def scratch(spark: SparkSession, kind: str = "fence") -> str:
     """A new folder name below shared_dir(), deleted when its scope() or else the driver's Python ends."""
-    path = f"{shared_dir(spark)}/glyphlake-{kind}-{uuid.uuid4().hex}"
-    _OPEN[path] = spark
+    path = store.scratch(spark, kind)
     if (inside := _SCOPE.get()) is not None:
         inside.append(path)
     return path
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    _OPEN.pop(path, None)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 @contextlib.contextmanager
 def scope():
     """Folders named inside are deleted at its end, but for those handed to the function it gives, which go to the scope around it."""
@@ -62,17 +42,8 @@ def scope():
         for path in inside:
             if path in kept and outer is not None:
                 outer.append(path)
-            elif path not in kept and path in _OPEN:
-                delete(_OPEN[path], path)
-
-
-@atexit.register
-def _clean() -> None:
-    for path, spark in list(_OPEN.items()):
-        try:
-            delete(spark, path)
-        except Exception:  # the session has ended; its shared folder is the cluster's to clear
-            return
+            elif path not in kept and (spark := store.holder(path)):
+                delete(spark, path)
 
 
 class Fence:
