@@ -410,6 +410,29 @@ def test_recognise_with_a_stub(spark):
         models.page_orientation(pages, lambda t: np.array([0.5, 0.5])).collect()
 
 
+def test_recognised_pages_equal_plain_python(spark, tmp_path):
+    from glyphlake.plans import registry
+
+    rows = [(i, i % 10) for i in range(23)]
+    spark.createDataFrame(rows, "vec_id long, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r.page, r.line_no, r.text, r.score, r.rotation) for r in registry.QUERIES["recognise_pages"](spark, str(tmp_path)).collect())
+    want = []
+    for page, label in rows:
+        image = np.full((96, 128, 3), 16, np.uint8)
+        for y in (14, 62):
+            image[y : y + 20, label + 10 : 110] = 255
+        for line in models.lines_of(image, models.StubModels(), dbpost.Options()):
+            text, probabilities, before = "", [], 0
+            for step in line[-1]:
+                if step["cls"] and step["cls"] != before:
+                    text += "ab "[step["cls"] - 1]
+                    probabilities.append(step["prob"])
+                before = step["cls"]
+            want.append((page, line[0], text, round(float(np.float32(sum(probabilities) / len(probabilities))), 6), line[12]))
+    assert len(got) == 46 and [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in sorted(want)]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in sorted(want)], abs=1e-6)
+
+
 def test_markdown_escapes_bars(spark):
     from glyphlake.plans import inputs
 
