@@ -68,8 +68,8 @@ def fence(df: DataFrame, small: bool = False) -> DataFrame:
     return Fence(df, small).df
 
 
-#: Rows of a few longs that are sent to every executor, at most; beyond them a join shuffles. What is sent is counted first.
-SENT_ROWS = 1_000_000
+#: Rows of a number and a digest that are sent to every executor, at most (some 70 MB); beyond them a join shuffles. What is sent is counted first.
+SENT_ROWS = 500_000
 
 
 def sent_if_few(table: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
